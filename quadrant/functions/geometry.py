@@ -139,10 +139,8 @@ _SPREAD_STEPS = (
 )
 
 
-def _spread_bits(v: Column) -> Column:
-    for shift, mask in _SPREAD_STEPS:
-        v = F.shiftleft(v, shift).bitwiseOR(v).bitwiseAND(F.lit(mask))
-    return v
+def _spread_step(v: Column, shift: int, mask: int) -> Column:
+    return F.shiftleft(v, shift).bitwiseOR(v).bitwiseAND(F.lit(mask))
 
 
 def grid_coord(v: ColumnOrName, lo, hi, depth: int) -> Column:
@@ -156,10 +154,20 @@ def grid_coord(v: ColumnOrName, lo, hi, depth: int) -> Column:
     return F.coalesce(F.least(F.lit(side - 1).cast("bigint"), g), F.lit(0).cast("bigint"))
 
 
-def morton(gx: ColumnOrName, gy: ColumnOrName) -> Column:
-    """Interleave the bits of two non-negative cell coordinates (x in even bits)."""
-    return _spread_bits(_col(gx).cast("bigint")).bitwiseOR(
-        F.shiftleft(_spread_bits(_col(gy).cast("bigint")), 1))
+def with_morton(df, gx: ColumnOrName, gy: ColumnOrName, name: str = "zkey"):
+    """Add column ``name``: the bits of two non-negative cell coordinates interleaved
+    (x in the even bits).
+
+    Each spreading step is its own projection.  Written as one nested
+    expression, every step would copy its input twice, and the copies (which
+    contain the whole coordinate derivation) would grow as 2^5 per axis.
+    """
+    df = df.withColumn("_mx", _col(gx).cast("bigint")).withColumn("_my", _col(gy).cast("bigint"))
+    for shift, mask in _SPREAD_STEPS:
+        df = (df.withColumn("_mx", _spread_step(F.col("_mx"), shift, mask))
+              .withColumn("_my", _spread_step(F.col("_my"), shift, mask)))
+    return (df.withColumn(name, F.col("_mx").bitwiseOR(F.shiftleft(F.col("_my"), 1)))
+            .drop("_mx", "_my"))
 
 
 def morton_prefix(code: ColumnOrName, depth: ColumnOrName | int, max_depth: int) -> Column:
@@ -173,5 +181,5 @@ def morton_prefix(code: ColumnOrName, depth: ColumnOrName | int, max_depth: int)
 __all__ = [
     "envelope_bounds", "envelope_literals", "in_envelope", "dist2",
     "crossings", "on_boundary", "in_polygon", "guarded_in_polygon", "PREDICATES",
-    "grid_coord", "morton", "morton_prefix",
+    "grid_coord", "with_morton", "morton_prefix",
 ]

@@ -46,9 +46,10 @@ def pip_join(pts: DataFrame, windows: DataFrame, predicate: str = "intersects",
             raise ValueError("window table is too large to broadcast; use strategy='cells'")
     elif strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
-    qt = qt or quadtree(pts, target_leaves=4096)
-    pairs = windows_to_leaves(geo, qt, max_broadcast_rows)
-    pairs, _ = maybe_broadcast(pairs.join(geo, "window_id"), max_broadcast_rows)
+    qt = qt or quadtree(pts)
+    pairs = windows_to_leaves(geo, qt, max_broadcast_rows).join(geo, "window_id")
+    bound = None if known_windows is None or qt.n_leaves is None else known_windows * qt.n_leaves
+    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows, bound)
     tagged = assign_leaves(pts, qt, max_broadcast_rows)
     return tagged.join(pairs, LEAF_KEY).where(_pip(predicate)).select(*out_cols)
 

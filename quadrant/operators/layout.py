@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrant.functions.geometry import grid_coord, morton
+from quadrant.functions.geometry import grid_coord, with_morton
 from quadrant.functions.generators import MAX_X, MAX_Y, MIN_X, MIN_Y
 from quadrant.session import scratch_path
 
@@ -25,7 +25,7 @@ def zorder(pts: DataFrame, extent: tuple[float, float, float, float] = WORKLOAD_
     mnx, mxx, mny, mxy = (float(v) for v in extent)
     gx = grid_coord("x", F.lit(mnx), F.lit(mxx), depth)
     gy = grid_coord("y", F.lit(mny), F.lit(mxy), depth)
-    return pts.withColumn("zkey", morton(gx, gy))
+    return with_morton(pts, gx, gy, "zkey")
 
 
 def write_clustered(pts: DataFrame, path: str | None = None, partitions: int | None = None,

@@ -7,7 +7,9 @@ Leaves are computed exactly, with aggregations only:
    costs one row per task, not one row per point);
 3. the code counts are rolled up to every depth 0..D (explode + group);
 4. a node is a leaf when it is small enough (``n <= cap`` or at depth D) and
-   its parent was split (``parent n > cap``).
+   its parent was split (``parent n > cap``).  A parent's count is the sum of
+   its (at most four) children's counts, so it comes from a window over
+   siblings, not from a second pass over the nodes.
 
 Leaves tile the occupied space, so every point falls in exactly one leaf.
 The number of leaves is bounded by ``1 + 3 * D * ceil(n / cap)`` and by 4^D;
@@ -19,65 +21,53 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrant.functions.geometry import grid_coord, morton, morton_prefix
+from quadrant.functions.geometry import grid_coord, morton_prefix, with_morton
 from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
-from quadrant.sources.points import extent as point_extent
 
 LEAF_KEY = ["depth", "prefix"]
+_GRID = ["gminx", "gmaxx", "gminy", "gmaxy"]
 
 
 @dataclass
 class QuadTree:
-    """Leaves plus the one-row grid description needed to place new points.
+    """Leaves plus the one-row grid description needed to place points.
 
     ``leaves``: ``(depth INT, prefix BIGINT, n BIGINT, lminx, lmaxx, lminy, lmaxy)``
     with the actual bounds of the points in each leaf.
     ``grid``: one row ``(gminx, gmaxx, gminy, gmaxy, dmin, dmax)``.
+    ``n_leaves``: known once the tree is materialised, else None.
     """
 
     leaves: DataFrame
     grid: DataFrame
     max_depth: int
+    n_leaves: int | None = None
 
-    def checkpoint(self) -> "QuadTree":
-        """Materialise both tables in the shared checkpoint folder (cuts lineage)."""
-        return QuadTree(self.leaves.checkpoint(eager=True), self.grid.checkpoint(eager=True),
-                        self.max_depth)
 
-
-def _with_code(pts: DataFrame, grid: DataFrame, max_depth: int) -> DataFrame:
-    """Attach the depth-D Morton code; ``grid`` is a one-row frame (broadcast)."""
-    g = pts.crossJoin(F.broadcast(grid.select("gminx", "gmaxx", "gminy", "gmaxy")))
+def _coded(pts: DataFrame, ext: DataFrame, max_depth: int) -> DataFrame:
+    """Attach the depth-D Morton code ``_code``; ``ext`` is one row (broadcast)."""
+    g = pts.crossJoin(F.broadcast(ext.select(*_GRID)))
     gx = grid_coord("x", F.col("gminx"), F.col("gmaxx"), max_depth)
     gy = grid_coord("y", F.col("gminy"), F.col("gmaxy"), max_depth)
-    return g.withColumn("_code", morton(gx, gy)).drop("gminx", "gmaxx", "gminy", "gmaxy")
-
+    return with_morton(g, gx, gy, "_code").drop(*_GRID)
 
-def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = 2000,
-             target_leaves: int | None = None,
-             extent: tuple[float, float, float, float] | None = None) -> QuadTree:
-    """L2: adaptive quad-tree leaves of a point set (lazy; see ``QuadTree.checkpoint``).
 
-    Give ``cap`` (points per leaf) or ``target_leaves`` (cap = ceil(n / target)).
-    ``extent`` fixes the grid; by default it is the data's own extent (L1).
-    """
-    if not 0 <= max_depth <= 30:
-        raise ValueError("max_depth must be within 0..30")
-    if (cap is None) == (target_leaves is None):
-        raise ValueError("give exactly one of cap and target_leaves")
+def _extent_row(pts: DataFrame, extent) -> DataFrame:
+    stats = pts.agg(F.min("x").alias("gminx"), F.max("x").alias("gmaxx"),
+                    F.min("y").alias("gminy"), F.max("y").alias("gmaxy"),
+                    F.count(F.lit(1)).alias("n"))
     if extent is None:
-        ext = point_extent(pts).select(F.col("minx").alias("gminx"), F.col("maxx").alias("gmaxx"),
-                                       F.col("miny").alias("gminy"), F.col("maxy").alias("gmaxy"))
-    else:
-        mnx, mxx, mny, mxy = (float(v) for v in extent)
-        ext = pts.sparkSession.range(1).select(
-            F.lit(mnx).alias("gminx"), F.lit(mxx).alias("gmaxx"),
-            F.lit(mny).alias("gminy"), F.lit(mxy).alias("gmaxy"))
+        return stats
+    mnx, mxx, mny, mxy = (float(v) for v in extent)
+    return stats.select(F.lit(mnx).alias("gminx"), F.lit(mxx).alias("gmaxx"),
+                        F.lit(mny).alias("gminy"), F.lit(mxy).alias("gmaxy"), "n")
 
-    coded = _with_code(pts.select("x", "y"), ext, max_depth)
+
+def _leaves(pts: DataFrame, ext: DataFrame, max_depth: int, cap, target_leaves) -> DataFrame:
+    coded = _coded(pts.select("x", "y"), ext, max_depth)
     codes = coded.groupBy("_code").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lminx"), F.max("x").alias("lmaxx"),
         F.min("y").alias("lminy"), F.max("y").alias("lmaxy"))
@@ -87,23 +77,66 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = 2000,
              .groupBy("depth", "prefix")
              .agg(F.sum("n").alias("n"), F.min("lminx").alias("lminx"), F.max("lmaxx").alias("lmaxx"),
                   F.min("lminy").alias("lminy"), F.max("lmaxy").alias("lmaxy")))
+    siblings = Window.partitionBy("depth", F.shiftright(F.col("prefix"), 2))
+    nodes = nodes.withColumn("_pn", F.sum("n").over(siblings))
     if cap is not None:
-        nodes = nodes.withColumn("_cap", F.lit(int(cap)).cast("bigint"))
+        cap_col = F.lit(int(cap)).cast("bigint")
     else:
-        total = nodes.where(F.col("depth") == 0).select(
-            F.ceil(F.col("n") / F.lit(float(target_leaves))).cast("bigint").alias("_cap"))
-        nodes = nodes.crossJoin(F.broadcast(total))
-    parent = nodes.select((F.col("depth") + 1).alias("_pd"), F.col("prefix").alias("_pp"),
-                          F.col("n").alias("_pn"))
-    leaves = (nodes.join(parent, (F.col("depth") == F.col("_pd"))
-                         & (F.shiftright(F.col("prefix"), 2) == F.col("_pp")), "left")
-              .where(((F.col("n") <= F.col("_cap")) | (F.col("depth") == max_depth))
-                     & ((F.col("depth") == 0) | (F.col("_pn") > F.col("_cap"))))
-              .select(F.col("depth").cast("int").alias("depth"), "prefix", "n",
-                      "lminx", "lmaxx", "lminy", "lmaxy"))
+        cap_row = ext.select(F.greatest(F.lit(1).cast("bigint"),
+                                        F.ceil(F.col("n") / F.lit(float(target_leaves))).cast("bigint"))
+                             .alias("_cap"))
+        nodes = nodes.crossJoin(F.broadcast(cap_row))
+        cap_col = F.col("_cap")
+    return (nodes
+            .where(((F.col("n") <= cap_col) | (F.col("depth") == max_depth))
+                   & ((F.col("depth") == 0) | (F.col("_pn") > cap_col)))
+            .select(F.col("depth").cast("int").alias("depth"), "prefix", "n",
+                    "lminx", "lmaxx", "lminy", "lmaxy"))
+
+
+def _grid(ext: DataFrame, leaves: DataFrame) -> DataFrame:
     depths = leaves.agg(F.min("depth").alias("dmin"), F.max("depth").alias("dmax"))
-    grid = ext.crossJoin(depths)
-    return QuadTree(leaves, grid, max_depth)
+    return ext.select(*_GRID).crossJoin(depths)
+
+
+def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
+             target_leaves: int | None = None,
+             extent: tuple[float, float, float, float] | None = None,
+             materialize: bool = True) -> QuadTree:
+    """L2: adaptive quad-tree leaves of a point set.
+
+    Give ``cap`` (points per leaf) or ``target_leaves`` (cap = ceil(n / target),
+    the scale-free choice; default 1024).  ``extent`` fixes the grid; by
+    default it is the data's own extent (L1).
+
+    ``materialize`` (default) writes the extent row, then the leaves, then the
+    grid row to the shared checkpoint folder, in that order, so each is
+    computed once, later jobs read them back, and lost executors never force
+    a recount of the points.
+    """
+    if not 0 <= max_depth <= 30:
+        raise ValueError("max_depth must be within 0..30")
+    if cap is not None and target_leaves is not None:
+        raise ValueError("give at most one of cap and target_leaves")
+    if cap is None and target_leaves is None:
+        target_leaves = 1024
+    ext = _extent_row(pts, extent)
+    if materialize:
+        ext = ext.checkpoint(eager=True)
+    leaves = _leaves(pts, ext, max_depth, cap, target_leaves)
+    n_leaves = None
+    if materialize:
+        leaves = leaves.checkpoint(eager=True)
+        n_leaves = leaves.count()
+    grid = _grid(ext, leaves)
+    if materialize:
+        grid = grid.checkpoint(eager=True)
+    return QuadTree(leaves, grid, max_depth, n_leaves)
+
+
+def _leaf_table(qt: QuadTree, cols: list[str], max_broadcast_rows: int) -> DataFrame:
+    table, _ = maybe_broadcast(qt.leaves.select(*cols), max_broadcast_rows, qt.n_leaves)
+    return table
 
 
 def assign_leaves(pts: DataFrame, qt: QuadTree, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -116,13 +149,12 @@ def assign_leaves(pts: DataFrame, qt: QuadTree, max_broadcast_rows: int = MAX_BR
     plain equi-join on the leaf key.  Points outside the grid's occupied cells
     (possible only when the tree was built on other data) get no leaf.
     """
-    coded = _with_code(pts, qt.grid, qt.max_depth)
+    coded = _coded(pts, qt.grid, qt.max_depth)
     span = coded.crossJoin(F.broadcast(qt.grid.select("dmin", "dmax")))
     exploded = (span.withColumn("depth", F.explode(F.sequence(F.col("dmin"), F.col("dmax"))))
                 .withColumn("prefix", morton_prefix("_code", F.col("depth"), qt.max_depth))
                 .drop("dmin", "dmax", "_code"))
-    leaf_keys, _ = maybe_broadcast(qt.leaves.select(*LEAF_KEY), max_broadcast_rows)
-    return exploded.join(leaf_keys, LEAF_KEY, "inner")
+    return exploded.join(_leaf_table(qt, LEAF_KEY, max_broadcast_rows), LEAF_KEY, "inner")
 
 
 def windows_to_leaves(windows: DataFrame, qt: QuadTree,
@@ -131,8 +163,7 @@ def windows_to_leaves(windows: DataFrame, qt: QuadTree,
 
     Uses each leaf's actual min/max of x and y (tighter than its grid square).
     """
-    leaves = qt.leaves.select(*LEAF_KEY, "lminx", "lmaxx", "lminy", "lmaxy")
-    leaves, _ = maybe_broadcast(leaves, max_broadcast_rows)
+    leaves = _leaf_table(qt, [*LEAF_KEY, "lminx", "lmaxx", "lminy", "lmaxy"], max_broadcast_rows)
     w = windows.select("window_id", "mnx", "mxx", "mny", "mxy")
     cond = ((F.col("mnx") <= F.col("lmaxx")) & (F.col("mxx") >= F.col("lminx"))
             & (F.col("mny") <= F.col("lmaxy")) & (F.col("mxy") >= F.col("lminy")))

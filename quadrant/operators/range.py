@@ -50,12 +50,13 @@ def range_join(pts: DataFrame, windows: DataFrame, strategy: str = "auto",
             if not small:
                 raise ValueError("window table is too large to broadcast; use strategy='cells'")
             return (pts.join(w, in_envelope(pts["x"], pts["y"], w["mnx"], w["mxx"], w["mny"], w["mxy"]))
-                    .drop("mnx", "mxx", "mny", "mxy"))
+                    .select(*wcols, *pts.columns))
     elif strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
-    qt = qt or quadtree(pts, target_leaves=4096)
-    pairs = windows_to_leaves(windows, qt, max_broadcast_rows)
-    pairs = pairs.join(windows, "window_id")
+    qt = qt or quadtree(pts)
+    pairs = windows_to_leaves(windows, qt, max_broadcast_rows).join(windows, "window_id")
+    bound = None if known_windows is None or qt.n_leaves is None else known_windows * qt.n_leaves
+    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows, bound)
     tagged = assign_leaves(pts, qt, max_broadcast_rows)
     joined = tagged.join(pairs, LEAF_KEY).where(in_envelope("x", "y", "mnx", "mxx", "mny", "mxy"))
     return joined.drop(*LEAF_KEY, "mnx", "mxx", "mny", "mxy").select(*wcols, *pts.columns)

@@ -91,8 +91,8 @@ def range_batch_count(spark, d):
 
 def range_batch_count_cells(spark, d):
     pts = points_b(spark, d)
-    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP).checkpoint()
-    return range_counts(pts, _windows(spark), strategy="cells", qt=qt)
+    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
+    return range_counts(pts, _windows(spark), strategy="cells", qt=qt, known_windows=N_WINDOWS)
 
 
 def knn_point(spark, d):
@@ -132,7 +132,7 @@ def _pip(spark, d, predicate, strategy):
     pts = points_b(spark, d)
     qt = None
     if strategy == "cells":
-        qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP).checkpoint()
+        qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
     return pip_join(pts, _seed_rings(spark, d), predicate=predicate, strategy=strategy, qt=qt,
                     known_windows=N_SEEDS).select("window_id", "id", "x", "y")
 
@@ -166,7 +166,7 @@ def knn_join_q(spark, d):
 def knn_join_cells(spark, d):
     seed = point_literal(spark, *SEED_POINT)
     pts_b = points_b(spark, d)
-    qt = quadtree(pts_b, max_depth=QT_DEPTH, cap=QT_CAP).checkpoint()
+    qt = quadtree(pts_b, max_depth=QT_DEPTH, cap=QT_CAP)
     return knn_join(points_a(spark, d), pts_b, seed, K_RING, strategy="cells", qt=qt,
                     knn_strategy="cells", cell=CELL, known_seeds=1).select("window_id", "id", "x", "y")
 
@@ -184,20 +184,21 @@ def quadtree_leaves(spark, d):
 
 def quadtree_assign(spark, d):
     pts = points_d(spark, d)
-    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP).checkpoint()
+    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
     return assign_leaves(pts, qt).select("id", "x", "y", "depth", "prefix")
 
 
 def windows_to_leaves_q(spark, d):
-    qt = quadtree(points_d(spark, d), max_depth=QT_DEPTH, cap=QT_CAP).checkpoint()
+    qt = quadtree(points_d(spark, d), max_depth=QT_DEPTH, cap=QT_CAP)
     return windows_to_leaves(_windows(spark), qt)
 
 
 def range_pairs_cells(spark, d):
     """Q3 as pairs through quad-tree cells, over the skewed set."""
     pts = points_d(spark, d)
-    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP).checkpoint()
-    return range_join(pts, _windows(spark), strategy="cells", qt=qt).select("window_id", "id", "x", "y")
+    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
+    return range_join(pts, _windows(spark), strategy="cells", qt=qt,
+                      known_windows=N_WINDOWS).select("window_id", "id", "x", "y")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
