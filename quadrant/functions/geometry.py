@@ -146,12 +146,13 @@ def _spread_step(v: Column, shift: int, mask: int) -> Column:
 def grid_coord(v: ColumnOrName, lo, hi, depth: int) -> Column:
     """Integer cell coordinate of ``v`` on a 2^depth grid over [lo, hi].
 
-    A degenerate extent (hi == lo) maps every value to cell 0.
+    A degenerate extent (hi == lo) maps every value to cell 0; values outside
+    [lo, hi] are clamped into the border cells.
     """
     side = 1 << depth
     span = F.nullif(_col(hi) - _col(lo), F.lit(0.0))
-    g = F.floor((_col(v) - _col(lo)) / span * F.lit(float(side)))
-    return F.coalesce(F.least(F.lit(side - 1).cast("bigint"), g), F.lit(0).cast("bigint"))
+    g = F.coalesce(F.floor((_col(v) - _col(lo)) / span * F.lit(float(side))), F.lit(0).cast("bigint"))
+    return F.least(F.lit(side - 1).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), g))
 
 
 def with_morton(df, gx: ColumnOrName, gy: ColumnOrName, name: str = "zkey"):

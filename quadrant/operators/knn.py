@@ -14,7 +14,10 @@ Strategies, all returning the same rows:
   points per occupied grid cell and, per query, finds the smallest ring of
   cells holding k points; phase 2 ranks only the points in the cells that can
   still hold a nearer point.  The phase-1 result is small (cells, not points)
-  and is checkpointed, which both cuts lineage and sizes the phase-2 join.
+  and is written to the shared checkpoint folder, which both cuts lineage and
+  sizes the phase-2 join.  ``cell="auto"`` sizes the grid from the data (one
+  aggregate: extent and count) so that a cell holds about k/4 points on
+  average at any scale.
 """
 
 from __future__ import annotations
@@ -27,8 +30,26 @@ from pyspark.sql import functions as F
 from quadrant.functions.geometry import dist2
 from quadrant.functions.generators import point_literal
 from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
+from quadrant.session import materialize
 
-DEFAULT_CELL = 0.05
+DEFAULT_CELL = "auto"
+# Upper bound on grid cells over the extent: phase 1 crosses occupied cells with
+# the queries, so this keeps it bounded however many points there are.
+MAX_GRID_CELLS = 1_000_000
+
+
+def auto_cell(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> float:
+    """Cell side for which an average cell holds about k/4 points (one aggregate),
+    but never more than ``max_cells`` cells over the extent."""
+    r = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    n = r[4]
+    if not n:
+        return 1.0
+    w, h = r[1] - r[0], r[3] - r[2]
+    area = w * h if w > 0 and h > 0 else max(w, h) ** 2
+    if area <= 0:
+        return 1.0
+    return max(math.sqrt(area * max(k, 4) / (4.0 * n)), math.sqrt(area / max_cells))
 
 
 def _ranked(df: DataFrame, k: int) -> DataFrame:
@@ -43,7 +64,7 @@ def _out(df: DataFrame, pts: DataFrame, with_q: bool = True) -> DataFrame:
 
 
 def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "sort",
-        cell: float = DEFAULT_CELL) -> DataFrame:
+        cell: float | str = DEFAULT_CELL) -> DataFrame:
     """Q4/Q5/Q6: the k nearest points to one query point ``(qx, qy)``."""
     if k <= 0:
         return _out(pts.withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts, False)
@@ -59,7 +80,7 @@ def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "sort",
 
 
 def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto",
-              cell: float = DEFAULT_CELL, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+              cell: float | str = DEFAULT_CELL, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
               known_queries: int | None = None) -> DataFrame:
     """Q7: the k nearest points of every query point in ``queries (q, qx, qy)``.
 
@@ -78,7 +99,9 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
         return _out(_ranked(pairs, k), pts)
     if strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
-    cand = candidate_cells(pts, q, k, cell).checkpoint(eager=True)
+    if cell == "auto":
+        cell = auto_cell(pts, k)
+    cand = materialize(candidate_cells(pts, q, k, cell), "knn-cells")
     cand, _ = maybe_broadcast(cand, max_broadcast_rows)
     cells = pts.withColumn("cx", F.floor(F.col("x") / F.lit(float(cell)))) \
                .withColumn("cy", F.floor(F.col("y") / F.lit(float(cell))))
@@ -113,4 +136,4 @@ def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, cell: float) ->
             .select("q", "qx", "qy", "cx", "cy"))
 
 
-__all__ = ["knn", "knn_batch", "candidate_cells", "DEFAULT_CELL"]
+__all__ = ["knn", "knn_batch", "candidate_cells", "auto_cell", "DEFAULT_CELL"]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import grid_coord, morton_prefix, with_morton
 from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
+from quadrant.session import materialize as write_table
 
 LEAF_KEY = ["depth", "prefix"]
 _GRID = ["gminx", "gmaxx", "gminy", "gmaxy"]
@@ -109,8 +110,8 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
     the scale-free choice; default 1024).  ``extent`` fixes the grid; by
     default it is the data's own extent (L1).
 
-    ``materialize`` (default) writes the extent row, then the leaves, then the
-    grid row to the shared checkpoint folder, in that order, so each is
+    ``materialize`` (default) writes the extent row, then the leaves, as
+    Parquet in the shared checkpoint folder, in that order, so each is
     computed once, later jobs read them back, and lost executors never force
     a recount of the points.
     """
@@ -122,16 +123,13 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
         target_leaves = 1024
     ext = _extent_row(pts, extent)
     if materialize:
-        ext = ext.checkpoint(eager=True)
+        ext = write_table(ext, "quadtree-extent")
     leaves = _leaves(pts, ext, max_depth, cap, target_leaves)
     n_leaves = None
     if materialize:
-        leaves = leaves.checkpoint(eager=True)
+        leaves = write_table(leaves, "quadtree-leaves")
         n_leaves = leaves.count()
-    grid = _grid(ext, leaves)
-    if materialize:
-        grid = grid.checkpoint(eager=True)
-    return QuadTree(leaves, grid, max_depth, n_leaves)
+    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves)
 
 
 def _leaf_table(qt: QuadTree, cols: list[str], max_broadcast_rows: int) -> DataFrame:

@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrant.functions.generators import (point_literal, query_point_value, query_points,
                                            query_window_value, query_windows)
+from quadrant.operators.index import (build_index, index_knn, index_knn_batch, index_knn_join,
+                                      index_pip_join, index_range, index_range_join)
 from quadrant.operators.join import grouped_summary, matched_window_count, pip_join
 from quadrant.operators.knn import knn, knn_batch
 from quadrant.operators.layout import read_clustered, write_clustered
@@ -37,7 +40,7 @@ N_QUERIES = 10           # query points per batch kNN workload
 QUERY_SEED = 11
 N_SEEDS = 11             # seeds of the batch kNN-join (declared in the reference)
 SEEDS_SEED = 13
-CELL = 0.05              # cell side of the two-phase kNN, degrees
+CELL = "auto"            # cell side of the two-phase kNN: sized from the data
 QT_DEPTH = 12            # quad-tree depth cap
 QT_CAP = 500             # quad-tree leaf capacity
 
@@ -201,6 +204,42 @@ def range_pairs_cells(spark, d):
                       known_windows=N_WINDOWS).select("window_id", "id", "x", "y")
 
 
+# --- through the persisted spatial index (Q2, Q5, J2, J6 "using index") ----------
+
+def range_window_indexed(spark, d):
+    idx = build_index(points_b(spark, d))
+    return index_range(spark, idx, *_range_window()).select("id", "x", "y")
+
+
+def range_batch_count_indexed(spark, d):
+    idx = build_index(points_b(spark, d))
+    pairs = index_range_join(spark, idx, _windows(spark))
+    counts = pairs.groupBy("window_id").count().withColumnRenamed("count", "n")
+    return (_windows(spark).select("window_id").join(counts, "window_id", "left")
+            .select("window_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
+def knn_point_indexed(spark, d):
+    idx = build_index(points_a(spark, d))
+    return index_knn(spark, idx, *_knn_point(), K_KNN).select("rank", "id", "x", "y", "d2")
+
+
+def knn_batch_indexed(spark, d):
+    idx = build_index(points_a(spark, d))
+    return index_knn_batch(spark, idx, _queries(spark), K_KNN).select("q", "rank", "id", "x", "y", "d2")
+
+
+def pip_join_indexed(spark, d):
+    idx = build_index(points_b(spark, d))
+    return index_pip_join(spark, idx, _seed_rings(spark, d), "covers").select("window_id", "id", "x", "y")
+
+
+def knn_join_indexed(spark, d):
+    idx_a, idx_b = build_index(points_a(spark, d)), build_index(points_b(spark, d))
+    seed = point_literal(spark, *SEED_POINT)
+    return index_knn_join(spark, idx_a, idx_b, seed, K_RING).select("window_id", "id", "x", "y")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extent_count": extent_count,
     "points_sql_projection": points_sql_projection,
@@ -227,6 +266,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quadtree_leaves": quadtree_leaves,
     "quadtree_assign": quadtree_assign,
     "windows_to_leaves": windows_to_leaves_q,
+    "range_window_indexed": range_window_indexed,
+    "range_batch_count_indexed": range_batch_count_indexed,
+    "knn_point_indexed": knn_point_indexed,
+    "knn_batch_indexed": knn_batch_indexed,
+    "pip_join_indexed": pip_join_indexed,
+    "knn_join_indexed": knn_join_indexed,
 }
 
 __all__ = ["QUERIES"]

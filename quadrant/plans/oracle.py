@@ -127,8 +127,8 @@ def _spread(v: str) -> str:
 
 def _grid(v: str, lo: str, hi: str, depth: int) -> str:
     side = 1 << depth
-    return (f"coalesce(least(CAST({side - 1} AS BIGINT), "
-            f"CAST(floor(({v} - {lo}) / nullif({hi} - {lo}, 0) * {lit(side)}) AS BIGINT)), 0)")
+    return (f"least(CAST({side - 1} AS BIGINT), greatest(CAST(0 AS BIGINT), coalesce("
+            f"CAST(floor(({v} - {lo}) / nullif({hi} - {lo}, 0) * {lit(side)}) AS BIGINT), 0)))")
 
 
 def _coded(points: str, depth: int) -> str:
@@ -220,6 +220,12 @@ SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
         "quadtree_leaves": leaves_d,
         "quadtree_assign": _assign(POINTS_D, C.QT_DEPTH, C.QT_CAP),
         "windows_to_leaves": _windows_to_leaves(windows, leaves_d),
+        "range_window_indexed": f"SELECT id, x, y FROM ({POINTS_B}) WHERE {in_rw}",
+        "range_batch_count_indexed": range_count,
+        "knn_point_indexed": knn_single,
+        "knn_batch_indexed": knn_many,
+        "pip_join_indexed": _pip_join(POINTS_B, seed_rings, "covers"),
+        "knn_join_indexed": knn_join,
     }
 
 

@@ -59,6 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quadrant-tables/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like a reliable checkpoint, computes ``df`` exactly once
+    (``checkpoint(eager=True)`` runs it twice: once to count, once to write),
+    and gives the optimizer real file sizes for later broadcast decisions.
+    A lost executor never forces the input to be recomputed.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for use with Python's own file functions."""
     if path.startswith("file://"):
@@ -68,5 +82,5 @@ def local_path(path: str) -> str:
     return path
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "local_path"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "local_path"]
 
