@@ -25,7 +25,8 @@ from quadrant.operators.range import range_counts, range_join, range_query
 from quadrant.operators.ring import ring_edges
 from quadrant.plans.knn_join import knn_join, knn_rings
 from quadrant.session import scratch_path
-from quadrant.sources.derived import points_a, points_b, points_c, points_d
+from quadrant.sources.derived import b_from, points_a, points_b, points_c, points_d
+from quadrant.streaming.points import run_available, stream_pip_join, stream_range, table_stream
 from quadrant.sources.points import extent, points_sql, read_points
 
 # Workload parameters (shared with the oracle SQL).
@@ -240,6 +241,19 @@ def knn_join_indexed(spark, d):
     return index_knn_join(spark, idx_a, idx_b, seed, K_RING).select("window_id", "id", "x", "y")
 
 
+# --- streaming: lineitem files as a stream of points -------------------------------
+
+def stream_range_window(spark, d):
+    pts = b_from(table_stream(spark, d, "lineitem"))
+    return run_available(stream_range(pts, *_range_window()).select("id", "x", "y"), "range")
+
+
+def stream_pip_join_q(spark, d):
+    pts = b_from(table_stream(spark, d, "lineitem"))
+    joined = stream_pip_join(pts, _seed_rings(spark, d), "intersects", known_windows=N_SEEDS)
+    return run_available(joined.select("window_id", "id", "x", "y"), "pip")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extent_count": extent_count,
     "points_sql_projection": points_sql_projection,
@@ -272,6 +286,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_batch_indexed": knn_batch_indexed,
     "pip_join_indexed": pip_join_indexed,
     "knn_join_indexed": knn_join_indexed,
+    "stream_range_window": stream_range_window,
+    "stream_pip_join": stream_pip_join_q,
 }
 
 __all__ = ["QUERIES"]

@@ -49,25 +49,40 @@ def _derive(df: DataFrame, u: Column, skewed: bool, carry: list[str]) -> DataFra
                   id="_u", carry=carry)
 
 
+def a_from(orders: DataFrame) -> DataFrame:
+    """Set A from an ``orders`` frame (batch or streaming)."""
+    return _derive(orders, F.col("o_orderkey"), False, [])
+
+
+def b_from(lineitem: DataFrame) -> DataFrame:
+    """Set B from a ``lineitem`` frame (batch or streaming)."""
+    return _derive(lineitem, F.col("l_orderkey") * 8 + F.col("l_linenumber"), False, [])
+
+
+def c_from(events: DataFrame, skewed: bool = False) -> DataFrame:
+    """Set C (or the skewed set D) from an ``events`` frame (batch or streaming)."""
+    return _derive(events, F.col("event_id"), skewed, [])
+
+
 def points_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set A: one point per order (unique id), the kNN side."""
-    return _derive(table(spark, sf_dir, "orders"), F.col("o_orderkey"), False, [])
+    return a_from(table(spark, sf_dir, "orders"))
 
 
 def points_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set B: one point per line item; the id is not unique (duplicates kept)."""
-    u = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return _derive(table(spark, sf_dir, "lineitem"), u, False, [])
+    return b_from(table(spark, sf_dir, "lineitem"))
 
 
 def points_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set C: one point per event (unique id)."""
-    return _derive(table(spark, sf_dir, "events"), F.col("event_id"), False, [])
+    return c_from(table(spark, sf_dir, "events"))
 
 
 def points_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set D: events pushed hard towards the extent's lower-left corner (skew)."""
-    return _derive(table(spark, sf_dir, "events"), F.col("event_id"), True, [])
+    return c_from(table(spark, sf_dir, "events"), skewed=True)
 
 
-__all__ = ["points_a", "points_b", "points_c", "points_d", "key_point", "table"]
+__all__ = ["points_a", "points_b", "points_c", "points_d", "a_from", "b_from", "c_from",
+           "key_point", "table"]
