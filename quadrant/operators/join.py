@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import guarded_in_polygon
 from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, quadtree, windows_to_leaves
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast, maybe_broadcast_polygons
 
 _WINDOW_GEOM = ("edges", "mnx", "mxx", "mny", "mxy")
 
@@ -30,16 +30,19 @@ def _pip(predicate: str):
 def pip_join(pts: DataFrame, windows: DataFrame, predicate: str = "intersects",
              strategy: str = "auto", qt: QuadTree | None = None,
              max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-             known_windows: int | None = None) -> DataFrame:
+             known_windows: int | None = None, known_edges: int | None = None) -> DataFrame:
     """``(window_id, ...point columns)`` for every point in a window.
 
     ``predicate``: ``intersects`` / ``covers`` (closed: inside or on an edge),
-    or ``interior`` (strictly inside).
+    or ``interior`` (strictly inside).  ``known_windows`` / ``known_edges``
+    (edges per window) state bounds the caller can prove from its own
+    parameters; anything not stated is measured before broadcasting.
     """
     geo = windows.select("window_id", *_WINDOW_GEOM)
     out_cols = ["window_id", *pts.columns]
     if strategy in ("auto", "broadcast"):
-        w, small = maybe_broadcast(geo, max_broadcast_rows, known_windows)
+        w, small = maybe_broadcast_polygons(geo, max_broadcast_rows, known_rows=known_windows,
+                                            known_edges_per_row=known_edges)
         if small:
             return pts.join(w, _pip(predicate)).select(*out_cols)
         if strategy == "broadcast":
@@ -49,7 +52,8 @@ def pip_join(pts: DataFrame, windows: DataFrame, predicate: str = "intersects",
     qt = qt or quadtree(pts)
     pairs = windows_to_leaves(geo, qt, max_broadcast_rows).join(geo, "window_id")
     bound = None if known_windows is None or qt.n_leaves is None else known_windows * qt.n_leaves
-    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows, bound)
+    pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows, known_rows=bound,
+                                        known_edges_per_row=known_edges)
     tagged = assign_leaves(pts, qt, max_broadcast_rows)
     return tagged.join(pairs, LEAF_KEY).where(_pip(predicate)).select(*out_cols)
 

@@ -33,9 +33,11 @@ from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
 from quadrant.session import materialize
 
 DEFAULT_CELL = "auto"
-# Upper bound on grid cells over the extent: phase 1 crosses occupied cells with
-# the queries, so this keeps it bounded however many points there are.
+# Upper bounds for phase 1, which crosses occupied cells with the queries: at
+# most this many cells over the extent, and at most MAX_RING_PAIRS
+# (query, cell) pairs, however many points there are.
 MAX_GRID_CELLS = 1_000_000
+MAX_RING_PAIRS = 50_000_000
 
 
 def auto_cell(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> float:
@@ -53,6 +55,13 @@ def auto_cell(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> float:
 
 
 def _ranked(df: DataFrame, k: int) -> DataFrame:
+    # Spark keeps k rows per query in every task before the shuffle
+    # (WindowGroupLimit) only for k up to this threshold; above it every
+    # candidate pair would be shuffled, so lift it to k.
+    spark = df.sparkSession
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < k:
+        spark.conf.set(key, str(k))
     w = Window.partitionBy("q").orderBy("d2", "id")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -100,7 +109,8 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     if strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
     if cell == "auto":
-        cell = auto_cell(pts, k)
+        n_queries = known_queries if known_queries is not None else queries.count()
+        cell = auto_cell(pts, k, min(MAX_GRID_CELLS, max(1, MAX_RING_PAIRS // max(1, n_queries))))
     cand = materialize(candidate_cells(pts, q, k, cell), "knn-cells")
     cand, _ = maybe_broadcast(cand, max_broadcast_rows)
     cells = pts.withColumn("cx", F.floor(F.col("x") / F.lit(float(cell)))) \

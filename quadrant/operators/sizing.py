@@ -31,4 +31,29 @@ def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     return (F.broadcast(df), True) if small else (df, False)
 
 
-__all__ = ["MAX_BROADCAST_ROWS", "rows_at_most", "maybe_broadcast"]
+# Default bound on the total number of polygon edges in a broadcast window table.
+MAX_BROADCAST_EDGES = 5_000_000
+
+
+def maybe_broadcast_polygons(windows: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                             max_edges: int = MAX_BROADCAST_EDGES,
+                             known_rows: int | None = None,
+                             known_edges_per_row: int | None = None) -> tuple[DataFrame, bool]:
+    """Like ``maybe_broadcast`` for polygon windows, also bounding the edges.
+
+    A window's size is its edge array, so the row count alone proves nothing.
+    With both bounds known from the caller's parameters (e.g. rings of k
+    edges per seed) no job runs; otherwise one aggregate reads at most
+    ``max_rows + 1`` rows.
+    """
+    if known_rows is not None and known_edges_per_row is not None:
+        small = known_rows <= max_rows and known_rows * known_edges_per_row <= max_edges
+    else:
+        r = windows.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                            F.sum(F.size("edges")).alias("e")).first()
+        small = r["n"] <= max_rows and (r["e"] or 0) <= max_edges
+    return (F.broadcast(windows), True) if small else (windows, False)
+
+
+__all__ = ["MAX_BROADCAST_ROWS", "MAX_BROADCAST_EDGES", "rows_at_most", "maybe_broadcast",
+           "maybe_broadcast_polygons"]

@@ -138,7 +138,7 @@ def _pip(spark, d, predicate, strategy):
     if strategy == "cells":
         qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
     return pip_join(pts, _seed_rings(spark, d), predicate=predicate, strategy=strategy, qt=qt,
-                    known_windows=N_SEEDS).select("window_id", "id", "x", "y")
+                    known_windows=N_SEEDS, known_edges=K_RING).select("window_id", "id", "x", "y")
 
 
 def pip_join_intersects(spark, d):

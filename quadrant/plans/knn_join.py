@@ -37,7 +37,7 @@ def knn_join(pts_a: DataFrame, pts_b: DataFrame, seeds: DataFrame, k: int = 100,
     """
     rings = knn_rings(pts_a, seeds, k, knn_strategy, cell, known_seeds)
     return pip_join(pts_b, rings, predicate=predicate, strategy=strategy, qt=qt,
-                    known_windows=known_seeds)
+                    known_windows=known_seeds, known_edges=k)
 
 
 def knn_join_point(pts_a: DataFrame, pts_b: DataFrame, qx: float, qy: float, k: int = 100,

@@ -63,7 +63,7 @@ def stream_range(stream: DataFrame, x1: float, x2: float, y1: float, y2: float)
 
 
 def stream_pip_join(stream: DataFrame, windows: DataFrame, predicate: str = "intersects",
-                    known_windows: int | None = None) -> DataFrame:
+                    known_windows: int | None = None, known_edges: int | None = None) -> DataFrame:
     """J1 on a stream: every arriving point tested against a fixed window table.
 
     The window table is written once to the shared folder first, so it is not
@@ -71,7 +71,7 @@ def stream_pip_join(stream: DataFrame, windows: DataFrame, predicate: str = "int
     """
     fixed = materialize(windows, "stream-windows")
     return pip_join(stream, fixed, predicate=predicate, strategy="broadcast",
-                    known_windows=known_windows)
+                    known_windows=known_windows, known_edges=known_edges)
 
 
 def run_available(result: DataFrame, name: str = "stream") -> DataFrame:
