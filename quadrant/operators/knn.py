@@ -40,18 +40,22 @@ MAX_GRID_CELLS = 1_000_000
 MAX_RING_PAIRS = 50_000_000
 
 
+def cell_size(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> DataFrame:
+    """One row ``(cell)``: the side for which an average cell holds about k/4
+    points, but never more than ``max_cells`` cells over the extent (one
+    aggregate, evaluated inside the job that uses it)."""
+    w = F.max("x") - F.min("x")
+    h = F.max("y") - F.min("y")
+    area = F.when((w > 0) & (h > 0), w * h).otherwise(F.greatest(w, h) * F.greatest(w, h))
+    n = F.count(F.lit(1))
+    side = F.greatest(F.sqrt(area * F.lit(float(max(k, 4))) / (F.lit(4.0) * n)),
+                      F.sqrt(area / F.lit(float(max_cells))))
+    return pts.agg(F.when((n > 0) & (area > 0), side).otherwise(F.lit(1.0)).alias("cell"))
+
+
 def auto_cell(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> float:
-    """Cell side for which an average cell holds about k/4 points (one aggregate),
-    but never more than ``max_cells`` cells over the extent."""
-    r = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    n = r[4]
-    if not n:
-        return 1.0
-    w, h = r[1] - r[0], r[3] - r[2]
-    area = w * h if w > 0 and h > 0 else max(w, h) ** 2
-    if area <= 0:
-        return 1.0
-    return max(math.sqrt(area * max(k, 4) / (4.0 * n)), math.sqrt(area / max_cells))
+    """``cell_size`` as a Python float (runs the aggregate)."""
+    return cell_size(pts, k, max_cells).first()["cell"]
 
 
 def _ranked(df: DataFrame, k: int) -> DataFrame:
@@ -94,10 +98,14 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     """Q7: the k nearest points of every query point in ``queries (q, qx, qy)``.
 
     ``q`` must be unique.  The query table is broadcast only when it passes
-    the size check; ``auto`` picks ``cells``.
+    the size check.  ``auto`` reads the points once: a bounded per-task heap
+    (``sort``, TakeOrderedAndProject) for a single query, the per-task
+    ``WindowGroupLimit`` (``brute``) for several.  ``cells`` costs three scans
+    but ships almost nothing; the persisted index (``index_knn_batch``) reads
+    only the neighbourhood of each query.
     """
     if strategy == "auto":
-        strategy = "cells"
+        strategy = "sort" if known_queries == 1 else "brute"
     q, small = maybe_broadcast(queries.select("q", "qx", "qy"), max_broadcast_rows, known_queries)
     if not small:
         raise ValueError("query table is too large to broadcast; split it into batches by q")
@@ -106,34 +114,49 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     if strategy == "brute":
         pairs = pts.crossJoin(q).withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy")))
         return _out(_ranked(pairs, k), pts)
+    if strategy == "sort":
+        if known_queries != 1:
+            raise ValueError("strategy='sort' takes exactly one query (known_queries=1)")
+        top = (pts.crossJoin(q).withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy")))
+               .orderBy("d2", "id").limit(k))
+        return _out(top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id"))), pts)
     if strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
     if cell == "auto":
         n_queries = known_queries if known_queries is not None else queries.count()
-        cell = auto_cell(pts, k, min(MAX_GRID_CELLS, max(1, MAX_RING_PAIRS // max(1, n_queries))))
-    cand = materialize(candidate_cells(pts, q, k, cell), "knn-cells")
-    cand, _ = maybe_broadcast(cand, max_broadcast_rows)
-    cells = pts.withColumn("cx", F.floor(F.col("x") / F.lit(float(cell)))) \
-               .withColumn("cy", F.floor(F.col("y") / F.lit(float(cell))))
+        size = cell_size(pts, k, min(MAX_GRID_CELLS, max(1, MAX_RING_PAIRS // max(1, n_queries))))
+    else:
+        size = pts.sparkSession.range(1).select(F.lit(float(cell)).alias("cell"))
+    cand = materialize(candidate_cells(pts, q, k, size), "knn-cells")
+    meta = cand.agg(F.count(F.lit(1)).alias("n"), F.max("cell").alias("cell")).first()
+    if meta["n"] == 0:
+        return _out(pts.crossJoin(q).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts)
+    c = F.lit(float(meta["cell"]))
+    cand, _ = maybe_broadcast(cand.drop("cell"), max_broadcast_rows, meta["n"])
+    cells = (pts.withColumn("cx", F.floor(F.col("x") / c))
+                .withColumn("cy", F.floor(F.col("y") / c)))
     pairs = (cells.join(cand, ["cx", "cy"])
              .withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy"))))
     return _out(_ranked(pairs, k), pts)
 
 
-def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
-    """Phase 1 of the exact cell kNN: ``(q, qx, qy, cx, cy)`` cells to search.
+def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, size: DataFrame) -> DataFrame:
+    """Phase 1 of the exact cell kNN: ``(q, qx, qy, cx, cy, cell)`` cells to search.
 
-    ``R`` is the smallest Chebyshev cell radius whose rings hold >= k points
-    (all points if fewer).  Those points are all within ``(R+1)*cell*sqrt(2)``
-    of the query, and any point in a ring ``r`` is at least ``(r-1)*cell`` away,
-    so rings up to ``floor((R+1)*sqrt(2)) + 1`` hold every possible neighbour.
-    Only occupied cells take part, so far-away queries cost nothing extra.
+    ``size`` is a one-row frame ``(cell)`` holding the cell side.  ``R`` is the
+    smallest Chebyshev cell radius whose rings hold >= k points (all points if
+    fewer).  Those points are all within ``(R+1)*cell*sqrt(2)`` of the query,
+    and any point in a ring ``r`` is at least ``(r-1)*cell`` away, so rings up
+    to ``floor((R+1)*sqrt(2)) + 1`` hold every possible neighbour.  Only
+    occupied cells take part, so far-away queries cost nothing extra.
     """
-    c = F.lit(float(cell))
-    occupied = (pts.select(F.floor(F.col("x") / c).alias("cx"), F.floor(F.col("y") / c).alias("cy"))
+    c = F.col("cell")
+    occupied = (pts.crossJoin(F.broadcast(size))
+                .select(F.floor(F.col("x") / c).alias("cx"), F.floor(F.col("y") / c).alias("cy"))
                 .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
-    qc = queries.select("q", "qx", "qy", F.floor(F.col("qx") / c).alias("qcx"),
-                        F.floor(F.col("qy") / c).alias("qcy"))
+    qc = (queries.crossJoin(F.broadcast(size))
+          .select("q", "qx", "qy", "cell", F.floor(F.col("qx") / c).alias("qcx"),
+                  F.floor(F.col("qy") / c).alias("qcy")))
     ring = (occupied.crossJoin(F.broadcast(qc))
             .withColumn("r", F.greatest(F.abs(F.col("cx") - F.col("qcx")), F.abs(F.col("cy") - F.col("qcy")))))
     per_r = ring.groupBy("q", "r").agg(F.sum("n").alias("n"))
@@ -143,7 +166,7 @@ def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, cell: float) ->
         F.coalesce(F.min(F.when(F.col("cum") >= k, F.col("r"))), F.max("r")).alias("R"))
     reach = radius.select("q", (F.floor((F.col("R") + 1) * F.lit(math.sqrt(2.0))) + 1).alias("rmax"))
     return (ring.join(F.broadcast(reach), "q").where(F.col("r") <= F.col("rmax"))
-            .select("q", "qx", "qy", "cx", "cy"))
+            .select("q", "qx", "qy", "cx", "cy", "cell"))
 
 
-__all__ = ["knn", "knn_batch", "candidate_cells", "auto_cell", "DEFAULT_CELL"]
+__all__ = ["knn", "knn_batch", "candidate_cells", "cell_size", "auto_cell", "DEFAULT_CELL"]

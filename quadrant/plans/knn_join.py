@@ -17,7 +17,7 @@ from quadrant.operators.quadtree import QuadTree
 from quadrant.operators.ring import ring_polygons
 
 
-def knn_rings(pts: DataFrame, seeds: DataFrame, k: int = 100, knn_strategy: str = "cells",
+def knn_rings(pts: DataFrame, seeds: DataFrame, k: int = 100, knn_strategy: str = "auto",
               cell: float | str = DEFAULT_CELL, known_seeds: int | None = None) -> DataFrame:
     """Rings ``(window_id = q, edges, bbox, n_vertices)`` from each seed's k neighbours."""
     nn = knn_batch(pts.select("id", "x", "y"), seeds, k, strategy=knn_strategy, cell=cell,
@@ -27,7 +27,7 @@ def knn_rings(pts: DataFrame, seeds: DataFrame, k: int = 100, knn_strategy: str
 
 def knn_join(pts_a: DataFrame, pts_b: DataFrame, seeds: DataFrame, k: int = 100,
              predicate: str = "intersects", strategy: str = "broadcast",
-             knn_strategy: str = "cells", qt: QuadTree | None = None,
+             knn_strategy: str = "auto", qt: QuadTree | None = None,
              cell: float | str = DEFAULT_CELL, known_seeds: int | None = None) -> DataFrame:
     """``(window_id, ...points of B)`` for every seed's ring.
 
