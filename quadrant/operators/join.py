@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import guarded_in_polygon
 from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, quadtree, windows_to_leaves
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast, maybe_broadcast_polygons
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast_polygons
 
 _WINDOW_GEOM = ("edges", "mnx", "mxx", "mny", "mxy")
 

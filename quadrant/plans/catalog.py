@@ -17,7 +17,7 @@ from quadrant.functions.generators import (point_literal, query_point_value, que
                                            query_window_value, query_windows)
 from quadrant.operators.index import (build_index, index_knn, index_knn_batch, index_knn_join,
                                       index_pip_join, index_range, index_range_join)
-from quadrant.operators.join import grouped_summary, matched_window_count, pip_join
+from quadrant.operators.join import grouped, grouped_summary, matched_window_count, pip_join
 from quadrant.operators.knn import knn, knn_batch
 from quadrant.operators.layout import read_clustered, write_clustered
 from quadrant.operators.quadtree import assign_leaves, quadtree, windows_to_leaves
@@ -157,6 +157,21 @@ def pip_join_grouped(spark, d):
     return grouped_summary(_pip(spark, d, "intersects", "broadcast"))
 
 
+def pip_join_grouped_pairs(spark, d):
+    """J3 as the distributed set of (window, point id) pairs."""
+    return grouped(_pip(spark, d, "intersects", "broadcast"))
+
+
+def range_window_count(spark, d):
+    """A1: count action on a range result, as a one-row frame."""
+    return range_query(points_b(spark, d), *_range_window()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def knn_point_count(spark, d):
+    """A2: size of a kNN result (k, or n when k > n)."""
+    return knn(points_a(spark, d), *_knn_point(), K_KNN).agg(F.count(F.lit(1)).alias("n"))
+
+
 def matched_window_count_q(spark, d):
     return matched_window_count(_pip(spark, d, "intersects", "broadcast"))
 
@@ -273,6 +288,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pip_join_covers_cells": pip_join_covers_cells,
     "pip_join_interior": pip_join_interior,
     "pip_join_grouped": pip_join_grouped,
+    "pip_join_grouped_pairs": pip_join_grouped_pairs,
+    "range_window_count": range_window_count,
+    "knn_point_count": knn_point_count,
     "matched_window_count": matched_window_count_q,
     "knn_join": knn_join_q,
     "knn_join_cells": knn_join_cells,

@@ -214,6 +214,9 @@ SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
         "pip_join_interior": _pip_join(POINTS_B, seed_rings, "interior"),
         "pip_join_grouped": _summary(pip_c),
         "matched_window_count": f"SELECT count(DISTINCT window_id) AS n_windows FROM ({pip_c})",
+        "pip_join_grouped_pairs": f"SELECT DISTINCT window_id, id FROM ({pip_c})",
+        "range_window_count": f"SELECT count(*) AS n FROM ({POINTS_B}) WHERE {in_rw}",
+        "knn_point_count": f"SELECT count(*) AS n FROM ({knn_single})",
         "knn_join": knn_join,
         "knn_join_cells": knn_join,
         "knn_join_batch": _summary(_pip_join(POINTS_C, seed_rings, "intersects")),
