@@ -5,3 +5,7 @@ from quadrant.operators.join import pip_join, grouped, grouped_summary, matched_
 from quadrant.operators.quadtree import QuadTree, quadtree, assign_leaves, windows_to_leaves  # noqa: F401
 from quadrant.operators.layout import zorder, write_clustered, read_clustered  # noqa: F401
 from quadrant.operators.sizing import rows_at_most, maybe_broadcast  # noqa: F401
+from quadrant.operators.index import (  # noqa: F401
+    SpatialIndex, build_index, open_index, index_range, index_range_join, index_knn, index_knn_batch,
+    index_pip_join, index_knn_join,
+)

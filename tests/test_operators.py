@@ -190,3 +190,33 @@ def test_quadtree_target_leaves_and_degenerate_extent(spark):
     leaves = qt2.leaves.collect()
     assert len(leaves) == 1 and leaves[0].n == 20 and leaves[0].depth == 6
     assert assign_leaves(same, qt2).count() == 20
+
+
+def test_over_bound_windows_fall_back_to_cells(spark):
+    # max_broadcast_rows=1 forces the shuffle-based path for both joins.
+    a, b = points_a(spark, SF001), points_b(spark, SF001)
+    rings = knn_rings(a, query_points(spark, 3, seed=12), 30, known_seeds=3)
+    want = rows(pip_join(b, rings, known_windows=3))
+    got = pip_join(b, rings, strategy="auto", max_broadcast_rows=1,
+                   qt=quadtree(b, max_depth=8, cap=100))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan or "SortMergeJoin" in plan  # equi-join on the leaf key
+    assert rows(got) == want
+    w = query_windows(spark, 5, seed=9)
+    want = rows(range_join(b, w, known_windows=5))
+    got = range_join(b, w, strategy="auto", max_broadcast_rows=1, qt=quadtree(b, max_depth=8, cap=100))
+    assert rows(got) == want
+
+
+def test_empty_window_table(spark):
+    pts = points_b(spark, SF001)
+    empty = query_windows(spark, 0)
+    assert range_counts(pts, empty).count() == 0
+    assert range_join(pts, empty).count() == 0
+
+
+def test_batch_kNN_refuses_unbounded_query_table(spark):
+    pts = points_a(spark, SF001)
+    q = query_points(spark, 5, seed=1)
+    with pytest.raises(ValueError):
+        knn_batch(pts, q, 3, max_broadcast_rows=2)
