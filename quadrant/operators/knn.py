@@ -58,16 +58,35 @@ def auto_cell(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> float:
     return cell_size(pts, k, max_cells).first()["cell"]
 
 
+# Largest k for which one query uses TakeOrderedAndProject: its final task
+# merges k rows from every scan task, fine for small k only.
+SORT_MAX_K = 100
+
+# First-level fan-in of the two-level top-k: scan tasks are grouped into this
+# many buckets, each keeping k rows per query, before the per-query merge.
+TOPK_BUCKETS = 1024
+
+
 def _ranked(df: DataFrame, k: int) -> DataFrame:
-    # Spark keeps k rows per query in every task before the shuffle
-    # (WindowGroupLimit) only for k up to this threshold; above it every
-    # candidate pair would be shuffled, so lift it to k.
+    """``rank`` = position by ``(d2, id)`` within each query, keeping ``rank <= k``.
+
+    Two levels, so no task ever merges k rows from every scan task: first per
+    (query, bucket of scan tasks), then per query.  With P scan tasks the
+    groups hold at most k * P / TOPK_BUCKETS and k * TOPK_BUCKETS rows.  Each
+    level keeps k rows per group inside every task before its shuffle
+    (``WindowGroupLimit``).
+    """
+    # Spark applies that per-task limit only for k up to this threshold; lift it.
     spark = df.sparkSession
     key = "spark.sql.optimizer.windowGroupLimitThreshold"
     if int(spark.conf.get(key, "1000")) < k:
         spark.conf.set(key, str(k))
+    bucket = Window.partitionBy("q", "_bucket").orderBy("d2", "id")
+    first = (df.withColumn("_bucket", F.spark_partition_id() % TOPK_BUCKETS)
+             .withColumn("_r", F.row_number().over(bucket)).where(F.col("_r") <= k)
+             .drop("_r", "_bucket"))
     w = Window.partitionBy("q").orderBy("d2", "id")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _out(df: DataFrame, pts: DataFrame, with_q: bool = True) -> DataFrame:
@@ -99,13 +118,13 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
 
     ``q`` must be unique.  The query table is broadcast only when it passes
     the size check.  ``auto`` reads the points once: a bounded per-task heap
-    (``sort``, TakeOrderedAndProject) for a single query, the per-task
-    ``WindowGroupLimit`` (``brute``) for several.  ``cells`` costs three scans
+    (``sort``, TakeOrderedAndProject) for a single query with small k, else
+    the two-level per-task ``WindowGroupLimit`` (``brute``).  ``cells`` costs three scans
     but ships almost nothing; the persisted index (``index_knn_batch``) reads
     only the neighbourhood of each query.
     """
     if strategy == "auto":
-        strategy = "sort" if known_queries == 1 else "brute"
+        strategy = "sort" if known_queries == 1 and k <= SORT_MAX_K else "brute"
     q, small = maybe_broadcast(queries.select("q", "qx", "qy"), max_broadcast_rows, known_queries)
     if not small:
         raise ValueError("query table is too large to broadcast; split it into batches by q")
@@ -169,4 +188,4 @@ def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, size: DataFrame)
             .select("q", "qx", "qy", "cx", "cy", "cell"))
 
 
-__all__ = ["knn", "knn_batch", "candidate_cells", "cell_size", "auto_cell", "DEFAULT_CELL"]
+__all__ = ["SORT_MAX_K", "TOPK_BUCKETS", "knn", "knn_batch", "candidate_cells", "cell_size", "auto_cell", "DEFAULT_CELL"]

@@ -41,8 +41,11 @@ def write_clustered(pts: DataFrame, path: str | None = None, partitions: int | N
     spark = pts.sparkSession
     path = path or scratch_path(spark, "clustered")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = (zorder(pts, extent, depth).repartitionByRange(n, "zkey").sortWithinPartitions("zkey")
-              .write.mode("errorifexists"))
+    # The row number breaks ties so that a key holding a third of all rows is
+    # still split evenly across range partitions (and files).
+    keyed = zorder(pts, extent, depth).withColumn("_tie", F.monotonically_increasing_id())
+    writer = (keyed.repartitionByRange(n, "zkey", "_tie").sortWithinPartitions("zkey", "_tie")
+              .drop("_tie").write.mode("errorifexists"))
     if rows_per_group:
         writer = writer.option("parquet.block.size", str(rows_per_group * 24))
     writer.parquet(path)
