@@ -96,7 +96,7 @@ def main() -> None:
         "range_window": lambda: range_query(B, *rw),
         "range_window_clustered": lambda: range_query(BZ, *rw),
         "range_batch_count": lambda: range_counts(B, windows, known_windows=C.N_WINDOWS),
-        "knn_point": lambda: knn(A, *kp, C.K_KNN, strategy="sort"),
+        "knn_point": lambda: knn(A, *kp, C.K_KNN),
         "knn_point_cells": lambda: knn(A, *kp, C.K_KNN, strategy="cells", cell=C.CELL),
         "knn_batch": lambda: knn_batch(A, qpts, C.K_KNN, strategy="brute", known_queries=C.N_QUERIES),
         "knn_batch_cells": lambda: knn_batch(A, qpts, C.K_KNN, strategy="cells", cell=C.CELL,

@@ -95,20 +95,19 @@ def _out(df: DataFrame, pts: DataFrame, with_q: bool = True) -> DataFrame:
     return df.select(*lead, "rank", "id", "x", "y", "d2", *rest)
 
 
-def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "sort",
+def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "auto",
         cell: float | str = DEFAULT_CELL) -> DataFrame:
-    """Q4/Q5/Q6: the k nearest points to one query point ``(qx, qy)``."""
+    """Q4/Q5/Q6: the k nearest points to one query point ``(qx, qy)``.
+
+    ``rank, id, x, y, d2, ...``; strategies as in ``knn_batch`` (``auto``: the
+    heap top-k for k <= SORT_MAX_K, else the two-level top-k).
+    """
     if k <= 0:
         return _out(pts.withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts, False)
-    if strategy == "cells":
-        queries = point_literal(pts.sparkSession, qx, qy)
-        return _out(knn_batch(pts, queries, k, strategy="cells", cell=cell, known_queries=1), pts, False)
-    if strategy != "sort":
+    if strategy not in ("auto", "sort", "brute", "cells"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    top = pts.withColumn("d2", dist2("x", "y", float(qx), float(qy))).orderBy("d2", "id").limit(k)
-    # k rows at most: numbering them is a single small task.
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id")))
-    return _out(ranked, pts, False)
+    queries = point_literal(pts.sparkSession, qx, qy)
+    return _out(knn_batch(pts, queries, k, strategy=strategy, cell=cell, known_queries=1), pts, False)
 
 
 def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto",

@@ -100,7 +100,7 @@ def range_batch_count_cells(spark, d):
 
 
 def knn_point(spark, d):
-    return knn(points_a(spark, d), *_knn_point(), K_KNN, strategy="sort")
+    return knn(points_a(spark, d), *_knn_point(), K_KNN)
 
 
 def knn_point_cells(spark, d):
