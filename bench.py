@@ -27,6 +27,7 @@ from quadrant.operators.index import (build_index, index_knn, index_knn_batch, i
 from quadrant.operators.join import grouped_summary, pip_join  # noqa: E402
 from quadrant.operators.knn import knn, knn_batch  # noqa: E402
 from quadrant.operators.layout import read_clustered, write_clustered  # noqa: E402
+from quadrant.operators.partitioned import leaf_pip_join, partition_by_leaves  # noqa: E402
 from quadrant.operators.quadtree import quadtree  # noqa: E402
 from quadrant.operators.range import range_counts, range_query  # noqa: E402
 from quadrant.plans import catalog as C  # noqa: E402
@@ -85,6 +86,11 @@ def main() -> None:
     setup["quadtree_build"] = _timed(build_tree)
     qt = holder["qt"]
 
+    def build_partitioned():
+        holder["lp"] = partition_by_leaves(B, qt, partitions=int(cpus))
+    setup["leaf_partition_build"] = _timed(build_partitioned)
+    lp = holder["lp"]
+
     rw = query_window_value(*C.RANGE_WINDOW)
     kp = query_point_value(*C.KNN_POINT)
     windows = query_windows(spark, C.N_WINDOWS, C.WINDOW_SEED)
@@ -116,6 +122,10 @@ def main() -> None:
         "knn_batch_indexed": lambda: index_knn_batch(spark, ia, qpts, C.K_KNN),
         "pip_join_indexed": lambda: index_pip_join(spark, ib, rings_b),
         "knn_join_indexed": lambda: index_knn_join(spark, ia, ib, seed, C.K_RING),
+        "pip_join_partitioned": lambda: leaf_pip_join(spark, lp, rings_b, known_windows=C.N_SEEDS,
+                                                      known_edges=C.K_RING),
+        "knn_join_partitioned": lambda: leaf_pip_join(
+            spark, lp, knn_rings(A, seed, C.K_RING, known_seeds=1), known_windows=1, known_edges=C.K_RING),
     })
     rings_b = materialize(knn_rings(A, seeds, C.K_RING, known_seeds=C.N_SEEDS), "bench-rings")
 

@@ -9,3 +9,6 @@ from quadrant.operators.index import (  # noqa: F401
     SpatialIndex, build_index, open_index, index_range, index_range_join, index_knn, index_knn_batch,
     index_pip_join, index_knn_join,
 )
+from quadrant.operators.partitioned import (  # noqa: F401
+    LeafPartitioned, partition_by_leaves, leaf_pip_join, leaf_range_join,
+)

@@ -20,6 +20,7 @@ from quadrant.operators.index import (build_index, index_knn, index_knn_batch, i
 from quadrant.operators.join import grouped, grouped_summary, matched_window_count, pip_join
 from quadrant.operators.knn import knn, knn_batch
 from quadrant.operators.layout import read_clustered, write_clustered
+from quadrant.operators.partitioned import leaf_pip_join, leaf_range_join, partition_by_leaves
 from quadrant.operators.quadtree import assign_leaves, quadtree, windows_to_leaves
 from quadrant.operators.range import range_counts, range_join, range_query
 from quadrant.operators.ring import ring_edges
@@ -256,6 +257,29 @@ def knn_join_indexed(spark, d):
     return index_knn_join(spark, idx_a, idx_b, seed, K_RING).select("window_id", "id", "x", "y")
 
 
+# --- points stored partitioned by quad-tree leaf (J2/J6 "partitioned + indexed") -----
+
+def pip_join_covers_partitioned(spark, d):
+    lp = partition_by_leaves(points_b(spark, d), quadtree(points_b(spark, d), max_depth=QT_DEPTH, cap=QT_CAP))
+    return leaf_pip_join(spark, lp, _seed_rings(spark, d), "covers", known_windows=N_SEEDS,
+                         known_edges=K_RING).select("window_id", "id", "x", "y")
+
+
+def knn_join_partitioned(spark, d):
+    pts_b = points_b(spark, d)
+    lp = partition_by_leaves(pts_b, quadtree(pts_b, max_depth=QT_DEPTH, cap=QT_CAP))
+    seed = point_literal(spark, *SEED_POINT)
+    rings = knn_rings(points_a(spark, d), seed, K_RING, known_seeds=1)
+    return leaf_pip_join(spark, lp, rings, "intersects", known_windows=1,
+                         known_edges=K_RING).select("window_id", "id", "x", "y")
+
+
+def range_pairs_partitioned(spark, d):
+    pts = points_d(spark, d)
+    lp = partition_by_leaves(pts, quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP))
+    return leaf_range_join(spark, lp, _windows(spark)).select("window_id", "id", "x", "y")
+
+
 # --- streaming: lineitem files as a stream of points -------------------------------
 
 def stream_range_window(spark, d):
@@ -304,6 +328,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_batch_indexed": knn_batch_indexed,
     "pip_join_indexed": pip_join_indexed,
     "knn_join_indexed": knn_join_indexed,
+    "pip_join_covers_partitioned": pip_join_covers_partitioned,
+    "knn_join_partitioned": knn_join_partitioned,
+    "range_pairs_partitioned": range_pairs_partitioned,
     "stream_range_window": stream_range_window,
     "stream_pip_join": stream_pip_join_q,
 }

@@ -229,6 +229,9 @@ SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
         "knn_batch_indexed": knn_many,
         "pip_join_indexed": _pip_join(POINTS_B, seed_rings, "covers"),
         "knn_join_indexed": knn_join,
+        "pip_join_covers_partitioned": _pip_join(POINTS_B, seed_rings, "covers"),
+        "knn_join_partitioned": knn_join,
+        "range_pairs_partitioned": d_pairs,
         "stream_range_window": f"SELECT id, x, y FROM ({POINTS_B}) WHERE {in_rw}",
         "stream_pip_join": pip_c,
     }
