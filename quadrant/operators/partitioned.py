@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quadrant.functions.geometry import guarded_in_polygon, in_envelope
 from quadrant.operators.quadtree import QuadTree, assign_leaves, quadtree, windows_to_leaves
 from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast, maybe_broadcast_polygons
-from quadrant.session import scratch_path
+from quadrant.session import materialize, scratch_path
 
 
 def leaf_id(depth: Column | str = "depth", prefix: Column | str = "prefix") -> Column:
@@ -63,11 +63,27 @@ def partition_by_leaves(pts: DataFrame, qt: QuadTree | None = None, path: str |
     return LeafPartitioned(path, qt)
 
 
-def _leaves_for(spark: SparkSession, lp: LeafPartitioned, boxes: DataFrame) -> tuple[DataFrame, list[int]]:
+def _read_leaves(spark: SparkSession, lp: LeafPartitioned, ids: list[int]) -> DataFrame:
+    """Only the given leaf directories: nothing else is even listed."""
+    if not ids:
+        return lp.points(spark).where(F.lit(False))
+    paths = [f"{lp.path}/leaf={i}" for i in ids]
+    return spark.read.option("basePath", lp.path).parquet(*paths)
+
+
+def _pairs(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame, name: str) -> tuple[DataFrame, list[int], int]:
+    """``(leaf, window_id, ...window columns)`` for every leaf a window's box meets.
+
+    Written once to the shared folder: the window table is computed a single
+    time although both the driver (for the leaf ids) and the join read it.
+    Its size is bounded by windows x leaves, and the leaf count is fixed by
+    the tree (target_leaves).
+    """
+    boxes = windows.select("window_id", "mnx", "mxx", "mny", "mxy")
     pairs = windows_to_leaves(boxes, lp.qt).select("window_id", leaf_id().alias("leaf"))
-    # Bounded by the number of leaves, which the tree fixes (target_leaves).
-    ids = sorted({r["leaf"] for r in pairs.select("leaf").distinct().collect()})
-    return pairs, ids
+    table = materialize(pairs.join(windows, "window_id"), name)
+    stats = table.agg(F.count(F.lit(1)).alias("n"), F.collect_set("leaf").alias("ids")).first()
+    return table, sorted(stats["ids"]), stats["n"]
 
 
 def leaf_pip_join(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame,
@@ -82,11 +98,10 @@ def leaf_pip_join(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame,
     the leaf key, which is balanced because leaves are.
     """
     geo = windows.select("window_id", "edges", "mnx", "mxx", "mny", "mxy")
-    pairs, ids = _leaves_for(spark, lp, geo)
-    pts = lp.points(spark).where(F.col("leaf").isin(ids))
-    bound = None if known_windows is None else known_windows * lp.qt.n_leaves
-    pairs_geo, _ = maybe_broadcast_polygons(pairs.join(geo, "window_id"), max_broadcast_rows,
-                                            known_rows=bound, known_edges_per_row=known_edges)
+    pairs, ids, n_pairs = _pairs(spark, lp, geo, "leaf-pairs")
+    pts = _read_leaves(spark, lp, ids)
+    pairs_geo, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows, known_rows=n_pairs,
+                                            known_edges_per_row=known_edges)
     hit = guarded_in_polygon("edges", "x", "y", "mnx", "mxx", "mny", "mxy", predicate)
     cols = [c for c in pts.columns if c != "leaf"]
     return pts.join(pairs_geo, "leaf").where(hit).select("window_id", *cols)
@@ -97,9 +112,9 @@ def leaf_range_join(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame
     """Q3 over leaf-partitioned points: ``(window_id, ...point columns)`` pairs."""
     w = windows.select("window_id", F.least("mnx", "mxx").alias("mnx"), F.greatest("mnx", "mxx").alias("mxx"),
                        F.least("mny", "mxy").alias("mny"), F.greatest("mny", "mxy").alias("mxy"))
-    pairs, ids = _leaves_for(spark, lp, w)
-    pts = lp.points(spark).where(F.col("leaf").isin(ids))
-    pairs_w, _ = maybe_broadcast(pairs.join(w, "window_id"), max_broadcast_rows)
+    pairs, ids, n_pairs = _pairs(spark, lp, w, "leaf-range-pairs")
+    pts = _read_leaves(spark, lp, ids)
+    pairs_w, _ = maybe_broadcast(pairs, max_broadcast_rows, n_pairs)
     cols = [c for c in pts.columns if c != "leaf"]
     return (pts.join(pairs_w, "leaf").where(in_envelope("x", "y", "mnx", "mxx", "mny", "mxy"))
             .select("window_id", *cols))
