@@ -11,6 +11,6 @@ from quadrant.operators import (  # noqa: F401
     polygon_from_vertices, pip_join, grouped, grouped_summary, matched_window_count,
     quadtree, assign_leaves, windows_to_leaves, zorder, write_clustered, read_clustered,
     SpatialIndex, build_index, open_index, index_range, index_range_join, index_knn, index_knn_batch,
-    index_pip_join, index_knn_join,
+    index_pip_join, index_knn_join, LeafPartitioned, partition_by_leaves, leaf_pip_join, leaf_range_join,
 )
 from quadrant.plans import knn_join, knn_join_point, knn_rings  # noqa: F401
