@@ -6,7 +6,8 @@ two matches.
 
 * ``broadcast`` (J1): the window table is broadcast; every point is tested
   against each window's bounding box, and only points inside a box run the
-  per-edge polygon test (``CASE WHEN`` guard).
+  per-edge polygon test (``CASE WHEN`` guard).  ``auto`` uses it for up to
+  ``MAX_LOOP_ROWS`` windows (the loop costs points x windows).
 * ``cells`` (J2): points and windows meet on quad-tree leaf keys, then the
   same guarded test.  Same rows as ``broadcast`` by construction.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import guarded_in_polygon
 from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, quadtree, windows_to_leaves
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast_polygons
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast_polygons
 
 _WINDOW_GEOM = ("edges", "mnx", "mxx", "mny", "mxy")
 
@@ -41,7 +42,8 @@ def pip_join(pts: DataFrame, windows: DataFrame, predicate: str = "intersects",
     geo = windows.select("window_id", *_WINDOW_GEOM)
     out_cols = ["window_id", *pts.columns]
     if strategy in ("auto", "broadcast"):
-        w, small = maybe_broadcast_polygons(geo, max_broadcast_rows, known_rows=known_windows,
+        limit = min(max_broadcast_rows, MAX_LOOP_ROWS) if strategy == "auto" else max_broadcast_rows
+        w, small = maybe_broadcast_polygons(geo, limit, known_rows=known_windows,
                                             known_edges_per_row=known_edges)
         if small:
             return pts.join(w, _pip(predicate)).select(*out_cols)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import dist2
 from quadrant.functions.generators import point_literal
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast, rows_at_most
 from quadrant.session import materialize
 
 DEFAULT_CELL = "auto"
@@ -118,15 +118,23 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     ``q`` must be unique.  The query table is broadcast only when it passes
     the size check.  ``auto`` reads the points once: a bounded per-task heap
     (``sort``, TakeOrderedAndProject) for a single query with small k, else
-    the two-level per-task ``WindowGroupLimit`` (``brute``).  ``cells`` costs three scans
+    the two-level per-task ``WindowGroupLimit`` (``brute``) for up to
+    ``MAX_LOOP_ROWS`` queries (it computes points x queries distances), and
+    ``cells`` beyond that.  ``cells`` costs three scans
     but ships almost nothing; the persisted index (``index_knn_batch``) reads
     only the neighbourhood of each query.
     """
-    if strategy == "auto":
-        strategy = "sort" if known_queries == 1 and k <= SORT_MAX_K else "brute"
     q, small = maybe_broadcast(queries.select("q", "qx", "qy"), max_broadcast_rows, known_queries)
     if not small:
         raise ValueError("query table is too large to broadcast; split it into batches by q")
+    if strategy == "auto":
+        if known_queries == 1 and k <= SORT_MAX_K:
+            strategy = "sort"
+        else:
+            # brute tests every point against every query: only for few queries.
+            few = (known_queries <= MAX_LOOP_ROWS if known_queries is not None
+                   else rows_at_most(queries, MAX_LOOP_ROWS))
+            strategy = "brute" if few else "cells"
     if k <= 0:
         return _out(pts.crossJoin(q).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts)
     if strategy == "brute":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import envelope_literals, in_envelope
 from quadrant.operators.quadtree import QuadTree, assign_leaves, quadtree, windows_to_leaves, LEAF_KEY
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast
 
 
 def range_query(pts: DataFrame, x1: float, x2: float, y1: float, y2: float) -> DataFrame:
@@ -36,8 +36,8 @@ def range_join(pts: DataFrame, windows: DataFrame, strategy: str = "auto",
     """Q3: every (window, point) pair with the point inside the window.
 
     ``broadcast``: the window table is broadcast and each point is tested
-    against every window (nested loop, no shuffle of points).  Right for up to
-    some hundreds of windows.
+    against every window (nested loop, no shuffle of points): points x windows
+    tests, so ``auto`` uses it for up to ``MAX_LOOP_ROWS`` windows.
     ``cells``: points and windows meet on quad-tree leaf keys (an equi-join);
     each point has one leaf, so no pair is produced twice.
     ``auto``: ``broadcast`` when the window table passes the size check.
@@ -45,7 +45,8 @@ def range_join(pts: DataFrame, windows: DataFrame, strategy: str = "auto",
     windows = normalize_windows(windows)
     wcols = [c for c in windows.columns if c not in ("mnx", "mxx", "mny", "mxy")]
     if strategy in ("auto", "broadcast"):
-        w, small = maybe_broadcast(windows, max_broadcast_rows, known_windows)
+        limit = min(max_broadcast_rows, MAX_LOOP_ROWS) if strategy == "auto" else max_broadcast_rows
+        w, small = maybe_broadcast(windows, limit, known_windows)
         if small or strategy == "broadcast":
             if not small:
                 raise ValueError("window table is too large to broadcast; use strategy='cells'")

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 # Default row bound for broadcasting a small side (windows, rings, leaves, cells).
 MAX_BROADCAST_ROWS = 200_000
+# A nested-loop join tests every point against every broadcast row, so its cost
+# is points x rows: beyond this many windows / queries, ``auto`` strategies use
+# an equi-join on cells instead, where each point only meets its own cell's rows.
+MAX_LOOP_ROWS = 256
 
 
 def rows_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -55,5 +59,5 @@ def maybe_broadcast_polygons(windows: DataFrame, max_rows: int = MAX_BROADCAST_R
     return (F.broadcast(windows), True) if small else (windows, False)
 
 
-__all__ = ["MAX_BROADCAST_ROWS", "MAX_BROADCAST_EDGES", "rows_at_most", "maybe_broadcast",
+__all__ = ["MAX_BROADCAST_ROWS", "MAX_LOOP_ROWS", "MAX_BROADCAST_EDGES", "rows_at_most", "maybe_broadcast",
            "maybe_broadcast_polygons"]

@@ -220,3 +220,14 @@ def test_batch_kNN_refuses_unbounded_query_table(spark):
     q = query_points(spark, 5, seed=1)
     with pytest.raises(ValueError):
         knn_batch(pts, q, 3, max_broadcast_rows=2)
+
+
+def test_many_windows_use_cells_not_a_loop(spark):
+    # More windows than MAX_LOOP_ROWS: auto must not test every point against every window.
+    pts = points_c(spark, SF001)
+    w = query_windows(spark, 300, seed=31)
+    got = range_join(pts, w, known_windows=300, qt=quadtree(pts, max_depth=8, cap=50))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+    want = range_join(pts, w, strategy="broadcast", known_windows=300)
+    assert rows(got) == rows(want)
