@@ -46,6 +46,10 @@ class QuadTree:
     grid: DataFrame
     max_depth: int
     n_leaves: int | None = None
+    # When small enough: every cell at depth ``cell_depth`` (the deepest leaf
+    # depth) mapped to its leaf, so placing a point is one hash probe.
+    cells: DataFrame | None = None
+    cell_depth: int | None = None
 
 
 def _coded(pts: DataFrame, ext: DataFrame, max_depth: int) -> DataFrame:
@@ -126,10 +130,22 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
         ext = write_table(ext, "quadtree-extent")
     leaves = _leaves(pts, ext, max_depth, cap, target_leaves)
     n_leaves = None
+    cells = cell_depth = None
     if materialize:
         leaves = write_table(leaves, "quadtree-leaves")
-        n_leaves = leaves.count()
-    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves)
+        hist = {r["depth"]: r["count"] for r in leaves.groupBy("depth").count().collect()}
+        n_leaves = sum(hist.values())
+        if hist:
+            dmax = max(hist)
+            # Cells at depth dmax covered by the leaves: known before building them.
+            if sum(c * 4 ** (dmax - d) for d, c in hist.items()) <= MAX_BROADCAST_ROWS:
+                shift = ((F.lit(dmax) - F.col("depth")) * 2).cast("int")
+                lo = F.call_function("shiftleft", F.col("prefix"), shift)
+                hi = F.call_function("shiftleft", F.col("prefix") + 1, shift) - 1
+                cells = write_table(leaves.select("depth", "prefix", F.explode(F.sequence(lo, hi)).alias("_cell")),
+                                    "quadtree-cells")
+                cell_depth = dmax
+    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves, cells, cell_depth)
 
 
 def _leaf_table(qt: QuadTree, cols: list[str], max_broadcast_rows: int) -> DataFrame:
@@ -140,14 +156,21 @@ def _leaf_table(qt: QuadTree, cols: list[str], max_broadcast_rows: int) -> DataF
 def assign_leaves(pts: DataFrame, qt: QuadTree, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Tag each point with its leaf ``(depth, prefix)``.
 
-    A point's candidate nodes are its code's prefixes at the depths where
-    leaves exist (``dmin..dmax``; a single depth on evenly spread data), and
+    With a materialised tree whose leaves, expanded to cells at the deepest
+    leaf depth, fit the broadcast bound, a point's cell at that depth names
+    its leaf: one hash probe.  Otherwise a point's candidate nodes are its
+    code's prefixes at the depths where leaves exist (``dmin..dmax``), and
     exactly one of them is a leaf.  The leaf table is broadcast when it passes
     the size check, so points are never shuffled for this; otherwise it is a
     plain equi-join on the leaf key.  Points outside the grid's occupied cells
     (possible only when the tree was built on other data) get no leaf.
     """
     coded = _coded(pts, qt.grid, qt.max_depth)
+    if qt.cells is not None:
+        # One probe per point: its cell at the deepest leaf depth names its leaf.
+        cell = F.shiftright(F.col("_code"), 2 * (qt.max_depth - qt.cell_depth))
+        return (coded.withColumn("_cell", cell)
+                .join(F.broadcast(qt.cells), "_cell", "inner").drop("_cell", "_code"))
     span = coded.crossJoin(F.broadcast(qt.grid.select("dmin", "dmax")))
     exploded = (span.withColumn("depth", F.explode(F.sequence(F.col("dmin"), F.col("dmax"))))
                 .withColumn("prefix", morton_prefix("_code", F.col("depth"), qt.max_depth))

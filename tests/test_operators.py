@@ -231,3 +231,13 @@ def test_many_windows_use_cells_not_a_loop(spark):
     assert "HashJoin" in plan or "SortMergeJoin" in plan
     want = range_join(pts, w, strategy="broadcast", known_windows=300)
     assert rows(got) == rows(want)
+
+
+def test_assign_single_probe_equals_depth_explode(spark):
+    import dataclasses
+    pts = points_b(spark, SF001)
+    qt = quadtree(pts, max_depth=10, cap=40)
+    assert qt.cells is not None
+    slow = dataclasses.replace(qt, cells=None, cell_depth=None)
+    cols = ["id", "x", "y", "depth", "prefix"]
+    assert rows(assign_leaves(pts, qt), cols) == rows(assign_leaves(pts, slow), cols)
