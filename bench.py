@@ -34,6 +34,7 @@ from quadrant.plans import catalog as C  # noqa: E402
 from quadrant.plans.knn_join import knn_join, knn_rings  # noqa: E402
 from quadrant.session import local_session, materialize, scratch_path  # noqa: E402
 from quadrant.sources.derived import points_a, points_b, points_c  # noqa: E402
+from quadrant.sources.points import read_points  # noqa: E402
 
 
 def _sink(df) -> None:
@@ -64,6 +65,8 @@ def main() -> None:
             fn(spark, sf_dir).repartition(int(cpus)).write.parquet(path)
             stored[name] = path
     setup["load"] = _timed(load)
+    csv_b = scratch_path(spark, "points-b-csv")
+    spark.read.parquet(stored["b"]).select("x", "y", "id").write.csv(csv_b)
     A = spark.read.parquet(stored["a"])
     B = spark.read.parquet(stored["b"])
     Cp = spark.read.parquet(stored["c"])
@@ -99,6 +102,7 @@ def main() -> None:
     seed = point_literal(spark, *C.SEED_POINT)
 
     workloads = {
+        "load_csv": lambda: read_points(spark, csv_b, schema="x DOUBLE, y DOUBLE, id BIGINT", id="id"),
         "range_window": lambda: range_query(B, *rw),
         "range_window_clustered": lambda: range_query(BZ, *rw),
         "range_batch_count": lambda: range_counts(B, windows, known_windows=C.N_WINDOWS),

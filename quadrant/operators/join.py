@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quadrant.functions.geometry import guarded_in_polygon
 from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, quadtree, windows_to_leaves
 from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast_polygons
+from quadrant.session import materialize
 
 _WINDOW_GEOM = ("edges", "mnx", "mxx", "mny", "mxy")
 
@@ -52,9 +53,11 @@ def pip_join(pts: DataFrame, windows: DataFrame, predicate: str = "intersects",
     elif strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
     qt = qt or quadtree(pts)
-    pairs = windows_to_leaves(geo, qt, max_broadcast_rows).join(geo, "window_id")
-    bound = None if known_windows is None or qt.n_leaves is None else known_windows * qt.n_leaves
-    pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows, known_rows=bound,
+    # Written once: the window table (often a kNN result) is computed a single
+    # time although the leaf pairing and the join both need it.
+    pairs = materialize(windows_to_leaves(geo, qt, max_broadcast_rows).join(geo, "window_id"),
+                        "window-leaf-pairs")
+    pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows, known_rows=pairs.count(),
                                         known_edges_per_row=known_edges)
     tagged = assign_leaves(pts, qt, max_broadcast_rows)
     return tagged.join(pairs, LEAF_KEY).where(_pip(predicate)).select(*out_cols)

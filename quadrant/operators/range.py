@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrant.functions.geometry import envelope_literals, in_envelope
 from quadrant.operators.quadtree import QuadTree, assign_leaves, quadtree, windows_to_leaves, LEAF_KEY
 from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast
+from quadrant.session import materialize
 
 
 def range_query(pts: DataFrame, x1: float, x2: float, y1: float, y2: float) -> DataFrame:
@@ -55,9 +56,9 @@ def range_join(pts: DataFrame, windows: DataFrame, strategy: str = "auto",
     elif strategy != "cells":
         raise ValueError(f"unknown strategy {strategy!r}")
     qt = qt or quadtree(pts)
-    pairs = windows_to_leaves(windows, qt, max_broadcast_rows).join(windows, "window_id")
-    bound = None if known_windows is None or qt.n_leaves is None else known_windows * qt.n_leaves
-    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows, bound)
+    pairs = materialize(windows_to_leaves(windows, qt, max_broadcast_rows).join(windows, "window_id"),
+                        "window-leaf-pairs")
+    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows, pairs.count())
     tagged = assign_leaves(pts, qt, max_broadcast_rows)
     joined = tagged.join(pairs, LEAF_KEY).where(in_envelope("x", "y", "mnx", "mxx", "mny", "mxy"))
     return joined.drop(*LEAF_KEY, "mnx", "mxx", "mny", "mxy").select(*wcols, *pts.columns)
