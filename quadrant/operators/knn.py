@@ -106,6 +106,11 @@ def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "auto",
         return _out(pts.withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts, False)
     if strategy not in ("auto", "sort", "brute", "cells"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "sort" or (strategy == "auto" and k <= SORT_MAX_K):
+        # The query point is a pair of literals: no join at all.
+        top = (pts.withColumn("d2", dist2("x", "y", float(qx), float(qy)))
+               .orderBy("d2", "id").limit(k))
+        return _out(top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id"))), pts, False)
     queries = point_literal(pts.sparkSession, qx, qy)
     return _out(knn_batch(pts, queries, k, strategy=strategy, cell=cell, known_queries=1), pts, False)
 

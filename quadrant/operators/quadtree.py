@@ -50,10 +50,22 @@ class QuadTree:
     # depth) mapped to its leaf, so placing a point is one hash probe.
     cells: DataFrame | None = None
     cell_depth: int | None = None
+    # Grid bounds as Python floats once materialised (used as literals).
+    bounds: tuple[float, float, float, float] | None = None
 
 
-def _coded(pts: DataFrame, ext: DataFrame, max_depth: int) -> DataFrame:
-    """Attach the depth-D Morton code ``_code``; ``ext`` is one row (broadcast)."""
+def _coded(pts: DataFrame, ext: DataFrame | tuple, max_depth: int) -> DataFrame:
+    """Attach the depth-D Morton code ``_code``.
+
+    ``ext`` is either the grid bounds as floats (literals, folded into the
+    generated code) or, before they are known, a one-row frame attached by
+    a broadcast.
+    """
+    if isinstance(ext, tuple):
+        mnx, mxx, mny, mxy = (F.lit(float(v)) for v in ext)
+        gx = grid_coord("x", mnx, mxx, max_depth)
+        gy = grid_coord("y", mny, mxy, max_depth)
+        return with_morton(pts, gx, gy, "_code")
     g = pts.crossJoin(F.broadcast(ext.select(*_GRID)))
     gx = grid_coord("x", F.col("gminx"), F.col("gmaxx"), max_depth)
     gy = grid_coord("y", F.col("gminy"), F.col("gmaxy"), max_depth)
@@ -71,8 +83,9 @@ def _extent_row(pts: DataFrame, extent) -> DataFrame:
                         F.lit(mny).alias("gminy"), F.lit(mxy).alias("gmaxy"), "n")
 
 
-def _leaves(pts: DataFrame, ext: DataFrame, max_depth: int, cap, target_leaves) -> DataFrame:
-    coded = _coded(pts.select("x", "y"), ext, max_depth)
+def _leaves(pts: DataFrame, ext: DataFrame, max_depth: int, cap, target_leaves,
+            bounds: tuple | None = None) -> DataFrame:
+    coded = _coded(pts.select("x", "y"), bounds or ext, max_depth)
     codes = coded.groupBy("_code").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lminx"), F.max("x").alias("lmaxx"),
         F.min("y").alias("lminy"), F.max("y").alias("lmaxy"))
@@ -126,9 +139,13 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
     if cap is None and target_leaves is None:
         target_leaves = 1024
     ext = _extent_row(pts, extent)
+    bounds = None
     if materialize:
         ext = write_table(ext, "quadtree-extent")
-    leaves = _leaves(pts, ext, max_depth, cap, target_leaves)
+        r = ext.first()
+        if r["gminx"] is not None:
+            bounds = (r["gminx"], r["gmaxx"], r["gminy"], r["gmaxy"])
+    leaves = _leaves(pts, ext, max_depth, cap, target_leaves, bounds)
     n_leaves = None
     cells = cell_depth = None
     if materialize:
@@ -145,7 +162,7 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
                 cells = write_table(leaves.select("depth", "prefix", F.explode(F.sequence(lo, hi)).alias("_cell")),
                                     "quadtree-cells")
                 cell_depth = dmax
-    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves, cells, cell_depth)
+    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves, cells, cell_depth, bounds)
 
 
 def _leaf_table(qt: QuadTree, cols: list[str], max_broadcast_rows: int) -> DataFrame:
@@ -165,7 +182,7 @@ def assign_leaves(pts: DataFrame, qt: QuadTree, max_broadcast_rows: int = MAX_BR
     plain equi-join on the leaf key.  Points outside the grid's occupied cells
     (possible only when the tree was built on other data) get no leaf.
     """
-    coded = _coded(pts, qt.grid, qt.max_depth)
+    coded = _coded(pts, qt.bounds or qt.grid, qt.max_depth)
     if qt.cells is not None:
         # One probe per point: its cell at the deepest leaf depth names its leaf.
         cell = F.shiftright(F.col("_code"), 2 * (qt.max_depth - qt.cell_depth))
