@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -74,6 +75,23 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+@contextmanager
+def persisted(df, level=None):
+    """L4: keep ``df`` cached while several queries reuse it, and release it after.
+
+    ``level`` defaults to MEMORY_AND_DISK, so partitions that do not fit spill
+    instead of being recomputed.  Cached blocks lost with an executor are
+    recomputed from lineage; for results that must outlive executors use
+    ``materialize``.
+    """
+    from pyspark import StorageLevel
+    cached = df.persist(level or StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for use with Python's own file functions."""
     if path.startswith("file://"):
@@ -83,5 +101,5 @@ def local_path(path: str) -> str:
     return path
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "local_path"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "persisted", "local_path"]
 

@@ -93,3 +93,14 @@ def test_pip_join_guard_keeps_bbox_first(spark):
     plan = _plan(pip_join(b, rings, known_windows=2))
     assert "BroadcastNestedLoopJoin" in plan
     assert "CASE WHEN" in plan
+
+
+def test_persisted_reuse_and_release(spark):
+    from quadrant.session import persisted
+    pts = points_b(spark, SF001)
+    with persisted(pts) as p:
+        assert p.is_cached
+        a = range_query(p, -119.5, -119.0, 34.0, 34.5).count()
+        b = range_query(p, -119.5, -119.0, 34.0, 34.5).count()
+        assert a == b
+    assert not p.is_cached
