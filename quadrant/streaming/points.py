@@ -14,10 +14,15 @@ in ``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadrant.functions.geometry import grid_coord, guarded_in_polygon
 from quadrant.operators.join import pip_join
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast_polygons
 from quadrant.operators.range import range_query
 from quadrant.session import materialize, scratch_path
 from quadrant.sources.points import BAD_RECORD, points
@@ -67,11 +72,53 @@ def stream_pip_join(stream: DataFrame, windows: DataFrame, predicate: str = "int
     """J1 on a stream: every arriving point tested against a fixed window table.
 
     The window table is written once to the shared folder first, so it is not
-    recomputed for every micro-batch, then broadcast (size-checked).
+    recomputed for every micro-batch.  Up to ``MAX_LOOP_ROWS`` windows it is
+    broadcast and every point meets every window's box; beyond that, each
+    window is replicated to the grid cells its box overlaps and each point
+    meets only its own cell's windows (a stream-static equi-join).
+    """
+    fixed = materialize(windows.select("window_id", "edges", "mnx", "mxx", "mny", "mxy"), "stream-windows")
+    n = known_windows if known_windows is not None else fixed.count()
+    if n <= MAX_LOOP_ROWS:
+        return pip_join(stream, fixed, predicate=predicate, strategy="broadcast",
+                        known_windows=n, known_edges=known_edges)
+    cells, grid = _window_cells(fixed)
+    cells, _ = maybe_broadcast_polygons(cells, MAX_BROADCAST_ROWS, known_rows=grid["rows"],
+                                        known_edges_per_row=known_edges)
+    mnx, mxx, mny, mxy, depth = grid["minx"], grid["maxx"], grid["miny"], grid["maxy"], grid["depth"]
+    keyed = (stream.withColumn("_gx", grid_coord("x", F.lit(mnx), F.lit(mxx), depth))
+             .withColumn("_gy", grid_coord("y", F.lit(mny), F.lit(mxy), depth)))
+    hit = guarded_in_polygon("edges", "x", "y", "mnx", "mxx", "mny", "mxy", predicate)
+    return keyed.join(cells, ["_gx", "_gy"]).where(hit).select("window_id", *stream.columns)
+
+
+def _window_cells(fixed: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, dict]:
+    """Windows replicated to the cells of a grid over their extent.
+
+    The grid is sized so an average window box spans about one cell, then
+    coarsened until the replicas fit ``max_rows`` (or the grid is one cell).
+    Only aggregates over the small window table run on the driver.
     """
-    fixed = materialize(windows, "stream-windows")
-    return pip_join(stream, fixed, predicate=predicate, strategy="broadcast",
-                    known_windows=known_windows, known_edges=known_edges)
+    e = fixed.agg(F.min("mnx"), F.max("mxx"), F.min("mny"), F.max("mxy"),
+                  F.avg(F.col("mxx") - F.col("mnx")), F.avg(F.col("mxy") - F.col("mny"))).first()
+    mnx, mxx, mny, mxy, aw, ah = (float(v) for v in e)
+    span = max(mxx - mnx, mxy - mny, 1e-300)
+    size = max(aw, ah, span * 1e-6)
+    depth = max(0, min(16, int(math.floor(math.log2(span / size)))))
+    while True:
+        gx1 = grid_coord("mnx", F.lit(mnx), F.lit(mxx), depth)
+        gx2 = grid_coord("mxx", F.lit(mnx), F.lit(mxx), depth)
+        gy1 = grid_coord("mny", F.lit(mny), F.lit(mxy), depth)
+        gy2 = grid_coord("mxy", F.lit(mny), F.lit(mxy), depth)
+        spans = fixed.select(((gx2 - gx1 + 1) * (gy2 - gy1 + 1)).alias("c"))
+        rows = spans.agg(F.sum("c")).first()[0] or 0
+        if rows <= max_rows or depth == 0:
+            break
+        depth -= 1
+    cells = (fixed.withColumn("_gx", F.explode(F.sequence(gx1, gx2)))
+             .withColumn("_gy", F.explode(F.sequence(gy1, gy2))))
+    cells = materialize(cells, "stream-window-cells")
+    return cells, dict(minx=mnx, maxx=mxx, miny=mny, maxy=mxy, depth=depth, rows=rows)
 
 
 def run_available(result: DataFrame, name: str = "stream") -> DataFrame:

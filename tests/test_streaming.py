@@ -36,3 +36,14 @@ def test_stream_operators_equal_batch(spark):
                         "pip-test")
     want = pip_join(points_b(spark, SF001), rings, known_windows=3).select("window_id", "id", "x", "y")
     assert rows(got) == rows(want)
+
+
+def test_stream_pip_join_many_windows_uses_cells(spark):
+    pts = b_from(table_stream(spark, SF001, "lineitem"))
+    rings = knn_rings(points_a(spark, SF001), query_points(spark, 300, seed=8), 10, known_seeds=300)
+    got = run_available(stream_pip_join(pts, rings, known_windows=300).select("window_id", "id", "x", "y"),
+                        "pip-many")
+    want = pip_join(points_b(spark, SF001), rings, strategy="broadcast", known_windows=300,
+                    known_edges=10).select("window_id", "id", "x", "y")
+    assert rows(got) == rows(want)
+    assert got.count() > 0
