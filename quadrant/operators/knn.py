@@ -17,7 +17,8 @@ Strategies, all returning the same rows:
   and is written to the shared checkpoint folder, which both cuts lineage and
   sizes the phase-2 join.  ``cell="auto"`` sizes the grid from the data (one
   aggregate: extent and count) so that a cell holds about k/4 points on
-  average at any scale.
+  average at any scale.  Points are read three times in all (statistics, cell
+  counts, candidates), twice with a given cell size.
 """
 
 from __future__ import annotations
@@ -155,15 +156,13 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
         raise ValueError(f"unknown strategy {strategy!r}")
     if cell == "auto":
         n_queries = known_queries if known_queries is not None else queries.count()
-        size = cell_size(pts, k, min(MAX_GRID_CELLS, max(1, MAX_RING_PAIRS // max(1, n_queries))))
-    else:
-        size = pts.sparkSession.range(1).select(F.lit(float(cell)).alias("cell"))
-    cand = materialize(candidate_cells(pts, q, k, size), "knn-cells")
-    meta = cand.agg(F.count(F.lit(1)).alias("n"), F.max("cell").alias("cell")).first()
-    if meta["n"] == 0:
+        cell = cell_size(pts, k, min(MAX_GRID_CELLS, max(1, MAX_RING_PAIRS // max(1, n_queries)))).first()["cell"]
+    cand = materialize(candidate_cells(pts, q, k, float(cell)), "knn-cells")
+    n_cand = cand.count()
+    if n_cand == 0:
         return _out(pts.crossJoin(q).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts)
-    c = F.lit(float(meta["cell"]))
-    cand, _ = maybe_broadcast(cand.drop("cell"), max_broadcast_rows, meta["n"])
+    c = F.lit(float(cell))
+    cand, _ = maybe_broadcast(cand, max_broadcast_rows, n_cand)
     cells = (pts.withColumn("cx", F.floor(F.col("x") / c))
                 .withColumn("cy", F.floor(F.col("y") / c)))
     pairs = (cells.join(cand, ["cx", "cy"])
@@ -171,23 +170,23 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     return _out(_ranked(pairs, k), pts)
 
 
-def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, size: DataFrame) -> DataFrame:
-    """Phase 1 of the exact cell kNN: ``(q, qx, qy, cx, cy, cell)`` cells to search.
+def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
+    """Phase 1 of the exact cell kNN: ``(q, qx, qy, cx, cy)`` cells to search.
 
-    ``size`` is a one-row frame ``(cell)`` holding the cell side.  ``R`` is the
-    smallest Chebyshev cell radius whose rings hold >= k points (all points if
-    fewer).  Those points are all within ``(R+1)*cell*sqrt(2)`` of the query,
-    and any point in a ring ``r`` is at least ``(r-1)*cell`` away, so rings up
-    to ``floor((R+1)*sqrt(2)) + 1`` hold every possible neighbour.  Only
-    occupied cells take part, so far-away queries cost nothing extra.
+    ``R`` is the smallest Chebyshev cell radius whose rings hold >= k points
+    (all points if fewer).  Those points are all within ``(R+1)*cell*sqrt(2)``
+    of the query, and any point in a ring ``r`` is at least ``(r-1)*cell`` away,
+    so rings up to ``floor((R+1)*sqrt(2)) + 1`` hold every possible neighbour.
+    Only occupied cells take part, so far-away queries cost nothing extra.
+    The occupied-cell counts (bounded by the grid) are written once, so the
+    points are read once although the plan uses the counts twice.
     """
-    c = F.col("cell")
-    occupied = (pts.crossJoin(F.broadcast(size))
-                .select(F.floor(F.col("x") / c).alias("cx"), F.floor(F.col("y") / c).alias("cy"))
-                .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
-    qc = (queries.crossJoin(F.broadcast(size))
-          .select("q", "qx", "qy", "cell", F.floor(F.col("qx") / c).alias("qcx"),
-                  F.floor(F.col("qy") / c).alias("qcy")))
+    c = F.lit(float(cell))
+    occupied = materialize(
+        pts.select(F.floor(F.col("x") / c).alias("cx"), F.floor(F.col("y") / c).alias("cy"))
+        .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")), "knn-occupied")
+    qc = queries.select("q", "qx", "qy", F.floor(F.col("qx") / c).alias("qcx"),
+                        F.floor(F.col("qy") / c).alias("qcy"))
     ring = (occupied.crossJoin(F.broadcast(qc))
             .withColumn("r", F.greatest(F.abs(F.col("cx") - F.col("qcx")), F.abs(F.col("cy") - F.col("qcy")))))
     per_r = ring.groupBy("q", "r").agg(F.sum("n").alias("n"))
@@ -197,7 +196,7 @@ def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, size: DataFrame)
         F.coalesce(F.min(F.when(F.col("cum") >= k, F.col("r"))), F.max("r")).alias("R"))
     reach = radius.select("q", (F.floor((F.col("R") + 1) * F.lit(math.sqrt(2.0))) + 1).alias("rmax"))
     return (ring.join(F.broadcast(reach), "q").where(F.col("r") <= F.col("rmax"))
-            .select("q", "qx", "qy", "cx", "cy", "cell"))
+            .select("q", "qx", "qy", "cx", "cy"))
 
 
 __all__ = ["SORT_MAX_K", "TOPK_BUCKETS", "knn", "knn_batch", "candidate_cells", "cell_size", "auto_cell", "DEFAULT_CELL"]
