@@ -104,3 +104,31 @@ def test_persisted_reuse_and_release(spark):
         b = range_query(p, -119.5, -119.0, 34.0, 34.5).count()
         assert a == b
     assert not p.is_cached
+
+
+def test_carried_columns_flow_through_operators(spark):
+    from quadrant.operators.knn import knn
+    from quadrant.operators.index import build_index, index_range
+    d = _tmp()
+    with open(os.path.join(d, "p.csv"), "w") as f:
+        for i in range(60):
+            f.write(f"{-119.0 + (i % 8) * 0.1},{34.0 + (i // 8) * 0.1},name{i},{i}\n")
+    pts = read_points(spark, d, schema="x DOUBLE, y DOUBLE, name STRING, v INT")
+    assert knn(pts, -118.7, 34.3, 5).columns == ["rank", "id", "x", "y", "d2", "name", "v"]
+    got = range_query(pts, -118.85, -118.55, 34.15, 34.45)
+    assert sorted(r.v for r in got.collect()) == sorted(
+        i for i in range(60) if -118.85 <= -119.0 + (i % 8) * 0.1 <= -118.55
+        and 34.15 <= 34.0 + (i // 8) * 0.1 <= 34.45)
+    rings = knn_rings(pts, query_points(spark, 1, seed=2), 6, known_seeds=1)
+    assert "name" in pip_join(pts, rings, known_windows=1).columns
+    idx = build_index(pts, partitions=2)
+    assert {"name", "v"} <= set(index_range(spark, idx, -119.0, -118.0, 34.0, 35.0).columns)
+
+
+def test_parquet_source_pushes_filters(spark):
+    d = _tmp() + "/pts"
+    points_b(spark, SF001).write.parquet(d)
+    pts = read_points(spark, d, format="parquet", id="id")
+    plan = _plan(range_query(pts, -119.5, -119.0, 34.0, 34.5))
+    assert "PushedFilters: [IsNotNull(x), IsNotNull(y), GreaterThanOrEqual(x," in plan
+    assert "ReadSchema: struct<id:bigint,x:double,y:double>" in plan
