@@ -47,3 +47,12 @@ def test_stream_pip_join_many_windows_uses_cells(spark):
                     known_edges=10).select("window_id", "id", "x", "y")
     assert rows(got) == rows(want)
     assert got.count() > 0
+
+
+def test_json_stream_source(spark):
+    d = tempfile.mkdtemp(prefix="quadrant-stream-json-")
+    with open(os.path.join(d, "a.json"), "w") as f:
+        f.write('{"id": 1, "x": -119.0, "y": 34.0}\n{"id": 2, "x": null, "y": 34.0}\n{"id": 3, "x": -118.0, "y": 33.0}\n')
+    s = read_points_stream(spark, d, "id BIGINT, x DOUBLE, y DOUBLE", format="json")
+    got = run_available(stream_range(s, -119.5, -118.5, 33.5, 34.5).select("id", "x", "y"), "json-test")
+    assert rows(got) == [(1, -119.0, 34.0)]
