@@ -1,0 +1,43 @@
+"""DuckDB SQL for the numbered operators that SQL can express, over the same tables."""
+
+from __future__ import annotations
+
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place
+  FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS bound FROM s),
+l AS (
+  SELECT *, ((SELECT sum(source_size) FROM w) - coalesce(sum(bound) OVER o, 0))::BIGINT::DOUBLE
+          / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0))::BIGINT::DOUBLE AS level
+  FROM w WINDOW o AS (ORDER BY bound::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT max(level) AS level FROM l WHERE bound::DOUBLE / weight > level),
+t AS (SELECT source, source_size, least(bound::DOUBLE, coalesce(v.level * weight, bound::DOUBLE)) AS target FROM w, v),
+p AS (
+  SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size > 0 THEN (budget // source_size) * size
+            + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) ELSE 0 END::BIGINT AS taken
+FROM p
+"""
+
+ORACLES = {
+    "op2_exact_dedup": OP2,
+    "op4_source_mixing": OP4,
+}
