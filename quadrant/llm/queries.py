@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import duplicate_groups
 from .mixing import mix
+from .packing import pack
 from .quality import quality_report
+from .token_output import token_files
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +26,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op2_exact_dedup,
     op4_source_mixing,
     op5_quality_rules,
+    op7_best_fit_packing,
+    op8_token_files,
 )}
