@@ -54,10 +54,10 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return weighed.crossJoin(F.broadcast(levels)).select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken (words, repeats counted)."""
+def mix(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken (words, repeats counted), and the columns of ``carry``."""
     skinny = materialize(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")), "mix")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *carry), "mix")
     targets = materialize(source_targets(skinny.select("source", "size"), most), "targets").withColumnRenamed("source", "_source")
     order = [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("size")]
     line = prefix_sums(skinny, ["source"], order, {"before": "size"})
@@ -66,4 +66,27 @@ def mix(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED, keep: list[s
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return met.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return met.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED, stable: bool = False) -> DataFrame:
+    """The mix itself: a document's row as often as its words are taken whole, and once more, cut to
+    the words left (joined by one space), where a source's budget ends inside it.
+
+    ``stable`` says that ``docs`` is a plain scan of a written table; other inputs are written first.
+    """
+    docs = docs if stable else materialize(docs, "documents")
+    numbered = docs.withColumn("_mix_row", F.monotonically_increasing_id())
+    told = mix(numbered, most, seed, ("_mix_row",)).filter("taken > 0").select(
+        F.col("_mix_row").alias("_row"), F.expr("taken div size").alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
+    met = numbered.join(told, F.col("_mix_row") == F.col("_row"))
+    copies = F.sequence(F.lit(1), (F.col("_whole") + (F.col("_rest") > 0).cast("long")).cast("int"))
+    met = met.withColumn("_copy", F.explode(copies))
+    is_cut = F.col("_copy") > F.col("_whole")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.greatest(F.lit(1), F.col("_rest").cast("int"))), " ")
+    text = F.when(is_cut, cut).otherwise(F.col("text"))
+    out = {c: F.col(f"`{c}`") for c in docs.columns}
+    out["text"] = text
+    if "n_chars" in out:
+        out["n_chars"] = F.when(is_cut, F.char_length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return met.select(*(v.alias(c) for c, v in out.items()))

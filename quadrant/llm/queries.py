@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import duplicate_groups
 from .mixing import mix
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import quality_report
 from .token_output import token_files
@@ -34,10 +35,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op2_exact_dedup,
     op4_source_mixing,
     op5_quality_rules,
     op7_best_fit_packing,
     op8_token_files,
+    op9_ngram_jaccard_join,
 )}
