@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import mask, neighbour_pairs, preference_rows
 from .common import read
 from .exact_dedup import duplicate_groups
+from .html_extract import extract_text
+from .licenses import license_matches
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
@@ -15,10 +19,21 @@ from .quality import quality_report
 from .token_output import token_files
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    rows = preference_rows(turns, neighbour_pairs(turns))
+    return rows.select("pair_id", "n_common", "prompt", "chosen", "rejected",
+                       mask(F.col("chosen_segments")).alias("chosen_mask"), mask(F.col("rejected_segments")).alias("rejected_mask"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,6 +42,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -40,9 +59,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_license_scan,
     op2_exact_dedup,
+    op3_preference_format,
     op4_source_mixing,
     op5_quality_rules,
+    op6_html_extraction,
     op7_best_fit_packing,
     op8_token_files,
     op9_ngram_jaccard_join,
