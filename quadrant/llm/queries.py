@@ -16,6 +16,7 @@ from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import quality_report
+from .suffix_dedup import remove_repeats
 from .token_output import token_files
 
 
@@ -58,6 +59,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan,
     op2_exact_dedup,
@@ -68,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op7_best_fit_packing,
     op8_token_files,
     op9_ngram_jaccard_join,
+    op10_repeated_passages,
 )}
