@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-MIN_CHARS, MAX_CHARS = 384, 4096
-#: A chunk ends after two characters of this class in a row, once it has MIN_CHARS; at MAX_CHARS at the latest.
-BREAK = "[\\x21-\\x2F\\x3A-\\x40aeks]"
-CHUNK = f"(?s).{{{MIN_CHARS},{MAX_CHARS - 2}}}?{BREAK}{{2}}|.{{1,{MAX_CHARS}}}"
+MIN_CHARS, MAX_CHARS = 128, 4096
+#: A chunk ends after five characters of this class in a row, once it has MIN_CHARS; at MAX_CHARS at the latest.
+#: That is rare against MIN_CHARS, so a shifted copy soon has its cuts where the original has them.
+BREAK = "[\\x21-\\x2F\\x3A-\\x40aeks02468]{5}"
+CHUNK = f"(?s).{{{MIN_CHARS},{MAX_CHARS - 5}}}?{BREAK}|.{{1,{MAX_CHARS}}}"
 
 
 def without_white_space(text: Column) -> Column:

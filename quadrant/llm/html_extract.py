@@ -2,7 +2,7 @@
 
 A page's elements are the nodes of a tree; each is content or not.  A node's own potential comes from what
 it looks like (its kind of tag, hints in its class, id and role, how much of its text is links), a
-parent-child potential from both states and the child's kind.  All are counted, with smoothing, on
+parent-child potential from both states and the child's kind and hints.  All are counted, with smoothing, on
 labelled pages.  Sum-product messages pass upward to the root and downward again; a block of text is
 kept if its element's marginal for content is one half or more.
 
@@ -154,11 +154,19 @@ def parse(html: str | None) -> Page:
     return page
 
 
+def hint(node: Node) -> str:
+    named = " ".join(str(node.attrs.get(k) or "") for k in ("class", "id", "role", "itemprop"))
+    return next((h for h, p in HINTS if p.search(named)), "none") if named.strip() else "none"
+
+
+def meets(node: Node) -> str:
+    """What the potential between a node and its parent depends on, besides their states."""
+    return f"{KINDS.get(node.tag, 'box')}/{hint(node)}"
+
+
 def looks(node: Node) -> tuple[str, ...]:
     """What a node's own potential depends on."""
-    named = " ".join(str(node.attrs.get(k) or "") for k in ("class", "id", "role", "itemprop"))
-    hint = next((h for h, p in HINTS if p.search(named)), "none") if named.strip() else "none"
-    return ("tag:" + KINDS.get(node.tag, "box"), "hint:" + hint, "links:" + ("none" if not node.text or not node.links else "most" if 2 * node.links > node.text else "some"))
+    return ("tag:" + KINDS.get(node.tag, "box"), "hint:" + hint(node), "links:" + ("none" if not node.text or not node.links else "most" if 2 * node.links > node.text else "some"))
 
 
 class Model:
@@ -179,7 +187,7 @@ class Model:
                 for f in looks(node):
                     seen[f][node.label] += 1
                 if node.parent:
-                    edges[KINDS.get(node.tag, "box")][node.parent.label][node.label] += 1
+                    edges[meets(node)][node.parent.label][node.label] += 1
         values: dict = defaultdict(int)
         for f in seen:
             values[f.split(":")[0]] += 1
@@ -197,7 +205,7 @@ class Model:
             found = [self.own.get(f, (0.0, 0.0)) for f in looks(node)]
             up[id(node)] = [sum(x[0] for x in found), sum(x[1] for x in found)]
         for node in reversed(nodes[1:]):
-            own, edge = up[id(node)], self.edge.get(KINDS.get(node.tag, "box"), self.any_edge)
+            own, edge = up[id(node)], self.edge.get(meets(node), self.any_edge)
             message = [_log_add(edge[p][0] + own[0], edge[p][1] + own[1]) for p in (0, 1)]
             sent[id(node)] = message
             above = up[id(node.parent)]
@@ -207,7 +215,7 @@ class Model:
         out = {}
         for node in nodes:
             if node.parent:
-                above, before, own, edge = up[id(node.parent)], down[id(node.parent)], sent[id(node)], self.edge.get(KINDS.get(node.tag, "box"), self.any_edge)
+                above, before, own, edge = up[id(node.parent)], down[id(node.parent)], sent[id(node)], self.edge.get(meets(node), self.any_edge)
                 rest = [above[p] + before[p] - own[p] for p in (0, 1)]  # all the parent knows but from here
                 down[id(node)] = _level([_log_add(rest[0] + edge[0][c], rest[1] + edge[1][c]) for c in (0, 1)])
             a, b = (up[id(node)][s] + down[id(node)][s] for s in (0, 1))
