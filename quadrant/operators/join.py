@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import guarded_in_polygon
-from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, quadtree, windows_to_leaves
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast_polygons
+from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, pair_windows, quadtree
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast_polygons, shielded
 from quadrant.session import materialize
 
 _WINDOW_GEOM = ("edges", "mnx", "mxx", "mny", "mxy")
@@ -36,31 +36,28 @@ def pip_join(pts: DataFrame, windows: DataFrame, predicate: str = "intersects",
     """``(window_id, ...point columns)`` for every point in a window.
 
     ``predicate``: ``intersects`` / ``covers`` (closed: inside or on an edge),
-    or ``interior`` (strictly inside).  ``known_windows`` / ``known_edges``
-    (edges per window) state bounds the caller can prove from its own
-    parameters; anything not stated is measured before broadcasting.
+    or ``interior`` (strictly inside).  A window table over the broadcast bounds goes
+    through cells whatever the strategy; all give the same rows, also for repeated or NULL window
+    ids and for a tree (``qt``) of another point set.  ``known_windows`` / ``known_edges``
+    are the caller's word and not relied on: the table is measured before it is broadcast.
     """
-    geo = windows.select("window_id", *_WINDOW_GEOM)
-    out_cols = ["window_id", *pts.columns]
+    if strategy not in ("auto", "broadcast", "cells"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    inner, back = shielded(pts, ["window_id"])
+    # Written once: the window table (often a kNN result) is computed a single
+    # time although the size check, the leaf pairing and the join all need it.
+    geo = materialize(windows.select(F.col("window_id").alias("_w_window_id"), *_WINDOW_GEOM), "windows")
+    out = [F.col("_w_window_id").alias("window_id"), *back]
     if strategy in ("auto", "broadcast"):
         limit = min(max_broadcast_rows, MAX_LOOP_ROWS) if strategy == "auto" else max_broadcast_rows
-        w, small = maybe_broadcast_polygons(geo, limit, known_rows=known_windows,
-                                            known_edges_per_row=known_edges)
+        w, small = maybe_broadcast_polygons(geo, limit)
         if small:
-            return pts.join(w, _pip(predicate)).select(*out_cols)
-        if strategy == "broadcast":
-            raise ValueError("window table is too large to broadcast; use strategy='cells'")
-    elif strategy != "cells":
-        raise ValueError(f"unknown strategy {strategy!r}")
+            return inner.join(w, _pip(predicate)).select(*out)
     qt = qt or quadtree(pts)
-    # Written once: the window table (often a kNN result) is computed a single
-    # time although the leaf pairing and the join both need it.
-    pairs = materialize(windows_to_leaves(geo, qt, max_broadcast_rows).join(geo, "window_id"),
-                        "window-leaf-pairs")
-    pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows, known_rows=pairs.count(),
-                                        known_edges_per_row=known_edges)
-    tagged = assign_leaves(pts, qt, max_broadcast_rows)
-    return tagged.join(pairs, LEAF_KEY).where(_pip(predicate)).select(*out_cols)
+    pairs = materialize(pair_windows(geo, qt), "window-leaf-pairs")
+    pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows)
+    tagged = assign_leaves(inner, qt, max_broadcast_rows)
+    return tagged.join(pairs, LEAF_KEY).where(_pip(predicate)).select(*out)
 
 
 def grouped(matches: DataFrame) -> DataFrame:

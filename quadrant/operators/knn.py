@@ -30,33 +30,27 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import dist2
 from quadrant.functions.generators import point_literal
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast, rows_at_most
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast, shielded
 from quadrant.session import materialize
 
 DEFAULT_CELL = "auto"
-# Upper bounds for phase 1, which crosses occupied cells with the queries: at
-# most this many cells over the extent, and at most MAX_RING_PAIRS
-# (query, cell) pairs, however many points there are.
+# At most this many cells over the extent in phase 1, however many points there are.
 MAX_GRID_CELLS = 1_000_000
-MAX_RING_PAIRS = 50_000_000
 
 
 def cell_size(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> DataFrame:
     """One row ``(cell)``: the side for which an average cell holds about k/4
-    points, but never more than ``max_cells`` cells over the extent (one
-    aggregate, evaluated inside the job that uses it)."""
+    points, but never more than ``max_cells`` cells over the extent: the longer axis
+    has at most sqrt(max_cells) of them, however thin the extent (one aggregate,
+    evaluated inside the job that uses it)."""
     w = F.max("x") - F.min("x")
     h = F.max("y") - F.min("y")
-    area = F.when((w > 0) & (h > 0), w * h).otherwise(F.greatest(w, h) * F.greatest(w, h))
+    long = F.greatest(w, h)
+    area = F.when((w > 0) & (h > 0), w * h).otherwise(long * long)
     n = F.count(F.lit(1))
     side = F.greatest(F.sqrt(area * F.lit(float(max(k, 4))) / (F.lit(4.0) * n)),
-                      F.sqrt(area / F.lit(float(max_cells))))
-    return pts.agg(F.when((n > 0) & (area > 0), side).otherwise(F.lit(1.0)).alias("cell"))
-
-
-def auto_cell(pts: DataFrame, k: int, max_cells: int = MAX_GRID_CELLS) -> float:
-    """``cell_size`` as a Python float (runs the aggregate)."""
-    return cell_size(pts, k, max_cells).first()["cell"]
+                      long / F.lit(math.sqrt(float(max_cells))))
+    return pts.agg(F.when((n > 0) & (long > 0), side).otherwise(F.lit(1.0)).alias("cell"))
 
 
 # Largest k for which one query uses TakeOrderedAndProject: its final task
@@ -66,6 +60,8 @@ SORT_MAX_K = 100
 # First-level fan-in of the two-level top-k: scan tasks are grouped into this
 # many buckets, each keeping k rows per query, before the per-query merge.
 TOPK_BUCKETS = 1024
+# Tasks over which the points of one cell are dealt when the candidates are not broadcast.
+SALTS = 8
 
 
 def _ranked(df: DataFrame, k: int) -> DataFrame:
@@ -73,15 +69,10 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
 
     Two levels, so no task ever merges k rows from every scan task: first per
     (query, bucket of scan tasks), then per query.  With P scan tasks the
-    groups hold at most k * P / TOPK_BUCKETS and k * TOPK_BUCKETS rows.  Each
-    level keeps k rows per group inside every task before its shuffle
-    (``WindowGroupLimit``).
+    groups hold at most k * P / TOPK_BUCKETS and k * TOPK_BUCKETS rows.  Up to
+    Spark's ``windowGroupLimitThreshold`` (1000) each level also keeps k rows per group inside
+    every task before its shuffle; the session's own setting is left as it is.
     """
-    # Spark applies that per-task limit only for k up to this threshold; lift it.
-    spark = df.sparkSession
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key, "1000")) < k:
-        spark.conf.set(key, str(k))
     bucket = Window.partitionBy("q", "_bucket").orderBy("d2", "id")
     first = (df.withColumn("_bucket", F.spark_partition_id() % TOPK_BUCKETS)
              .withColumn("_r", F.row_number().over(bucket)).where(F.col("_r") <= k)
@@ -90,10 +81,14 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _out(df: DataFrame, pts: DataFrame, with_q: bool = True) -> DataFrame:
-    rest = [c for c in pts.columns if c not in ("id", "x", "y")]
+def _out(df: DataFrame, back: list, with_q: bool = True) -> DataFrame:
     lead = ["q"] if with_q else []
-    return df.select(*lead, "rank", "id", "x", "y", "d2", *rest)
+    return df.select(*lead, "rank", "id", "x", "y", "d2", *back)
+
+
+def _shield(pts: DataFrame, with_q: bool = True) -> tuple[DataFrame, list]:
+    inner, back = shielded(pts, ["rank", "d2", *["q"] * with_q])
+    return inner, [b for b, c in zip(back, pts.columns) if c not in ("id", "x", "y")]
 
 
 def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "auto",
@@ -103,17 +98,19 @@ def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "auto",
     ``rank, id, x, y, d2, ...``; strategies as in ``knn_batch`` (``auto``: the
     heap top-k for k <= SORT_MAX_K, else the two-level top-k).
     """
+    inner, back = _shield(pts, with_q=False)
     if k <= 0:
-        return _out(pts.withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts, False)
+        return _out(inner.withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), back, False)
     if strategy not in ("auto", "sort", "brute", "cells"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    near = inner.withColumn("d2", dist2("x", "y", float(qx), float(qy)))  # the query point is a pair of literals: no join at all
     if strategy == "sort" or (strategy == "auto" and k <= SORT_MAX_K):
-        # The query point is a pair of literals: no join at all.
-        top = (pts.withColumn("d2", dist2("x", "y", float(qx), float(qy)))
-               .orderBy("d2", "id").limit(k))
-        return _out(top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id"))), pts, False)
+        top = near.orderBy("d2", "id").limit(k)
+        return _out(top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id"))), back, False)
+    if strategy != "cells":
+        return _out(_ranked(near.withColumn("q", F.lit(0)), k), back, False)
     queries = point_literal(pts.sparkSession, qx, qy)
-    return _out(knn_batch(pts, queries, k, strategy=strategy, cell=cell, known_queries=1), pts, False)
+    return _out(knn_batch(inner, queries, k, strategy=strategy, cell=cell), back, False)
 
 
 def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto",
@@ -122,81 +119,89 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     """Q7: the k nearest points of every query point in ``queries (q, qx, qy)``.
 
     ``q`` must be unique.  The query table is broadcast only when it passes
-    the size check.  ``auto`` reads the points once: a bounded per-task heap
-    (``sort``, TakeOrderedAndProject) for a single query with small k, else
-    the two-level per-task ``WindowGroupLimit`` (``brute``) for up to
+    the size check.  ``auto`` reads the points once, with
+    the two-level per-task ``WindowGroupLimit`` (``brute``), for up to
     ``MAX_LOOP_ROWS`` queries (it computes points x queries distances), and
-    ``cells`` beyond that.  ``cells`` costs three scans
-    but ships almost nothing; the persisted index (``index_knn_batch``) reads
-    only the neighbourhood of each query.
+    takes ``cells`` beyond that.  ``cells`` costs three scans
+    but ships almost nothing, and takes query tables of any size.  ``known_queries`` is the caller's word on
+    the number of queries and not relied on; ``sort`` is for literal points (``knn``) and works as ``brute`` here.
     """
-    q, small = maybe_broadcast(queries.select("q", "qx", "qy"), max_broadcast_rows, known_queries)
-    if not small:
-        raise ValueError("query table is too large to broadcast; split it into batches by q")
-    if strategy == "auto":
-        if known_queries == 1 and k <= SORT_MAX_K:
-            strategy = "sort"
-        else:
-            # brute tests every point against every query: only for few queries.
-            few = (known_queries <= MAX_LOOP_ROWS if known_queries is not None
-                   else rows_at_most(queries, MAX_LOOP_ROWS))
-            strategy = "brute" if few else "cells"
+    if strategy not in ("auto", "sort", "brute", "cells"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    inner, back = _shield(pts)
+    queries = queries.select("q", "qx", "qy")
     if k <= 0:
-        return _out(pts.crossJoin(q).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts)
-    if strategy == "brute":
-        pairs = pts.crossJoin(q).withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy")))
-        return _out(_ranked(pairs, k), pts)
-    if strategy == "sort":
-        if known_queries != 1:
-            raise ValueError("strategy='sort' takes exactly one query (known_queries=1)")
-        top = (pts.crossJoin(q).withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy")))
-               .orderBy("d2", "id").limit(k))
-        return _out(top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id"))), pts)
+        return _out(inner.crossJoin(queries).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), back)
     if strategy != "cells":
-        raise ValueError(f"unknown strategy {strategy!r}")
+        q, small = maybe_broadcast(queries, MAX_LOOP_ROWS if strategy == "auto" else max_broadcast_rows)
+        if small:
+            pairs = inner.crossJoin(q).withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy")))
+            return _out(_ranked(pairs, k), back)
+    queries = materialize(queries, "knn-queries")
     if cell == "auto":
-        n_queries = known_queries if known_queries is not None else queries.count()
-        cell = cell_size(pts, k, min(MAX_GRID_CELLS, max(1, MAX_RING_PAIRS // max(1, n_queries)))).first()["cell"]
-    cand = materialize(candidate_cells(pts, q, k, float(cell)), "knn-cells")
-    n_cand = cand.count()
-    if n_cand == 0:
-        return _out(pts.crossJoin(q).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0), pts)
+        cell = cell_size(pts, k).first()["cell"]
+    cand = materialize(candidate_cells(pts, queries, k, float(cell)), "knn-cells")
     c = F.lit(float(cell))
-    cand, _ = maybe_broadcast(cand, max_broadcast_rows, n_cand)
-    cells = (pts.withColumn("cx", F.floor(F.col("x") / c))
-                .withColumn("cy", F.floor(F.col("y") / c)))
-    pairs = (cells.join(cand, ["cx", "cy"])
+    cand, small = maybe_broadcast(cand, max_broadcast_rows)
+    cells = (inner.withColumn("_cx", F.floor(F.col("x") / c))
+                  .withColumn("_cy", F.floor(F.col("y") / c)))
+    keys = ["_cx", "_cy"]
+    if not small:
+        # A crowded cell meets its queries in SALTS tasks: points are dealt, candidates repeated.
+        cells = cells.withColumn("_salt", F.pmod(F.xxhash64("id", "x", "y"), F.lit(SALTS)))
+        cand = cand.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        keys.append("_salt")
+    pairs = (cells.join(cand, keys)
              .withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy"))))
-    return _out(_ranked(pairs, k), pts)
+    return _out(_ranked(pairs, k), back)
 
 
 def candidate_cells(pts: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
-    """Phase 1 of the exact cell kNN: ``(q, qx, qy, cx, cy)`` cells to search.
-
-    ``R`` is the smallest Chebyshev cell radius whose rings hold >= k points
-    (all points if fewer).  Those points are all within ``(R+1)*cell*sqrt(2)``
-    of the query, and any point in a ring ``r`` is at least ``(r-1)*cell`` away,
-    so rings up to ``floor((R+1)*sqrt(2)) + 1`` hold every possible neighbour.
-    Only occupied cells take part, so far-away queries cost nothing extra.
-    The occupied-cell counts (bounded by the grid) are written once, so the
-    points are read once although the plan uses the counts twice.
+    """Phase 1 of the exact cell kNN: ``(q, qx, qy, _cx, _cy)`` cells to search.
+
+    Counts per cell are summed over ever coarser grids (sides cell, 2 cell, 4 cell, ...), and a query
+    looks at the block of 3 x 3 cells around its own in each: equi-joins on cell keys.
+    In the finest grid whose block holds >= k points, all of them are within the distance to the
+    block's farthest corner, so only cells of that grid that reach into this distance can
+    hold a neighbour: at most six cells away.  With fewer than k points in all, a query takes every cell.
     """
     c = F.lit(float(cell))
     occupied = materialize(
         pts.select(F.floor(F.col("x") / c).alias("cx"), F.floor(F.col("y") / c).alias("cy"))
         .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")), "knn-occupied")
-    qc = queries.select("q", "qx", "qy", F.floor(F.col("qx") / c).alias("qcx"),
-                        F.floor(F.col("qy") / c).alias("qcy"))
-    ring = (occupied.crossJoin(F.broadcast(qc))
-            .withColumn("r", F.greatest(F.abs(F.col("cx") - F.col("qcx")), F.abs(F.col("cy") - F.col("qcy")))))
-    per_r = ring.groupBy("q", "r").agg(F.sum("n").alias("n"))
-    cum = per_r.withColumn("cum", F.sum("n").over(
-        Window.partitionBy("q").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
-    radius = cum.groupBy("q").agg(
-        F.coalesce(F.min(F.when(F.col("cum") >= k, F.col("r"))), F.max("r")).alias("R"))
-    reach = radius.select("q", (F.floor((F.col("R") + 1) * F.lit(math.sqrt(2.0))) + 1).alias("rmax"))
-    return (ring.join(F.broadcast(reach), "q").where(F.col("r") <= F.col("rmax"))
-            .select("q", "qx", "qy", "cx", "cy"))
-
-
-__all__ = ["SORT_MAX_K", "TOPK_BUCKETS", "knn", "knn_batch", "candidate_cells", "cell_size", "auto_cell", "DEFAULT_CELL"]
+    box = occupied.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    if box[0] is None:
+        return queries.select("q", "qx", "qy", F.lit(0).cast("bigint").alias("_cx"), F.lit(0).cast("bigint").alias("_cy")).limit(0)
+    # Up to the grid in which the block around any query holds all points.
+    ends = queries.agg(*(f(F.floor(F.col(v) / c)) for v in ("qx", "qy") for f in (F.min, F.max))).first()
+    reach = [max(box[i + 1], ends[i + 1]) - min(box[i], ends[i]) for i in (0, 2) if ends[i] is not None]
+    levels = max(reach, default=1).bit_length() + 1
+    shift = lambda v, s: F.call_function("shiftright", F.col(v), s)
+    grids = occupied.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    grids = materialize(grids.groupBy("level", shift("cx", F.col("level")).alias("gx"), shift("cy", F.col("level")).alias("gy")).agg(F.sum("n").alias("n")), "knn-grids")
+    at = queries.select("q", "qx", "qy", F.floor(F.col("qx") / c).alias("qcx"), F.floor(F.col("qy") / c).alias("qcy"))
+    near = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    off = F.array(*(F.lit(i).cast("bigint") for i in (-1, 0, 1)))
+    block = near.withColumn("_o", F.explode(off)).withColumn("gx", shift("qcx", F.col("level")) + F.col("_o"))
+    block = block.withColumn("_o", F.explode(off)).withColumn("gy", shift("qcy", F.col("level")) + F.col("_o")).select("q", "level", "gx", "gy")
+    counts = block.join(grids, ["level", "gx", "gy"]).groupBy("q", "level").agg(F.sum("n").alias("n"))
+    best = counts.where(F.col("n") >= k).groupBy("q").agg(F.min("level").alias("level"))
+    side = F.pow(F.lit(2.0), F.col("level")) * c
+    told = at.join(best, "q", "left").withColumn("_side", side)
+    # The farthest corner of the block is at most 2 sides away on each axis, widened against rounding.
+    told = told.withColumn("_reach", F.lit(2.0 * math.sqrt(2.0) * (1 + 1e-9)) * F.col("_side"))
+    found = told.where(F.col("level").isNotNull())
+    bounds = {"_x0": ("qx", -1), "_x1": ("qx", 1), "_y0": ("qy", -1), "_y1": ("qy", 1)}
+    for name, (v, sign) in bounds.items():
+        found = found.withColumn(name, F.floor((F.col(v) + sign * F.col("_reach")) / F.col("_side")) + sign)
+    found = found.withColumn("gx", F.explode(F.sequence("_x0", "_x1"))).withColumn("gy", F.explode(F.sequence("_y0", "_y1")))
+    own = occupied.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("gx", shift("cx", F.col("level"))).withColumn("gy", shift("cy", F.col("level")))
+    few = found.select("q", "qx", "qy", "level", "gx", "gy").join(own.select("level", "gx", "gy", "cx", "cy"), ["level", "gx", "gy"])
+    # No block holds k points: there are fewer than k in all, and a query's answer is all of them.
+    far = told.where(F.col("level").isNull()).select("q", "qx", "qy", F.lit(1).alias("_all"))
+    rest = far.join(occupied.withColumn("_all", F.lit(1)), "_all")
+    return few.select("q", "qx", "qy", F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).unionByName(
+        rest.select("q", "qx", "qy", F.col("cx").alias("_cx"), F.col("cy").alias("_cy")))
+
+
+__all__ = ["SORT_MAX_K", "TOPK_BUCKETS", "knn", "knn_batch", "candidate_cells", "cell_size", "DEFAULT_CELL"]

@@ -29,10 +29,11 @@ def zorder(pts: DataFrame, extent: tuple[float, float, float, float] = WORKLOAD_
 
 
 def write_clustered(pts: DataFrame, path: str | None = None, partitions: int | None = None,
-                    extent: tuple[float, float, float, float] = WORKLOAD_EXTENT,
+                    extent: tuple[float, float, float, float] | None = None,
                     depth: int = 16, rows_per_group: int | None = None) -> str:
     """Write ``pts`` clustered by Z-order and return the path.
 
+    The grid covers the data's own extent (one aggregate) unless ``extent`` fixes it.
     ``partitions`` defaults to ``spark.sql.shuffle.partitions``; choose it so
     each output file is a few hundred MB at the target scale.  The range
     partitioner samples the keys to find its bounds, and ``sortWithinPartitions``
@@ -40,6 +41,9 @@ def write_clustered(pts: DataFrame, path: str | None = None, partitions: int | N
     """
     spark = pts.sparkSession
     path = path or scratch_path(spark, "clustered")
+    if extent is None:
+        extent = tuple(pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+        extent = extent if extent[0] is not None else WORKLOAD_EXTENT
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The row number breaks ties so that a key holding a third of all rows is
     # still split evenly across range partitions (and files).

@@ -1,17 +1,13 @@
-"""Points stored partitioned by quad-tree leaf (L2/L3 persisted; J2, J6).
+"""Points stored sorted by quad-tree leaf (L2/L3 persisted; J2, J6).
 
 The reference partitions the point set by quad-tree cells once, then joins
 windows partition by partition.  Here the partitioning is a table layout:
-every point is tagged with its leaf and written under ``leaf=<id>``
-directories.  A join first finds the leaves each window's box meets (leaf
-table x window table: both small), then reads only those directories
-(partition pruning: no task is started for any other leaf), and runs the
+every point is tagged with its leaf and the table is range-partitioned and sorted by it.  A
+join first finds the leaves each window's box meets, reads only row groups that hold them, and runs the
 exact test on what it read.
 
-The write range-partitions on (leaf, row number): each task holds a
-contiguous run of leaves, so the file count stays O(tasks + leaves), and a
-leaf holding a third of all rows (possible only at the depth cap) is still
-split evenly across tasks.
+The write range-partitions on (leaf, row number), so a leaf holding a third of all rows
+is split evenly across tasks and files.
 """
 
 from __future__ import annotations
@@ -22,11 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import guarded_in_polygon, in_envelope
-from quadrant.operators.quadtree import QuadTree, assign_leaves, quadtree, windows_to_leaves
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast, maybe_broadcast_polygons
+from quadrant.operators.quadtree import QuadTree, assign_leaves, pair_windows, quadtree
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, maybe_broadcast, maybe_broadcast_polygons, shielded
 from quadrant.session import materialize, scratch_path
 
 
+#: Leaves that a join passes to the Parquet reader as a literal filter at most.
+MAX_PUSHED_LEAVES = 1024
+
+
 def leaf_id(depth: Column | str = "depth", prefix: Column | str = "prefix") -> Column:
     """One BIGINT per leaf: ``prefix * 32 + depth`` (depth < 32)."""
     d = F.col(depth) if isinstance(depth, str) else depth
@@ -45,79 +45,72 @@ class LeafPartitioned:
 
 def partition_by_leaves(pts: DataFrame, qt: QuadTree | None = None, path: str | None = None,
                         partitions: int | None = None) -> LeafPartitioned:
-    """Write ``pts`` partitioned by quad-tree leaf; return the handle.
+    """Write ``pts`` sorted by quad-tree leaf (column ``_leaf``); return the handle.
 
-    ``qt`` defaults to a materialised tree with ``target_leaves=1024``, so the
-    number of directories does not grow with the data.
+    Several leaves share a file, so the number of files follows ``partitions``, not the
+    leaves; row-group statistics of ``_leaf`` let a join skip what it does not need.
+    ``qt`` defaults to a materialised tree with ``target_leaves=1024``.
     """
     spark = pts.sparkSession
+    if "_leaf" in pts.columns:
+        raise ValueError("rename the column _leaf: the layout has a column of that name")
     qt = qt or quadtree(pts)
     if qt.n_leaves is None:
         raise ValueError("the quad-tree must be materialised (quadtree(..., materialize=True))")
     path = path or scratch_path(spark, "leaf-partitioned")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (assign_leaves(pts, qt).withColumn("leaf", leaf_id()).drop("depth", "prefix")
+    inner, back = shielded(pts, [])
+    tagged = (assign_leaves(inner, qt).select(leaf_id().alias("_leaf"), *back)
               .withColumn("_tie", F.monotonically_increasing_id()))
-    (tagged.repartitionByRange(n, "leaf", "_tie").sortWithinPartitions("leaf", "_tie").drop("_tie")
-     .write.mode("errorifexists").partitionBy("leaf").parquet(path))
+    (tagged.repartitionByRange(n, "_leaf", "_tie").sortWithinPartitions("_leaf", "_tie").drop("_tie")
+     .write.mode("errorifexists").parquet(path))
     return LeafPartitioned(path, qt)
 
 
-def _read_leaves(spark: SparkSession, lp: LeafPartitioned, ids: list[int]) -> DataFrame:
-    """Only the given leaf directories: nothing else is even listed."""
-    if not ids:
-        return lp.points(spark).where(F.lit(False))
-    paths = [f"{lp.path}/leaf={i}" for i in ids]
-    return spark.read.option("basePath", lp.path).parquet(*paths)
-
+def _touched(lp: LeafPartitioned, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The window columns with ``_leaf`` for every leaf a window's box may meet, written once, and the points to read.
 
-def _pairs(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame, name: str) -> tuple[DataFrame, list[int], int]:
-    """``(leaf, window_id, ...window columns)`` for every leaf a window's box meets.
-
-    Written once to the shared folder: the window table is computed a single
-    time although both the driver (for the leaf ids) and the join read it.
-    Its size is bounded by windows x leaves, and the leaf count is fixed by
-    the tree (target_leaves).
+    Up to ``MAX_PUSHED_LEAVES`` touched leaves become a literal filter that reaches the
+    Parquet reader; with more, the join on the leaf key alone decides.
     """
-    boxes = windows.select("window_id", "mnx", "mxx", "mny", "mxy")
-    pairs = windows_to_leaves(boxes, lp.qt).select("window_id", leaf_id().alias("leaf"))
-    table = materialize(pairs.join(windows, "window_id"), name)
-    stats = table.agg(F.count(F.lit(1)).alias("n"), F.collect_set("leaf").alias("ids")).first()
-    return table, sorted(stats["ids"]), stats["n"]
+    table = materialize(pair_windows(windows, lp.qt).withColumn("_leaf", leaf_id()).drop("depth", "prefix"), "leaf-pairs")
+    ids = [r[0] for r in table.select("_leaf").distinct().limit(MAX_PUSHED_LEAVES + 1).collect()]
+    pts = lp.points(windows.sparkSession)
+    return table, pts.where(F.col("_leaf").isin(ids)) if len(ids) <= MAX_PUSHED_LEAVES else pts
 
 
 def leaf_pip_join(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame,
                   predicate: str = "intersects", known_windows: int | None = None,
                   known_edges: int | None = None,
                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Polygon windows joined with leaf-partitioned points.
+    """Polygon windows joined with leaf-sorted points.
 
-    Reads only the leaves whose point bounds meet a window's box.  The
-    (window, leaf) pairs carry the polygon and are broadcast when the
+    The (window, leaf) pairs carry the polygon and are broadcast when the
     size check passes; otherwise they meet the points in a shuffle join on
-    the leaf key, which is balanced because leaves are.
+    the leaf key, which Spark splits where a leaf is crowded.
     """
-    geo = windows.select("window_id", "edges", "mnx", "mxx", "mny", "mxy")
-    pairs, ids, n_pairs = _pairs(spark, lp, geo, "leaf-pairs")
-    pts = _read_leaves(spark, lp, ids)
-    pairs_geo, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows, known_rows=n_pairs,
-                                            known_edges_per_row=known_edges)
-    hit = guarded_in_polygon("edges", "x", "y", "mnx", "mxx", "mny", "mxy", predicate)
-    cols = [c for c in pts.columns if c != "leaf"]
-    return pts.join(pairs_geo, "leaf").where(hit).select("window_id", *cols)
+    geo = windows.select(F.col("window_id").alias("_w_window_id"), "edges", "mnx", "mxx", "mny", "mxy")
+    pairs, pts = _touched(lp, geo)
+    pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows)
+    inner, back = shielded(pts, ["window_id"])
+    return _meet(inner, pairs, pts, back, guarded_in_polygon("edges", "x", "y", "mnx", "mxx", "mny", "mxy", predicate))
 
 
 def leaf_range_join(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame,
                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Q3 over leaf-partitioned points: ``(window_id, ...point columns)`` pairs."""
-    w = windows.select("window_id", F.least("mnx", "mxx").alias("mnx"), F.greatest("mnx", "mxx").alias("mxx"),
+    """Q3 over leaf-sorted points: ``(window_id, ...point columns)`` pairs."""
+    w = windows.select(F.col("window_id").alias("_w_window_id"), F.least("mnx", "mxx").alias("mnx"), F.greatest("mnx", "mxx").alias("mxx"),
                        F.least("mny", "mxy").alias("mny"), F.greatest("mny", "mxy").alias("mxy"))
-    pairs, ids, n_pairs = _pairs(spark, lp, w, "leaf-range-pairs")
-    pts = _read_leaves(spark, lp, ids)
-    pairs_w, _ = maybe_broadcast(pairs, max_broadcast_rows, n_pairs)
-    cols = [c for c in pts.columns if c != "leaf"]
-    return (pts.join(pairs_w, "leaf").where(in_envelope("x", "y", "mnx", "mxx", "mny", "mxy"))
-            .select("window_id", *cols))
+    pairs, pts = _touched(lp, w)
+    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows)
+    inner, back = shielded(pts, ["window_id"])
+    return _meet(inner, pairs, pts, back, in_envelope("x", "y", "mnx", "mxx", "mny", "mxy"))
+
+
+def _meet(inner: DataFrame, pairs: DataFrame, pts: DataFrame, back: list, hit: Column) -> DataFrame:
+    leaf = inner.columns[pts.columns.index("_leaf")]
+    met = inner.join(pairs, inner[leaf] == pairs["_leaf"]).where(hit)
+    return met.select(F.col("_w_window_id").alias("window_id"), *(b for b, c in zip(back, pts.columns) if c != "_leaf"))
 
 
 __all__ = ["LeafPartitioned", "partition_by_leaves", "leaf_pip_join", "leaf_range_join", "leaf_id"]

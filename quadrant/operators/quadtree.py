@@ -52,6 +52,8 @@ class QuadTree:
     cell_depth: int | None = None
     # Grid bounds as Python floats once materialised (used as literals).
     bounds: tuple[float, float, float, float] | None = None
+    # (depth, prefix) of all leaves, the empty ones included: they tile the whole grid.
+    tiles: DataFrame | None = None
 
 
 def _coded(pts: DataFrame, ext: DataFrame | tuple, max_depth: int) -> DataFrame:
@@ -146,66 +148,117 @@ def quadtree(pts: DataFrame, max_depth: int = 12, cap: int | None = None,
         if r["gminx"] is not None:
             bounds = (r["gminx"], r["gmaxx"], r["gminy"], r["gmaxy"])
     leaves = _leaves(pts, ext, max_depth, cap, target_leaves, bounds)
+    tiles = _tiles(leaves)
     n_leaves = None
     cells = cell_depth = None
     if materialize:
         leaves = write_table(leaves, "quadtree-leaves")
-        hist = {r["depth"]: r["count"] for r in leaves.groupBy("depth").count().collect()}
-        n_leaves = sum(hist.values())
-        if hist:
-            dmax = max(hist)
-            # Cells at depth dmax covered by the leaves: known before building them.
-            if sum(c * 4 ** (dmax - d) for d, c in hist.items()) <= MAX_BROADCAST_ROWS:
-                shift = ((F.lit(dmax) - F.col("depth")) * 2).cast("int")
-                lo = F.call_function("shiftleft", F.col("prefix"), shift)
-                hi = F.call_function("shiftleft", F.col("prefix") + 1, shift) - 1
-                cells = write_table(leaves.select("depth", "prefix", F.explode(F.sequence(lo, hi)).alias("_cell")),
-                                    "quadtree-cells")
-                cell_depth = dmax
-    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves, cells, cell_depth, bounds)
-
-
-def _leaf_table(qt: QuadTree, cols: list[str], max_broadcast_rows: int) -> DataFrame:
-    table, _ = maybe_broadcast(qt.leaves.select(*cols), max_broadcast_rows, qt.n_leaves)
-    return table
+        tiles = write_table(_tiles(leaves), "quadtree-tiles")
+        n_leaves = leaves.count()
+        hist = {r["depth"]: r["count"] for r in tiles.groupBy("depth").count().collect()}
+        dmax = max(hist)
+        # Cells at depth dmax covered by the tiles: known before building them.
+        if sum(c * 4 ** (dmax - d) for d, c in hist.items()) <= MAX_BROADCAST_ROWS:
+            shift = ((F.lit(dmax) - F.col("depth")) * 2).cast("int")
+            lo = F.call_function("shiftleft", F.col("prefix"), shift)
+            hi = F.call_function("shiftleft", F.col("prefix") + 1, shift) - 1
+            cells = write_table(tiles.select("depth", "prefix", F.explode(F.sequence(lo, hi)).alias("_cell")),
+                                "quadtree-cells")
+            cell_depth = dmax
+    return QuadTree(leaves, _grid(ext, leaves), max_depth, n_leaves, cells, cell_depth, bounds, tiles)
+
+
+def _tiles(leaves: DataFrame) -> DataFrame:
+    """``(depth, prefix)`` of the leaves plus the empty ones beside them.
+
+    Every node above a leaf is split, and a child of a split node that is neither
+    split nor a leaf is an empty leaf.  Together they tile the grid, so any point, also one
+    of another set, has exactly one tile.
+    """
+    spark = leaves.sparkSession
+    own = leaves.select("depth", "prefix")
+    split = (own.where(F.col("depth") > 0)
+             .select(F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("d"), "depth", "prefix")
+             .select(F.col("d").alias("depth"), F.call_function("shiftright", F.col("prefix"), ((F.col("depth") - F.col("d")) * 2).cast("int")).alias("prefix"))
+             .distinct())
+    root = spark.range(1).select(F.lit(0).alias("depth"), F.col("id").alias("prefix"))
+    children = split.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("c"), "prefix").select(
+        "depth", (F.col("prefix") * 4 + F.col("c")).cast("bigint").alias("prefix"))
+    empty = root.unionByName(children).join(own.unionByName(split), LEAF_KEY, "left_anti")
+    return own.unionByName(empty)
 
 
 def assign_leaves(pts: DataFrame, qt: QuadTree, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Tag each point with its leaf ``(depth, prefix)``.
 
-    With a materialised tree whose leaves, expanded to cells at the deepest
-    leaf depth, fit the broadcast bound, a point's cell at that depth names
-    its leaf: one hash probe.  Otherwise a point's candidate nodes are its
-    code's prefixes at the depths where leaves exist (``dmin..dmax``), and
-    exactly one of them is a leaf.  The leaf table is broadcast when it passes
-    the size check, so points are never shuffled for this; otherwise it is a
-    plain equi-join on the leaf key.  Points outside the grid's occupied cells
-    (possible only when the tree was built on other data) get no leaf.
+    With a materialised tree whose tiles, expanded to cells at the deepest
+    depth, fit the broadcast bound, a point's cell at that depth names
+    its tile: one hash probe.  Otherwise a point's candidate nodes are its
+    code's prefixes at every depth, and exactly one of them is a tile: an equi-join on
+    the leaf key.  Points of another set than the tree's take part too: they may fall in
+    empty tiles, and points outside the grid belong to its border.
     """
     coded = _coded(pts, qt.bounds or qt.grid, qt.max_depth)
     if qt.cells is not None:
-        # One probe per point: its cell at the deepest leaf depth names its leaf.
+        # One probe per point: its cell at the deepest depth names its tile.
         cell = F.shiftright(F.col("_code"), 2 * (qt.max_depth - qt.cell_depth))
         return (coded.withColumn("_cell", cell)
                 .join(F.broadcast(qt.cells), "_cell", "inner").drop("_cell", "_code"))
-    span = coded.crossJoin(F.broadcast(qt.grid.select("dmin", "dmax")))
-    exploded = (span.withColumn("depth", F.explode(F.sequence(F.col("dmin"), F.col("dmax"))))
+    exploded = (coded.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(qt.max_depth))))
                 .withColumn("prefix", morton_prefix("_code", F.col("depth"), qt.max_depth))
-                .drop("dmin", "dmax", "_code"))
-    return exploded.join(_leaf_table(qt, LEAF_KEY, max_broadcast_rows), LEAF_KEY, "inner")
+                .drop("_code"))
+    tiles, _ = maybe_broadcast(qt.tiles, max_broadcast_rows)
+    return exploded.join(tiles, LEAF_KEY, "inner")
+
 
+def pair_windows(windows: DataFrame, qt: QuadTree) -> DataFrame:
+    """All columns of ``windows`` (with mnx, mxx, mny, mxy) and ``(depth, prefix)`` of each tile its box may meet.
 
-def windows_to_leaves(windows: DataFrame, qt: QuadTree,
-                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    Window rows are carried along, so ids may repeat or be NULL.  The box is compared in cells of
+    the tree's grid, with the very function that places points, so a point inside the box lies in
+    one of its tiles whichever set it belongs to.  A box is covered by a few cells of about its own size; a tile
+    meets it if it is one of them, lies above one or lies inside one: equi-joins only.
+    A box with a NULL or NaN bound meets nothing.
+    """
+    D = qt.max_depth
+    mnx, mxx, mny, mxy = ((F.lit(float(v)) for v in qt.bounds) if qt.bounds else map(F.col, _GRID))
+    w = windows if qt.bounds else windows.crossJoin(F.broadcast(qt.grid.select(*_GRID)))
+    w = w.where((F.col("mnx") <= F.col("mxx")) & (F.col("mny") <= F.col("mxy")))
+    for name, v, lo, hi in (("_x0", "mnx", mnx, mxx), ("_x1", "mxx", mnx, mxx), ("_y0", "mny", mny, mxy), ("_y1", "mxy", mny, mxy)):
+        w = w.withColumn(name, grid_coord(v, lo, hi, D))
+    span = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    w = w.withColumn("_s", F.least(F.lit(D), F.ceil(F.log2((span + 1) / F.lit(2.0)))).cast("int"))
+    w = w.withColumn("_s", F.greatest(F.lit(0), F.col("_s")))
+    down = lambda c, s: F.call_function("shiftright", F.col(c), s)
+    up = lambda c, s: F.call_function("shiftleft", c, s)
+    for c in ("_x0", "_x1", "_y0", "_y1"):
+        w = w.withColumn(c, down(c, F.col("_s")))
+    cells = w.withColumn("_cx", F.explode(F.sequence("_x0", "_x1")))
+    cells = cells.withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).withColumn("_kx", F.col("_cx")).withColumn("_ky", F.col("_cy"))
+    cells = with_morton(cells, "_kx", "_ky", "_cell").withColumn("_depth", F.lit(D) - F.col("_s"))
+    above = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("_depth")))).withColumn("_t", F.col("_depth") - F.col("depth"))
+    # Of a window's cells below one tile only the first brings the pair.
+    first = ((F.col("_cx") == F.greatest(F.col("_x0"), up(down("_cx", F.col("_t")), F.col("_t"))))
+             & (F.col("_cy") == F.greatest(F.col("_y0"), up(down("_cy", F.col("_t")), F.col("_t")))))
+    above = above.where(first).withColumn("prefix", down("_cell", (F.col("_t") * 2).cast("int")))
+    met_above = above.join(qt.tiles, LEAF_KEY).select(*windows.columns, *LEAF_KEY)
+    inside = (qt.tiles.where(F.col("depth") > 0).withColumn("_depth", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))
+              .withColumn("_cell", down("prefix", ((F.col("depth") - F.col("_depth")) * 2).cast("int"))))
+    met_inside = cells.join(inside, ["_depth", "_cell"]).select(*windows.columns, *LEAF_KEY)
+    return met_above.unionByName(met_inside)
+
+
+def windows_to_leaves(windows: DataFrame, qt: QuadTree) -> DataFrame:
     """L3: ``(window_id, depth, prefix)`` for every leaf whose point bounds meet the window box.
 
-    Uses each leaf's actual min/max of x and y (tighter than its grid square).
+    Uses each occupied leaf's actual min/max of x and y (tighter than its grid square), so it
+    speaks of the tree's own points; joins of any points use ``pair_windows``.
     """
-    leaves = _leaf_table(qt, [*LEAF_KEY, "lminx", "lmaxx", "lminy", "lmaxy"], max_broadcast_rows)
     w = windows.select("window_id", "mnx", "mxx", "mny", "mxy")
+    leaves = qt.leaves.select(*LEAF_KEY, "lminx", "lmaxx", "lminy", "lmaxy")
     cond = ((F.col("mnx") <= F.col("lmaxx")) & (F.col("mxx") >= F.col("lminx"))
             & (F.col("mny") <= F.col("lmaxy")) & (F.col("mxy") >= F.col("lminy")))
-    return w.join(leaves, cond, "inner").select("window_id", *LEAF_KEY)
+    return pair_windows(w, qt).join(leaves, LEAF_KEY).where(cond).select("window_id", *LEAF_KEY)
 
 
-__all__ = ["QuadTree", "quadtree", "assign_leaves", "windows_to_leaves", "LEAF_KEY"]
+__all__ = ["QuadTree", "quadtree", "assign_leaves", "pair_windows", "windows_to_leaves", "LEAF_KEY"]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrant.functions.geometry import envelope_literals, in_envelope
-from quadrant.operators.quadtree import QuadTree, assign_leaves, quadtree, windows_to_leaves, LEAF_KEY
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast
+from quadrant.operators.quadtree import LEAF_KEY, QuadTree, assign_leaves, pair_windows, quadtree
+from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast, shielded
 from quadrant.session import materialize
 
 
@@ -40,28 +40,29 @@ def range_join(pts: DataFrame, windows: DataFrame, strategy: str = "auto",
     against every window (nested loop, no shuffle of points): points x windows
     tests, so ``auto`` uses it for up to ``MAX_LOOP_ROWS`` windows.
     ``cells``: points and windows meet on quad-tree leaf keys (an equi-join);
-    each point has one leaf, so no pair is produced twice.
-    ``auto``: ``broadcast`` when the window table passes the size check.
+    each point has one leaf, so no pair is produced twice.  ``broadcast`` becomes ``cells``
+    for a window table over the broadcast bound.  All give the same rows, also for
+    repeated or NULL window ids and for a tree (``qt``) of another point set.
+
+    ``known_windows`` is the caller's word on the number of windows; it is not relied on.
     """
     windows = normalize_windows(windows)
     wcols = [c for c in windows.columns if c not in ("mnx", "mxx", "mny", "mxy")]
+    if strategy not in ("auto", "broadcast", "cells"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    inner, back = shielded(pts, wcols)
+    out = [*(F.col(f"_w_{c}").alias(c) for c in wcols), *back]
+    geo = windows.select(*(F.col(f"`{c}`").alias(f"_w_{c}") for c in wcols), "mnx", "mxx", "mny", "mxy")
     if strategy in ("auto", "broadcast"):
         limit = min(max_broadcast_rows, MAX_LOOP_ROWS) if strategy == "auto" else max_broadcast_rows
-        w, small = maybe_broadcast(windows, limit, known_windows)
-        if small or strategy == "broadcast":
-            if not small:
-                raise ValueError("window table is too large to broadcast; use strategy='cells'")
-            return (pts.join(w, in_envelope(pts["x"], pts["y"], w["mnx"], w["mxx"], w["mny"], w["mxy"]))
-                    .select(*wcols, *pts.columns))
-    elif strategy != "cells":
-        raise ValueError(f"unknown strategy {strategy!r}")
+        w, small = maybe_broadcast(geo, limit)
+        if small:
+            return inner.join(w, in_envelope("x", "y", "mnx", "mxx", "mny", "mxy")).select(*out)
     qt = qt or quadtree(pts)
-    pairs = materialize(windows_to_leaves(windows, qt, max_broadcast_rows).join(windows, "window_id"),
-                        "window-leaf-pairs")
-    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows, pairs.count())
-    tagged = assign_leaves(pts, qt, max_broadcast_rows)
-    joined = tagged.join(pairs, LEAF_KEY).where(in_envelope("x", "y", "mnx", "mxx", "mny", "mxy"))
-    return joined.drop(*LEAF_KEY, "mnx", "mxx", "mny", "mxy").select(*wcols, *pts.columns)
+    pairs = materialize(pair_windows(geo, qt), "window-leaf-pairs")
+    pairs, _ = maybe_broadcast(pairs, max_broadcast_rows)
+    tagged = assign_leaves(inner, qt, max_broadcast_rows)
+    return tagged.join(pairs, LEAF_KEY).where(in_envelope("x", "y", "mnx", "mxx", "mny", "mxy")).select(*out)
 
 
 def range_counts(pts: DataFrame, windows: DataFrame, **kw) -> DataFrame:

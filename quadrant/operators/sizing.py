@@ -29,7 +29,8 @@ def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     """Broadcast-hint ``df`` if its size is proven within ``max_rows``.
 
     Returns the (possibly hinted) frame and whether it was hinted, so the
-    caller can pick a shuffle-based plan otherwise.
+    caller can pick a shuffle-based plan otherwise.  ``known_rows`` may only come from a count or
+    from a table's own definition; what callers merely state is measured.
     """
     small = known_rows <= max_rows if known_rows is not None else rows_at_most(df, max_rows)
     return (F.broadcast(df), True) if small else (df, False)
@@ -59,5 +60,20 @@ def maybe_broadcast_polygons(windows: DataFrame, max_rows: int = MAX_BROADCAST_R
     return (F.broadcast(windows), True) if small else (windows, False)
 
 
-__all__ = ["MAX_BROADCAST_ROWS", "MAX_LOOP_ROWS", "MAX_BROADCAST_EDGES", "rows_at_most", "maybe_broadcast",
+
+
+def shielded(pts: DataFrame, taken: list[str]) -> tuple[DataFrame, list]:
+    """Points with their carried columns under names no operator uses, and the columns that give them back.
+
+    ``taken`` are the names the result adds; a carried column of such a name can't be returned.
+    """
+    carried = [c for c in pts.columns if c not in ("id", "x", "y")]
+    if clash := [c for c in carried if c in taken]:
+        raise ValueError(f"rename the carried columns {clash}: the result has columns of that name")
+    inner = {c: f"_carried_{i}" for i, c in enumerate(carried)}
+    back = [F.col(inner[c]).alias(c) if c in inner else F.col(c) for c in pts.columns]
+    return pts.select(*(F.col(f"`{c}`").alias(inner.get(c, c)) for c in pts.columns)), back
+
+
+__all__ = ["shielded", "MAX_BROADCAST_ROWS", "MAX_LOOP_ROWS", "MAX_BROADCAST_EDGES", "rows_at_most", "maybe_broadcast",
            "maybe_broadcast_polygons"]

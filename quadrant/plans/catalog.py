@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.generators import (point_literal, query_point_value, query_points,
                                            query_window_value, query_windows)
-from quadrant.operators.index import (build_index, index_knn, index_knn_batch, index_knn_join,
+from quadrant.operators.index import (indexed, index_knn, index_knn_batch, index_knn_join,
                                       index_pip_join, index_range, index_range_join)
 from quadrant.operators.join import grouped, grouped_summary, matched_window_count, pip_join
 from quadrant.operators.knn import knn, knn_batch
@@ -30,7 +30,7 @@ from quadrant.sources.derived import b_from, points_a, points_b, points_c, point
 from quadrant.streaming.points import run_available, stream_pip_join, stream_range, table_stream
 from quadrant.sources.points import extent, points_sql, read_points
 
-# Workload parameters (shared with the oracle SQL).
+# The sizes of the workload (shared with the oracle SQL).
 K_KNN = 1000             # kNN size of the plain kNN workloads
 K_RING = 100             # kNN size feeding the ring polygon
 SEED_POINT = (-119.0, 34.5)
@@ -82,7 +82,7 @@ def range_window(spark, d):
 
 
 def range_window_clustered(spark, d):
-    path = write_clustered(points_b(spark, d), rows_per_group=4096)
+    path = write_clustered(points_b(spark, d))
     return range_query(read_clustered(spark, path), *_range_window()).select("id", "x", "y")
 
 
@@ -96,7 +96,7 @@ def range_batch_count(spark, d):
 
 def range_batch_count_cells(spark, d):
     pts = points_b(spark, d)
-    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
+    qt = quadtree(pts, max_depth=QT_DEPTH)
     return range_counts(pts, _windows(spark), strategy="cells", qt=qt, known_windows=N_WINDOWS)
 
 
@@ -137,7 +137,7 @@ def _pip(spark, d, predicate, strategy):
     pts = points_b(spark, d)
     qt = None
     if strategy == "cells":
-        qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
+        qt = quadtree(pts, max_depth=QT_DEPTH)
     return pip_join(pts, _seed_rings(spark, d), predicate=predicate, strategy=strategy, qt=qt,
                     known_windows=N_SEEDS, known_edges=K_RING).select("window_id", "id", "x", "y")
 
@@ -186,7 +186,7 @@ def knn_join_q(spark, d):
 def knn_join_cells(spark, d):
     seed = point_literal(spark, *SEED_POINT)
     pts_b = points_b(spark, d)
-    qt = quadtree(pts_b, max_depth=QT_DEPTH, cap=QT_CAP)
+    qt = quadtree(pts_b, max_depth=QT_DEPTH)
     return knn_join(points_a(spark, d), pts_b, seed, K_RING, strategy="cells", qt=qt,
                     knn_strategy="cells", cell=CELL, known_seeds=1).select("window_id", "id", "x", "y")
 
@@ -216,20 +216,59 @@ def windows_to_leaves_q(spark, d):
 def range_pairs_cells(spark, d):
     """Q3 as pairs through quad-tree cells, over the skewed set."""
     pts = points_d(spark, d)
-    qt = quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP)
+    qt = quadtree(pts, max_depth=QT_DEPTH)
     return range_join(pts, _windows(spark), strategy="cells", qt=qt,
                       known_windows=N_WINDOWS).select("window_id", "id", "x", "y")
 
 
+def range_pairs_dup_windows(spark, d):
+    """Q3 by cells with every window twice under one id, once more under a NULL id."""
+    w = _windows(spark)
+    both = w.unionByName(w).unionByName(w.withColumn("window_id", F.lit(None).cast("bigint")))
+    return range_join(points_d(spark, d), both, strategy="cells").select("window_id", "id", "x", "y")
+
+
+def pip_join_foreign_tree(spark, d):
+    """J2 with a tree of the skewed set D over the points of B."""
+    qt = quadtree(points_d(spark, d), max_depth=QT_DEPTH)
+    return pip_join(points_b(spark, d), _seed_rings(spark, d), "covers", strategy="cells", qt=qt).select("window_id", "id", "x", "y")
+
+
+def _carried(df):
+    """Columns under names that operators use themselves."""
+    return df.withColumn("depth", F.col("id") % 7).withColumn("rank", F.col("id") % 5).withColumn("mnx", F.col("x") * 2)
+
+
+def points_from_csv_carried(spark, d):
+    """The other columns of a CSV source ride along."""
+    path = scratch_path(spark, "points-csv-carried")
+    _carried(points_b(spark, d)).select("x", "y", "id", "depth", "rank", "mnx").write.csv(path)
+    return read_points(spark, path, format="csv", schema="x DOUBLE, y DOUBLE, id BIGINT, depth BIGINT, rank BIGINT, mnx DOUBLE",
+                       id="id").select("id", "x", "y", "depth", "rank", "mnx")
+
+
+def pip_join_carried(spark, d):
+    """S2 through a cell join: carried columns named depth, rank and mnx."""
+    pts = _carried(points_b(spark, d))
+    return pip_join(pts, _seed_rings(spark, d), "covers", strategy="cells").select("window_id", "id", "x", "y", "depth", "rank", "mnx")
+
+
+def knn_join_batch_indexed(spark, d):
+    """J6 + J7: the batch kNN-join through indexes."""
+    seeds = query_points(spark, N_SEEDS, SEEDS_SEED)
+    idx_a, idx_b = indexed(points_a(spark, d)), indexed(points_c(spark, d))
+    return grouped_summary(index_knn_join(spark, idx_a, idx_b, seeds, K_RING))
+
+
 # --- through the persisted spatial index (Q2, Q5, J2, J6 "using index") ----------
 
 def range_window_indexed(spark, d):
-    idx = build_index(points_b(spark, d))
+    idx = indexed(points_b(spark, d))
     return index_range(spark, idx, *_range_window()).select("id", "x", "y")
 
 
 def range_batch_count_indexed(spark, d):
-    idx = build_index(points_b(spark, d))
+    idx = indexed(points_b(spark, d))
     pairs = index_range_join(spark, idx, _windows(spark))
     counts = pairs.groupBy("window_id").count().withColumnRenamed("count", "n")
     return (_windows(spark).select("window_id").join(counts, "window_id", "left")
@@ -237,22 +276,22 @@ def range_batch_count_indexed(spark, d):
 
 
 def knn_point_indexed(spark, d):
-    idx = build_index(points_a(spark, d))
+    idx = indexed(points_a(spark, d))
     return index_knn(spark, idx, *_knn_point(), K_KNN).select("rank", "id", "x", "y", "d2")
 
 
 def knn_batch_indexed(spark, d):
-    idx = build_index(points_a(spark, d))
+    idx = indexed(points_a(spark, d))
     return index_knn_batch(spark, idx, _queries(spark), K_KNN).select("q", "rank", "id", "x", "y", "d2")
 
 
 def pip_join_indexed(spark, d):
-    idx = build_index(points_b(spark, d))
+    idx = indexed(points_b(spark, d))
     return index_pip_join(spark, idx, _seed_rings(spark, d), "covers").select("window_id", "id", "x", "y")
 
 
 def knn_join_indexed(spark, d):
-    idx_a, idx_b = build_index(points_a(spark, d)), build_index(points_b(spark, d))
+    idx_a, idx_b = indexed(points_a(spark, d)), indexed(points_b(spark, d))
     seed = point_literal(spark, *SEED_POINT)
     return index_knn_join(spark, idx_a, idx_b, seed, K_RING).select("window_id", "id", "x", "y")
 
@@ -260,14 +299,14 @@ def knn_join_indexed(spark, d):
 # --- points stored partitioned by quad-tree leaf (J2/J6 "partitioned + indexed") -----
 
 def pip_join_covers_partitioned(spark, d):
-    lp = partition_by_leaves(points_b(spark, d), quadtree(points_b(spark, d), max_depth=QT_DEPTH, cap=QT_CAP))
+    lp = partition_by_leaves(points_b(spark, d))
     return leaf_pip_join(spark, lp, _seed_rings(spark, d), "covers", known_windows=N_SEEDS,
                          known_edges=K_RING).select("window_id", "id", "x", "y")
 
 
 def knn_join_partitioned(spark, d):
     pts_b = points_b(spark, d)
-    lp = partition_by_leaves(pts_b, quadtree(pts_b, max_depth=QT_DEPTH, cap=QT_CAP))
+    lp = partition_by_leaves(pts_b)
     seed = point_literal(spark, *SEED_POINT)
     rings = knn_rings(points_a(spark, d), seed, K_RING, known_seeds=1)
     return leaf_pip_join(spark, lp, rings, "intersects", known_windows=1,
@@ -276,7 +315,7 @@ def knn_join_partitioned(spark, d):
 
 def range_pairs_partitioned(spark, d):
     pts = points_d(spark, d)
-    lp = partition_by_leaves(pts, quadtree(pts, max_depth=QT_DEPTH, cap=QT_CAP))
+    lp = partition_by_leaves(pts)
     return leaf_range_join(spark, lp, _windows(spark)).select("window_id", "id", "x", "y")
 
 
@@ -298,11 +337,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "points_sql_projection": points_sql_projection,
     "points_from_csv": points_from_csv,
     "points_from_json": points_from_json,
+    "points_from_csv_carried": points_from_csv_carried,
     "range_window": range_window,
     "range_window_clustered": range_window_clustered,
     "range_batch_count": range_batch_count,
     "range_batch_count_cells": range_batch_count_cells,
     "range_pairs_cells": range_pairs_cells,
+    "range_pairs_dup_windows": range_pairs_dup_windows,
     "knn_point": knn_point,
     "knn_point_cells": knn_point_cells,
     "knn_batch": knn_batch_brute,
@@ -310,6 +351,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_ring": knn_ring,
     "pip_join_intersects": pip_join_intersects,
     "pip_join_covers_cells": pip_join_covers_cells,
+    "pip_join_foreign_tree": pip_join_foreign_tree,
+    "pip_join_carried": pip_join_carried,
     "pip_join_interior": pip_join_interior,
     "pip_join_grouped": pip_join_grouped,
     "pip_join_grouped_pairs": pip_join_grouped_pairs,
@@ -328,6 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_batch_indexed": knn_batch_indexed,
     "pip_join_indexed": pip_join_indexed,
     "knn_join_indexed": knn_join_indexed,
+    "knn_join_batch_indexed": knn_join_batch_indexed,
     "pip_join_covers_partitioned": pip_join_covers_partitioned,
     "knn_join_partitioned": knn_join_partitioned,
     "range_pairs_partitioned": range_pairs_partitioned,

@@ -176,6 +176,7 @@ def oracle_sql() -> dict[str, str]:
     queries = _query_points(C.N_QUERIES, C.QUERY_SEED)
     seeds = _query_points(C.N_SEEDS, C.SEEDS_SEED)
     seed = _seed_table(*C.SEED_POINT)
+    carried = f"SELECT id, x, y, id % 7 AS depth, id % 5 AS rank, x * 2 AS mnx FROM ({POINTS_B})"
     in_rw = (f"x >= {lit(rw[0])} AND x <= {lit(rw[1])} AND y >= {lit(rw[2])} AND y <= {lit(rw[3])}")
     range_pairs = f"""
 SELECT window_id, id, x, y FROM ({POINTS_B}) p JOIN ({windows}) w
@@ -199,11 +200,14 @@ SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
         "points_sql_projection": POINTS_B,
         "points_from_csv": POINTS_B,
         "points_from_json": POINTS_B,
+        "points_from_csv_carried": carried,
         "range_window": f"SELECT id, x, y FROM ({POINTS_B}) WHERE {in_rw}",
         "range_window_clustered": f"SELECT id, x, y FROM ({POINTS_B}) WHERE {in_rw}",
         "range_batch_count": range_count,
         "range_batch_count_cells": range_count,
         "range_pairs_cells": d_pairs,
+        "range_pairs_dup_windows": f"SELECT * FROM ({d_pairs}) UNION ALL SELECT * FROM ({d_pairs}) "
+                                   f"UNION ALL SELECT NULL::BIGINT AS window_id, id, x, y FROM ({d_pairs})",
         "knn_point": knn_single,
         "knn_point_cells": knn_single,
         "knn_batch": knn_many,
@@ -211,6 +215,8 @@ SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
         "knn_ring": _ring_edges(_knn_rows(POINTS_A, seed, C.K_RING)),
         "pip_join_intersects": pip_c,
         "pip_join_covers_cells": _pip_join(POINTS_B, seed_rings, "covers"),
+        "pip_join_foreign_tree": _pip_join(POINTS_B, seed_rings, "covers"),
+        "pip_join_carried": f"SELECT window_id, id, x, y, id % 7 AS depth, id % 5 AS rank, x * 2 AS mnx FROM ({_pip_join(POINTS_B, seed_rings, 'covers')})",
         "pip_join_interior": _pip_join(POINTS_B, seed_rings, "interior"),
         "pip_join_grouped": _summary(pip_c),
         "matched_window_count": f"SELECT count(DISTINCT window_id) AS n_windows FROM ({pip_c})",
@@ -220,6 +226,7 @@ SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
         "knn_join": knn_join,
         "knn_join_cells": knn_join,
         "knn_join_batch": _summary(_pip_join(POINTS_C, seed_rings, "intersects")),
+        "knn_join_batch_indexed": _summary(_pip_join(POINTS_C, seed_rings, "intersects")),
         "quadtree_leaves": leaves_d,
         "quadtree_assign": _assign(POINTS_D, C.QT_DEPTH, C.QT_CAP),
         "windows_to_leaves": _windows_to_leaves(windows, leaves_d),

@@ -6,6 +6,7 @@ DataFrames.  ``local_session`` exists for tests and the bench script only.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -35,10 +36,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we pick a fresh local folder.
+    Only a local master, where driver and executors are one process, gets a folder of
+    its own if none is set.  On a cluster that is an error: a folder on the driver's disk would hide
+    what executors write, and reads would come back partial.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="quadrant-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -75,6 +79,19 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+def layout_path(df, name: str, *settings) -> tuple[str, bool]:
+    """Where the layout ``name`` of ``df`` with ``settings`` lies in this application, and whether it is complete.
+
+    The key holds the input files, the plan over them and the settings.  A layout counts as
+    complete once its ``meta`` table is there, which builders write last.
+    """
+    spark = df.sparkSession
+    key = hashlib.sha256(repr((sorted(df.inputFiles()), df.semanticHash(), settings)).encode()).hexdigest()[:24]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quadrant-layouts/{name}-{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    return path, done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 @contextmanager
 def persisted(df, level=None):
     """L4: keep ``df`` cached while several queries reuse it, and release it after.
@@ -92,14 +109,4 @@ def persisted(df, level=None):
         cached.unpersist()
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for use with Python's own file functions."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "persisted", "local_path"]
-
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "layout_path", "persisted"]

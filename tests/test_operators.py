@@ -215,11 +215,10 @@ def test_empty_window_table(spark):
     assert range_join(pts, empty).count() == 0
 
 
-def test_batch_kNN_refuses_unbounded_query_table(spark):
+def test_batch_knn_over_the_broadcast_bound_gives_the_same_rows(spark):
     pts = points_a(spark, SF001)
     q = query_points(spark, 5, seed=1)
-    with pytest.raises(ValueError):
-        knn_batch(pts, q, 3, max_broadcast_rows=2)
+    assert rows(knn_batch(pts, q, 3, max_broadcast_rows=2)) == rows(knn_batch(pts, q, 3, strategy="brute"))
 
 
 def test_many_windows_use_cells_not_a_loop(spark):
