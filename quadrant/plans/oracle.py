@@ -9,7 +9,6 @@ scientific notation: both engines read that as DOUBLE, never DECIMAL.
 from __future__ import annotations
 
 from quadrant.functions.generators import MIN_X, MIN_Y, SPAN_X, SPAN_Y, X_HASH, Y_HASH
-from quadrant.functions.geometry import _SPREAD_STEPS
 from quadrant.plans import catalog as C
 from quadrant.sources.derived import KEY_X, KEY_Y
 
@@ -119,10 +118,10 @@ FROM ({matches}) m GROUP BY window_id"""
 
 # --- quad-tree -------------------------------------------------------------------
 
-def _spread(v: str) -> str:
-    for shift, mask in _SPREAD_STEPS:
-        v = f"((({v}) << {shift}) | ({v})) & {mask}"
-    return v
+def _interleaved(gx: str, gy: str, depth: int) -> str:
+    """Bits of two cell numbers in turn, bit by bit."""
+    return (f"CAST(list_sum(list_transform(range(0, {depth}), lambda b: "
+            f"((({gx}) // pow(2, b)::BIGINT) % 2) * pow(4, b)::BIGINT + ((({gy}) // pow(2, b)::BIGINT) % 2) * 2 * pow(4, b)::BIGINT)) AS BIGINT)")
 
 
 def _grid(v: str, lo: str, hi: str, depth: int) -> str:
@@ -135,7 +134,7 @@ def _coded(points: str, depth: int) -> str:
     gx = _grid("x", "gminx", "gmaxx", depth)
     gy = _grid("y", "gminy", "gmaxy", depth)
     return f"""
-SELECT id, x, y, ({_spread('gx')}) | (({_spread('gy')}) << 1) AS code FROM (
+SELECT id, x, y, {_interleaved('gx', 'gy', depth)} AS code FROM (
   SELECT p.*, {gx} AS gx, {gy} AS gy
   FROM ({points}) p CROSS JOIN (SELECT min(x) AS gminx, max(x) AS gmaxx, min(y) AS gminy,
                                        max(y) AS gmaxy FROM ({points}) e) g) t"""
