@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +24,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition under which NULL keys meet NULL keys."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps; it does so once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers, byte plane by byte plane (the high ones of small numbers are all zero), compressed."""
+    import zstandard
+    a = np.ascontiguousarray(a)
+    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+
+
+def unsqueeze(b: bytes) -> np.ndarray:
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").reshape(-1)
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str], n: int | None = None) -> DataFrame:

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import partitions
-from .ngram_join import BLOB, mix, release, squeeze, unsqueeze
+from .common import partitions, release, squeeze, unsqueeze
+from .ngram_join import BLOB, mix
 from .tokens import slices
 
 LENGTH = 200

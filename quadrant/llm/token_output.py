@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import partitions
+from ..session import materialize, scratch_path
+from .common import partitions, release, squeeze, unsqueeze
 from .tokens import default_path, slices, tokenizer
 
 END = 1
@@ -57,59 +57,70 @@ def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def id_frequencies(docs: DataFrame, end: int = END, path: str | None = None) -> DataFrame:
-    """id, n over all documents: at most one row per id of the vocabulary."""
-    path = path or default_path()
+def id_blocks(docs: DataFrame, end: int = END, path: str | None = None) -> DataFrame:
+    """A written table of blocks of ids in ascending doc_id order: texts are read, moved and encoded once."""
+    spark, path = docs.sparkSession, path or default_path()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, total = tokenizer(path), np.zeros(0, np.int64)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids, shard, block = tokenizer(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, _ = to_ids.encode(batch.column("text"))
-                found = np.bincount(ids, minlength=max(len(total), end + 1))
-                found[end] += batch.num_rows
+                ids, stops = to_ids.encode(batch.column("text"))
+                counts = np.diff(stops) + 1
+                numbers = np.insert(ids, stops[1:], end)  # the end id after each document's own
+                doc_ids = batch.column("doc_id")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([len(numbers)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+                    pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())), pa.array([squeeze(numbers)], pa.binary()),
+                ], names=["shard", "block", "n_ids", "doc_ids", "counts", "ids"])
+                block += 1
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    ordered = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
+               .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_last())
+               .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text"))
+    blocks = materialize(ordered.mapInArrow(encode, f"shard int, block long, n_ids long, doc_ids array<{doc_id}>, counts array<long>, ids binary"), "id-blocks")
+    release(spark)
+    return blocks
+
+
+def id_frequencies(blocks: DataFrame) -> DataFrame:
+    """id, n over all blocks: at most one row per id of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                found = np.bincount(unsqueeze(ids.as_py()), minlength=len(total))
                 found[:len(total)] += total
                 total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, to: str, end: int = END, path: str | None = None) -> None:
     """Write the file set ``to``/blocks and ``to``/ranks."""
-    spark, path = docs.sparkSession, path or default_path()
-    found = id_frequencies(docs, end, path).collect()  # bounded by the vocabulary, not by the documents
+    spark = docs.sparkSession
+    blocks = id_blocks(docs, end, path)
+    found = id_frequencies(blocks).collect()  # bounded by the vocabulary, not by the documents
     by_rank = np.array([r["id"] for r in sorted(found, key=lambda r: (-r["n"], r["id"]))], np.int64)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{to}/ranks")
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     ranks = spark.sparkContext.broadcast(rank_of)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, rank_of, shard, block = tokenizer(path), ranks.value, TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                ids, stops = to_ids.encode(batch.column("text"))
-                counts = np.diff(stops) + 1
-                numbers = rank_of[np.insert(ids, stops[1:], end)]  # the end id after each document's own
-                control, data = encode_numbers(numbers)
-                doc_ids = batch.column("doc_id")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([len(numbers)], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
-                    pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())),
-                    pa.array([control], pa.binary()), pa.array([data], pa.binary()),
-                ], names=["shard", "block", "n_ids", "doc_ids", "counts", "control", "data"])
-                block += 1
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [encode_numbers(ranks.value[unsqueeze(ids.as_py())]) for ids in batch.column("ids")]
+            control, data = zip(*coded) if coded else ((), ())
+            names = ["shard", "block", "n_ids", "doc_ids", "counts"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=[*names, "control", "data"])
 
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    ordered = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-               .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_last())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text"))
-    ordered.mapInArrow(encode, f"shard int, block long, n_ids long, doc_ids array<{doc_id}>, counts array<long>, control binary, data binary"
-                       ).write.parquet(f"{to}/blocks")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema if f.name != "ids")
+    blocks.mapInArrow(rank, f"{kept}, control binary, data binary").write.parquet(f"{to}/blocks")
 
 
 def read_token_files(spark: SparkSession, of: str, ids: bool = True) -> DataFrame:
