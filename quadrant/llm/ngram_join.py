@@ -28,7 +28,6 @@ other columns are not looked at.  Shingles are compared by 64-bit hashes in coun
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +35,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import partitions
+from .common import partitions, release, squeeze, unsqueeze
 from .tokens import slices
 
 N_WORDS = 5
 PERCENT = 75
 ORDERS = 2
+#: Leaders that a class tries in a later round.
+LEADERS = 8
 #: Bytes of text in a block: bounds what a task holds at once.
 BLOCK_BYTES = 8 << 20
 #: A shingle that more documents of one block have leaves their numbers with the block.
@@ -54,30 +55,11 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0
 BLOB = "key int, block long, a binary, b binary, c binary, d binary"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps; it does so once their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def mix(x: np.ndarray, k: int = 0) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * MIX[k % 3]
     return x ^ (x >> np.uint64(29))
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Integers, byte plane by byte plane (the high ones of small numbers are all zero), compressed."""
-    import zstandard
-    a = np.ascontiguousarray(a)
-    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-
-
-def unsqueeze(b: bytes) -> np.ndarray:
-    import zstandard
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").reshape(-1)
-
-
 def shingles(texts: pa.Array, n_words: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every shingle, text by text; a shingle may come twice."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -246,26 +228,30 @@ def document_sets(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def prefix_lists(classes: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """k, token, cid, n: the prefix shingles of every class under each order, where another class has them too."""
+    """k, token, cid, n, pos, strong: the prefix shingles of every class under each order, where another class has them too.
+
+    ``pos`` shingles come before it in the order.  Two sets with overlap o need their first common shingle to have at
+    least o from there on in both; as o is at least 3/7 of both sizes together, the smaller set's one is
+    ``strong``, that is among its first seventh or so.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, tokens, cids, ns = [], [], [], []
+            found = []
             for cid, n, blob in zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist(), batch.column("shared")):
                 token, code = unpack_shared(blob.as_py())
                 alone = n - len(token)  # the rarest of all, first under every order
                 length = n - -(-PERCENT * n // 100) + 1 - alone
                 for k in range(orders):
                     first = token[np.lexsort((mix(token, k) if k else token, code))[:length]]
-                    ks.append(np.full(len(first), k, np.int8))
-                    tokens.append(first.view(np.int64))
-                    cids.append(np.full(len(first), cid, np.int64))
-                    ns.append(np.full(len(first), n, np.int64))
-            if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, tokens, cids, ns)], names=["k", "token", "cid", "n"])
-
-    lists = classes.select("cid", "n", "shared").mapInArrow(prefixes, "k byte, token long, cid long, n long")
-    several = lists.groupBy("k", "token").agg(F.count("*").alias("members")).filter("members > 1").select("k", "token")
+                    pos = alone + np.arange(len(first))
+                    strong = 7 * (n - pos) >= 6 * n
+                    found.append((np.full(len(first), k, np.int8), first.view(np.int64), np.full(len(first), cid, np.int64), np.full(len(first), n, np.int64), pos, strong))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["k", "token", "cid", "n", "pos", "strong"])
+
+    lists = classes.select("cid", "n", "shared").mapInArrow(prefixes, "k byte, token long, cid long, n long, pos long, strong boolean")
+    several = lists.groupBy("k", "token").agg(F.count("*").alias("members"), F.bool_or("strong").alias("any")).filter("members > 1 AND any").select("k", "token")
     return materialize(lists.join(several, ["k", "token"], "left_semi"), "lists")
 
 
@@ -311,78 +297,83 @@ def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(labels, lists["cid"] == labels["node"], "left").select(*lists.columns, F.coalesce("label", "cid").alias("comp"))
 
 
-def near(n: str, m: str):
-    """Sizes that allow the similarity."""
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+def reach(n: str, pos: str, m: str, at: str) -> Column:
+    """Whether both sets have enough shingles from a common one on for the similarity; implies near sizes."""
+    both = 3 * (F.col(n) + F.col(m))
+    return (7 * (F.col(n) - F.col(pos)) >= both) & (7 * (F.col(m) - F.col(at)) >= both)
 
 
-def leader_pairs(lists: DataFrame, k: int, seed: int) -> DataFrame:
-    """For each class the leader it shares most prefix shingles with under order k, if that is in another component."""
-    of = lists.filter(F.col("k") == k)
-    chosen = F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), F.col("cid"), F.col("n"), F.col("comp")))
-    leaders = of.groupBy("token").agg(chosen.alias("l"))
-    met = of.join(leaders, "token").filter((F.col("comp") != F.col("l.comp")) & near("n", "l.n"))
-    votes = met.groupBy("cid", F.col("l.cid").alias("leader")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("cid").agg(F.max(F.struct("votes", "leader")).alias("best"))
-    return best.select(F.col("cid").alias("a"), F.col("best.leader").alias("b"))
+def leader_pairs(lists: DataFrame, seed: int) -> DataFrame:
+    """Pairs of a class and leaders of its lists in other components, those with most common prefix shingles first.
+
+    At seed 0 a list's leader is its first class, so a group of near copies meets one leader.  Later every
+    list draws its own, and a class tries up to LEADERS of them: groups without a centre need several.
+    """
+    draw = F.xxhash64("cid", "token", F.lit(seed)) if seed else F.col("cid")
+    chosen = F.min(F.when(F.col("strong"), F.struct(draw.alias("h"), F.col("cid"), F.col("n"), F.col("comp"), F.col("pos"))))
+    leaders = lists.groupBy("k", "token").agg(chosen.alias("l"))
+    leaders = leaders.select("k", "token", F.col("l.cid").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp"), F.col("l.pos").alias("l_pos"))
+    met = lists.join(leaders, ["k", "token"]).filter((F.col("comp") != F.col("l_comp")) & reach("n", "pos", "l_n", "l_pos"))
+    votes = met.groupBy("cid", "leader").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("votes", "leader")), False).alias("best"))  # at most one a list of the class
+    tried = best.select("cid", F.explode(F.slice("best", 1, LEADERS if seed else 1)).alias("l"))
+    return tried.select(F.least("cid", "l.leader").alias("a"), F.greatest("cid", "l.leader").alias("b")).distinct()
 
 
 def cross_lists(lists: DataFrame) -> DataFrame:
-    """k, token, comp, members, n_comps of the lists that hold two or more components."""
-    by = lists.groupBy("k", "token", "comp").agg(F.count("*").alias("members"))
-    several = by.groupBy("k", "token").agg(F.count("*").alias("n_comps"), F.sum("members").alias("all_members"), F.sum(F.col("members") * F.col("members")).alias("squares")).filter("n_comps > 1")
+    """k, token, comp, members, strong, most, least, all_members, all_strong, inside of the lists that hold two or more components."""
+    by = lists.groupBy("k", "token", "comp").agg(F.count("*").alias("members"), F.count_if("strong").alias("strong"),
+                                                 F.max(4 * F.col("n") - 7 * F.col("pos")).alias("most"), F.min("n").alias("least"))
+    several = by.groupBy("k", "token").agg(F.count("*").alias("n_comps"), F.sum("members").alias("all_members"), F.sum("strong").alias("all_strong"),
+                                           F.sum(F.col("members") * F.col("strong")).alias("inside")).filter("n_comps > 1 AND all_strong > 0")
     return by.join(several, ["k", "token"])
 
 
 def candidate_pairs(lists: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """All pairs of classes in different components that share a prefix shingle under every order."""
-    lists = materialize(lists, "open")
+    """All pairs of classes in different components that share a prefix shingle, with enough beyond it, under every order."""
     crossing = materialize(cross_lists(lists), "crossing")
     out = None
     for k in range(orders):
-        own = lists.filter(F.col("k") == k).select("token", "comp", "cid", "n")
-        comps = crossing.filter(F.col("k") == k).select("token", "comp")
-        two = comps.select("token", F.col("comp").alias("c1")).join(comps.select("token", F.col("comp").alias("c2")), "token").filter("c1 < c2")
-        one = own.select("token", F.col("comp").alias("c1"), F.col("cid").alias("x"), F.col("n").alias("n_x"))
-        other = own.select("token", F.col("comp").alias("c2"), F.col("cid").alias("y"), F.col("n").alias("n_y"))
-        pairs = two.join(one, ["token", "c1"]).join(other, ["token", "c2"]).filter(near("n_x", "n_y"))
+        own = lists.filter(F.col("k") == k).select("token", "comp", "cid", "n", "pos")
+        comps = crossing.filter(F.col("k") == k)
+        two = comps.select("token", F.col("comp").alias("c1"), F.col("most").alias("most1"), F.col("least").alias("least1")).join(
+            comps.select("token", F.col("comp").alias("c2"), F.col("most").alias("most2"), F.col("least").alias("least2")), "token")
+        # Components of which no two members can reach each other (see ``reach``) don't meet.
+        two = two.filter("c1 < c2 AND most1 >= 3 * least2 AND most2 >= 3 * least1").select("token", "c1", "c2")
+        one = own.select("token", F.col("comp").alias("c1"), F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
+        other = own.select("token", F.col("comp").alias("c2"), F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
+        pairs = two.join(one, ["token", "c1"]).join(other, ["token", "c2"]).filter(reach("n_x", "pos_x", "n_y", "pos_y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         out = pairs if out is None else out.join(pairs, ["a", "b"], "left_semi")
     return out
 
 
-def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 8, slack: int = 8) -> DataFrame | None:
-    """node, label over classes: components of all links, or None if there is no list at all.
+def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack: int = 4) -> DataFrame | None:
+    """node, label over classes: components of all links, or None if there are none.
 
     Leader rounds only save work: they go on while the remaining pairs are many against the lists' lengths
     and links are still found.  What remains is verified in full, so the result never depends on them.
     """
     spark = classes.sparkSession
     lists = prefix_lists(classes, orders)
-    size = lists.count()
-    if not size:
-        return None
     labels, links = None, None
     for r in range(most_rounds):
         now = materialize(labelled(lists, labels), "labelled") if labels is not None else labelled(lists, None)
-        if r >= orders:
-            crossing = cross_lists(now).groupBy("k", "token").agg(F.first("all_members").alias("m"), F.first("squares").alias("s"))
-            open_pairs = crossing.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
-            if open_pairs <= slack * size:
+        if r:
+            open_pairs = cross_lists(now).groupBy("k", "token").agg(F.first("all_members").alias("m"), F.first("all_strong").alias("s"), F.first("inside").alias("i"))
+            if (open_pairs.agg(F.sum(F.col("m") * F.col("s") - F.col("i"))).first()[0] or 0) <= slack * lists.count():
                 break
-        found = materialize(verified(leader_pairs(now, r % orders, r), classes), "leader-links")
+        found = materialize(verified(leader_pairs(now, r), classes), "leader-links")
         release(spark)
         if found.isEmpty():
-            if r >= orders:
-                break
-            continue
+            break
         links = found if links is None else links.union(found)
         labels = components(links)
-    rest = materialize(verified(candidate_pairs(labelled(lists, labels), orders), classes), "pair-links")
+    rest = materialize(verified(candidate_pairs(materialize(labelled(lists, labels), "open"), orders), classes), "pair-links")
     release(spark)
-    if links is None and rest.isEmpty():
-        return None
-    return components(rest if links is None else links.union(rest)) if not rest.isEmpty() else labels
+    if rest.isEmpty():
+        return labels
+    return components(rest if links is None else links.union(rest))
 
 
 def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
