@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``.  All but the last return the columns of documents.
-``docs`` is therefore always a plain scan of a written table.
+``docs`` is therefore always a plain scan of a written table; a stage that joins by row writes the rows with their numbers first.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of documents equal but for white space stays."""
-    return drop_duplicates(docs, stable=True)
+    return drop_duplicates(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come to their target weights: documents repeated, left out, or cut at a source's budget."""
-    return mixed_documents(docs, stable=True)
+    return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

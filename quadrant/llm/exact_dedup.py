@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import release
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MAX_CHARS = 128, 4096
@@ -38,13 +39,19 @@ def chunks(normalized: Column, pattern: str = CHUNK) -> Column:
     return F.regexp_extract_all(normalized, F.lit(pattern), F.lit(0))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """A written table: one row per document with its chunks (hash and text), size and digest."""
+def recipes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per document with its chunks (hash and text), size and digest.
+
+    ``row`` is a stored number of the row; without one the rows get numbers here, which only the table written here knows.
+    With one the chunks are cut anew for each use, which saves a second copy of the texts.
+    """
+    stored = row is not None
+    row = row if stored else F.monotonically_increasing_id()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length(text).alias("n_chars"), without_white_space(text).alias("normal"))
+    rows = docs.select(row.alias("row"), "doc_id", F.char_length(text).alias("n_chars"), without_white_space(text).alias("normal"))
     rows = rows.select("row", "doc_id", "n_chars", F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"), chunks(F.col("normal")).alias("texts"))
     rows = rows.select("row", "doc_id", "n_chars", "text_sha256", F.transform("texts", lambda c: F.xxhash64(c)).alias("hashes"), "texts")
-    return materialize(rows, "recipes")
+    return rows if stored else materialize(rows, "recipes")
 
 
 def shared_hashes(staged: DataFrame) -> DataFrame:
@@ -60,6 +67,7 @@ def shared_hashes(staged: DataFrame) -> DataFrame:
 def with_identifiers(staged: DataFrame) -> DataFrame:
     """row, doc_id, n_chars, text_sha256 and the recipe: ``hashes``, and ``ranks`` for chunks that share a hash."""
     shared = materialize(shared_hashes(staged), "shared-hashes")
+    release(staged.sparkSession)
     skinny = staged.select("row", "doc_id", "n_chars", "text_sha256", "hashes")
     ranks = "array<struct<pos:int,rank:int>>"
     if shared.isEmpty():
@@ -72,9 +80,10 @@ def with_identifiers(staged: DataFrame) -> DataFrame:
     return skinny.join(fixes, "row", "left")
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
+def duplicate_groups(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """row, doc_id, n_chars, keep_id, keep_row, group_size, kept, text_sha256 for every row of ``docs``."""
-    named = materialize(with_identifiers(recipes(docs)), "identified")
+    named = materialize(with_identifiers(recipes(docs, row)), "identified")
+    release(docs.sparkSession)
     recipe = [F.col("hashes"), F.coalesce("ranks", F.array().cast("array<struct<pos:int,rank:int>>")).alias("ranks")]
     named = named.select("row", "doc_id", "n_chars", "text_sha256", *recipe)
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
@@ -91,13 +100,12 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("row") == keep_row).alias("kept"), "text_sha256")
 
 
-def drop_duplicates(docs: DataFrame, stable: bool = False) -> DataFrame:
+def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    ``stable`` says that ``docs`` is a plain scan of a written table, whose rows get the same
-    numbers each time; other inputs are written first.  Only the numbers of rows that leave are joined back.
+    The rows are written with their numbers, so both sides of the join read the same ones, however
+    later scans are split.  Only the numbers of rows that leave are joined back.
     """
-    docs = docs if stable else materialize(docs, "documents")
-    gone = duplicate_groups(docs).filter("not kept").select(F.col("row").alias("_gone_row"))
-    numbered = docs.withColumn("_copy_row", F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn("_copy_row", F.monotonically_increasing_id()), "documents")
+    gone = duplicate_groups(numbered, F.col("_copy_row")).filter("not kept").select(F.col("row").alias("_gone_row"))
     return numbered.join(gone, F.col("_copy_row") == F.col("_gone_row"), "left_anti").select(*(numbered[c] for c in docs.columns))

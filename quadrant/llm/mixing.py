@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, prefix_sums
+from .common import WORD, prefix_sums, release
 
 MOST_EPOCHS = 3
 SEED = "mix-1"
@@ -69,16 +69,17 @@ def mix(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED, carry: tuple
     return met.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
-def mixed_documents(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED, stable: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: a document's row as often as its words are taken whole, and once more, cut to
     the words left (joined by one space), where a source's budget ends inside it.
 
-    ``stable`` says that ``docs`` is a plain scan of a written table; other inputs are written first.
+    The rows are written with their numbers, so both sides of the join read the same ones, however
+    later scans are split.
     """
-    docs = docs if stable else materialize(docs, "documents")
-    numbered = docs.withColumn("_mix_row", F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "documents")
     told = mix(numbered, most, seed, ("_mix_row",)).filter("taken > 0").select(
         F.col("_mix_row").alias("_row"), F.expr("taken div size").alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
+    release(docs.sparkSession)
     met = numbered.join(told, F.col("_mix_row") == F.col("_row"))
     copies = F.sequence(F.lit(1), (F.col("_whole") + (F.col("_rest") > 0).cast("long")).cast("int"))
     met = met.withColumn("_copy", F.explode(copies))

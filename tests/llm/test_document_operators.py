@@ -132,6 +132,32 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert dict(found) == told
 
 
+# ---- rows numbered once ----
+
+@pytest.mark.parametrize("module, use", [(exact_dedup, exact_dedup.drop_duplicates), (mixing, mixing.mixed_documents)])
+def test_rows_stay_themselves_when_later_scans_are_split_otherwise(spark, tmp_path, monkeypatch, module, use):
+    """As when an executor joins or is lost between two plans: the size of file splits changes after the first write."""
+    spread = [(i, f"unlike {i} " * 40 if i % 3 else "the same text", "ab"[i % 2]) for i in range(600)]
+    path = str(tmp_path / "docs")
+    documents(spark, spread).coalesce(1).write.option("parquet.block.size", 4096).parquet(path)
+    want = sorted(map(tuple, use(spark.read.parquet(path)).collect()), key=repr)
+    before, write = spark.conf.get("spark.sql.files.maxPartitionBytes"), module.materialize
+    sizes = iter(range(1, 100))
+
+    def resplit(df, name="table"):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{next(sizes)}k")
+        return spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0])
+
+    monkeypatch.setattr(module, "materialize", resplit)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+        got = use(spark.read.parquet(path))
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 # ---- quality ----
 
 def test_quality_counts_match_brute_force(spark):
