@@ -8,7 +8,8 @@ kept if its element's marginal for content is one half or more.
 
 Text rules: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by an empty line in page order; block elements separate blocks, ``br`` is
-white space; scripts, styles, the head, comments and form controls have no text.
+white space; scripts, styles, the head, comments and form controls have no text.  A formula's text is
+read in order, like that of other inline elements, without its annotations, which are not shown.
 
 Defined results: NULL or empty html, and pages without content, give empty text; unclosed and
 misplaced tags are closed where HTML closes them; repeated rows give repeated results; NULL page_id and url
@@ -29,10 +30,18 @@ from pyspark.sql import functions as F
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head title noscript template svg math iframe object select option textarea button canvas audio video map datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+SILENT = frozenset("script style head title noscript template svg iframe object select option textarea button canvas audio video map datalist annotation annotation-xml".split())
+#: What may stand in a head; any other tag ends it, as text does.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+MATH = frozenset("math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+                 "msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = (MATH - SILENT) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre "
                      "section table ul".split())
+#: Start tags that end an open formula.
+ENDS_MATH = CLOSES_P | frozenset("b big body br code dd dt em embed i img li meta nobr ruby s small span strike strong sub sup tt u var".split())
+#: Elements of a formula that may hold HTML.
+HOLDS_HTML = frozenset("mi mo mn ms mtext annotation-xml".split())
 #: Start tags that end an open element of these kinds, up to the nearest container of the last kinds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -82,7 +91,18 @@ class Page(HTMLParser):
     def node(self) -> Node:
         return self.open[-1][1] if self.open else self.root
 
+    @property
+    def in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def handle_starttag(self, tag, attrs):
+        if self.in_head:
+            if tag in ("html", "head"):
+                return
+            if tag not in HEAD:
+                self._end({"head"}, set())
+        if tag in ENDS_MATH:
+            self._end({"math"}, HOLDS_HTML)
         if tag in CLOSES_P:
             self._end({"p"}, {"button", "td", "th", "li", "div", "article", "section", "body"})
         if tag in ENDS:
@@ -104,9 +124,13 @@ class Page(HTMLParser):
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash closes void elements only
+        self.handle_starttag(tag, attrs)  # a slash closes void elements and those of formulas only
+        if tag in MATH and self.open and self.open[-1][0] == tag:
+            self._end({tag}, set())
 
     def handle_endtag(self, tag):
+        if tag in ("br", "body", "html") and self.in_head:
+            self._end({"head"}, set())
         if tag == "br":
             self._text(" ")
         elif tag in ("body", "html"):
@@ -129,6 +153,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.in_head and data.strip(" \t\n\f\r"):
+            self._end({"head"}, set())
         if not self.silent:
             self._text(data)
 

@@ -32,6 +32,25 @@ def test_odd_pages(spark):
         "", "", "", "", "", "a < b <c> d éé", ("w " * 50000).strip(), "deep", "é x"]
 
 
+def test_a_head_without_end_tag_ends_where_its_page_begins(spark):
+    head = "<!doctype html><html><head><meta charset=utf-8><title>T</title><script>var a='<p>';</script><noscript><img src=x><p>no</p></noscript><link rel=x href=y>\n"
+    got = texts(spark, [head + "<body><article><p>one</article>", head + "<article><p>one</article>", head + "<html><head><main>one</main>",
+                        head + "</head><body><article>one</article>", head + "<style>p{}</style>", "<head><title>T</title></head><article>one<head><title>U</title></article>",
+                        head + "<svg><text>no</text></svg><article>one"])
+    assert got == ["one"] * 4 + ["", "one", "one"]
+    for end in ("one", "</body>one", "</html>one", "<br>one"):  # whatever the model thinks of a page without elements
+        assert "".join(x for _, parts in html_extract.parse(head + end).blocks for x in parts).strip() == "one"
+
+
+def test_formulas_are_read(spark):
+    tex = '<annotation encoding="application/x-tex">x^2=4</annotation>'
+    got = texts(spark, [
+        f"<article><p>Let <math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mspace/><mo>=</mo><mn>4</mn></mrow>{tex}</semantics></math> hold.</p><p>So.</p></article>",
+        "<article><p>Let <math display=block><mi>y</mi></math></p><p>So.</article>", "<article><p>a <math><mi/><annotation/><mi>z</mi><p>So.</article>",
+        "<article><p>a <math><mi>z<semantics><annotation>no<p>So.</article>"])
+    assert got == ["Let x2=4 hold.\n\nSo.", "Let y\n\nSo.", "a z\n\nSo.", "a z\n\nSo."]
+
+
 def test_marginals_equal_summing_over_all_states():
     model = html_extract.Model(html_extract.labelled_pages())
     page = html_extract.parse("<body><nav><ul><li><a href=x>x</a></ul></nav><div class=content><p>a<p>b</div></body>")
