@@ -11,7 +11,9 @@ A band of a window can only agree with a template's if the window holds the very
 template's smallest.  So the scan first looks for these shingles (a bounded set: templates
 times bands) and computes the bands of just the windows around them; that loses no window.
 
-Words are lower-cased and separated by white space or punctuation.
+Words are lower-cased runs of letters and digits; all else separates them, so the comment marks of wrapped
+source lines are no words.  Licenses that share most of their notice are told apart by the license's name
+(``NAMES``), which a window must hold.
 
 Defined results: NULL or empty text, and text of fewer than five words, matches nothing; a license found in
 several windows gives one row with its best window; repeated rows give repeated results; NULL doc_id
@@ -25,8 +27,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE
-
 N_WORDS = 5
 BANDS = 32
 CONTAINMENT = 0.75
@@ -48,8 +48,22 @@ TEMPLATES = {
                   "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
                          "http://www.apache.org/licenses/LICENSE-2.0",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                   "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+                   "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+           "notice and this permission notice appear in all copies.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+                 "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Five words that tell a notice from those of the same family.
+NAMES = {"GPL-header": "the GNU General Public License", "LGPL-header": "GNU Lesser General Public License", "AGPL-header": "GNU Affero General Public License"}
+#: Marks that always stood between words; by now every character but letters, their marks and digits does.
 PUNCTUATION = ".,;:!?()[]\"'"
+SEPARATORS = "[^\\p{L}\\p{M}\\p{N}]+"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -58,8 +72,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    plain = F.lower(F.translate(F.coalesce(text.cast("string"), F.lit("")), PUNCTUATION, " " * len(PUNCTUATION)))
-    return F.filter(F.split(plain, f"[{WHITE}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def shingles(words: Column, one: Callable[[Column], Column], empty: str) -> Column:
@@ -80,23 +93,23 @@ def permuted(value: Column, band: Column) -> Column:
     return F.xxhash64(value, band)
 
 
-def template_bands(spark: SparkSession, templates: dict[str, str], bands: int = BANDS) -> DataFrame:
-    """license, shingles, window, step, band, smallest: one row per template and band (a bounded table)."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, notice string")
-    w = rows.select("license", words(F.col("notice")).alias("w"))
-    s = w.select("license", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), F.array_distinct(shingle_hashes(F.col("w"))).alias("s"))
+def template_bands(spark: SparkSession, templates: dict[str, str], bands: int = BANDS, names: dict[str, str] | None = None) -> DataFrame:
+    """license, name, shingles, window, step, band, smallest: one row per template and band (a bounded table)."""
+    rows = spark.createDataFrame([(k, v, (names or {}).get(k)) for k, v in sorted(templates.items())], "license string, notice string, name string")
+    w = rows.select("license", F.lower("name").alias("name"), words(F.col("notice")).alias("w"))
+    s = w.select("license", "name", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), F.array_distinct(shingle_hashes(F.col("w"))).alias("s"))
     m = F.size("s")
     step = F.greatest(F.lit(1), F.floor(m / 4)).cast("int")
-    s = s.filter(m > 0).select("license", "shingles", "s", step.alias("step"), (m + step - 1 + F.floor(m / 4)).cast("int").alias("window"))
+    s = s.filter(m > 0).select("license", "name", "shingles", "s", step.alias("step"), (m + step - 1 + F.floor(m / 4)).cast("int").alias("window"))
     s = s.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
     smallest = F.array_min(F.transform("s", lambda x: F.struct(permuted(x, F.col("band")).alias("h"), x.alias("x"))))
-    return s.select("license", "shingles", "window", "step", "band", smallest["x"].alias("smallest"))
+    return s.select("license", "name", "shingles", "window", "step", "band", smallest["x"].alias("smallest"))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, first_word (of the best window), matched (the window's words)."""
     spark = docs.sparkSession
-    known = template_bands(spark, TEMPLATES if templates is None else templates, bands)
+    known = template_bands(spark, TEMPLATES if templates is None else templates, bands, NAMES if templates is None else None)
     held = known.collect()  # templates times bands, a parameter's size
     if not held:
         smallest = [0]
@@ -117,7 +130,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, ba
     agrees = F.array_min(F.transform(inside, lambda x: permuted(x, F.col("band")))) == permuted(F.col("value"), F.col("band"))
     candidates = windows.filter(agrees)
     window_words = F.expr(f"slice(w, start + 1, window + {N_WORDS - 1})")
-    share = F.size(F.array_intersect(shingle_texts(window_words), F.col("shingles"))) / F.size("shingles")
+    common = F.array_intersect(shingle_texts(window_words), F.col("shingles"))
+    share = let(common, lambda c: F.when(F.col("name").isNull() | F.array_contains(c, F.col("name")), F.size(c) / F.size("shingles")).otherwise(0.0))
     verified = candidates.select("row", "doc_id", "license", F.col("start").alias("first_word"), share.alias("containment"),
                                  F.array_join(window_words, " ").alias("matched")).filter(F.col("containment") >= containment)
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("less"), "matched"))

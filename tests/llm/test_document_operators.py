@@ -404,6 +404,27 @@ def test_a_license_with_a_changed_word_still_matches(spark):
     assert [(r.doc_id, r.license) for r in got] == [(1, "MIT-permission")] and got[0].containment < 1
 
 
+def test_wrapped_headers_in_comments_are_found(spark):
+    """Every notice as source files have it: wrapped, with comment marks on each line, spaced or not."""
+    import textwrap
+    rows, want = [], set()
+    for i, (name, t) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for j, (first, mark, last) in enumerate([("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "//", ""), ("/*", "", "*/"), ("", "-- ", ""), ("<!--", "  ~ ", "-->"), ("", ";; ", "")]):
+            lines = "\n".join(mark + x for x in textwrap.wrap(t, 60, break_long_words=False, break_on_hyphens=False))
+            rows.append((100 * i + j, f"{first}{lines}{last}\nint main(void) {{ return 0; }}"))
+            want.add((100 * i + j, name, 1.0))
+    got = licenses.license_matches(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.license, r.containment) for r in got} == want
+
+
+def test_licenses_of_one_family_are_told_apart(spark):
+    t = licenses.TEMPLATES
+    rows = [(1, t["AGPL-header"]), (2, t["LGPL-header"]), (3, t["GPL-header"]), (4, t["GPL-header"].replace("version 3", "version 2")), (5, t["LGPL-header"].replace("library", "program")),
+            (6, t["CC-BY-SA-4.0"]), (7, t["CC-BY-4.0"]), (8, t["GPL-header"] + " and " + t["AGPL-header"]), (9, "* / # -- " * 40)]
+    got = sorted((r.doc_id, r.license) for r in licenses.license_matches(documents(spark, rows)).collect())
+    assert got == [(1, "AGPL-header"), (2, "LGPL-header"), (3, "GPL-header"), (4, "GPL-header"), (5, "LGPL-header"), (6, "CC-BY-SA-4.0"), (7, "CC-BY-4.0"), (8, "AGPL-header"), (8, "GPL-header")]
+
+
 # ---- empty tables ----
 
 @pytest.mark.parametrize("use", [
