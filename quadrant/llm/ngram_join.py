@@ -143,6 +143,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
             doc_id = batch.column("doc_id")
             ids = pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)
+            ids = np.concatenate([ids, batch.column("row").to_numpy(zero_copy_only=False)])
             rows.append((-1 - number % ranges, squeeze(ids), squeeze(n), squeeze(owner[~rare]), squeeze(np.concatenate([digests.reshape(-1), null]))))
             key, a, b, c, d = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))],
@@ -175,7 +176,7 @@ def _frequencies(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("key"), table.column("block"), *(pa.array(x, pa.binary()) for x in (a, b, c, d))], names=["key", "block", "a", "b", "c", "d"])
 
 
-SETS = "doc_id long, n long, d1 long, d2 long, shared binary"
+SETS = "doc_id long, row long, n long, d1 long, d2 long, shared binary"
 
 
 def pack_shared(token: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -195,7 +196,7 @@ def _documents(table: pa.Table) -> pa.Table:
     table = table.sort_by("key")
     a, b, c, d = (table.column(x) for x in "abcd")
     ids, n, common, rest = (unsqueeze(x[0].as_py()) for x in (a, b, c, d))
-    ids, n, docs = ids.view(np.int64), n.astype(np.int64), len(ids)
+    ids, n, docs = ids.view(np.int64).reshape(2, -1), n.astype(np.int64), len(n)
     d1, d2, null = rest[:docs].view(np.int64), rest[docs:2 * docs].view(np.int64), rest[2 * docs:] > 0
     got = range(1, table.num_rows)
     join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
@@ -212,15 +213,19 @@ def _documents(table: pa.Table) -> pa.Table:
     upto = np.concatenate([[0], np.cumsum(shared)])
     open_ = (n > 0) & (100 * shared >= PERCENT * n)
     blobs = [entries[upto[i]:upto[i + 1]].tobytes() if o else None for i, o in enumerate(open_.tolist())]
-    return pa.Table.from_arrays([pa.array(ids, mask=null), pa.array(n), pa.array(d1), pa.array(d2), pa.array(blobs, pa.binary())],
-                                names=["doc_id", "n", "d1", "d2", "shared"])
+    return pa.Table.from_arrays([pa.array(ids[0], mask=null), pa.array(ids[1]), pa.array(n), pa.array(d1), pa.array(d2), pa.array(blobs, pa.binary())],
+                                names=["doc_id", "row", "n", "d1", "d2", "shared"])
 
 
-def document_sets(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """A written table with one row per document: size and digest of its set, and its shared shingles if it may have a partner."""
+def document_sets(docs: DataFrame, ranges: int | None = None, row: Column | None = None) -> DataFrame:
+    """A written table with one row per document: size and digest of its set, and its shared shingles if it may have a partner.
+
+    ``row`` is a stored number of the row; without one the rows get numbers here, which only this table knows.
+    """
+    row = F.monotonically_increasing_id() if row is None else row
     spark = docs.sparkSession
     ranges = ranges or 4 * partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _blocks(it, ranges), BLOB)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _blocks(it, ranges), BLOB)
     counted = rows.groupBy("key").applyInArrow(_frequencies, BLOB)
     sets = materialize(counted.groupBy("block").applyInArrow(_documents, SETS), "sets")
     release(spark)
@@ -376,27 +381,40 @@ def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack
     return components(rest if links is None else links.union(rest))
 
 
-def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    sets = document_sets(docs)
+def near_rows(docs: DataFrame, orders: int = ORDERS, row: Column | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, keep_row for every row of ``docs``.
+
+    ``keep_row`` is the row of a component with the smallest (doc_id nulls last, row).
+    """
+    sets = document_sets(docs, row=row)
     open_ = sets.filter("shared IS NOT NULL")
-    classes = open_.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("min_doc"), F.first("shared").alias("shared"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    classes = open_.groupBy("n", "d1", "d2").agg(first.alias("first"), F.first("shared").alias("shared"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     release(docs.sparkSession)
     labels = linked(classes, orders)
     if labels is None:
-        named = classes.select("n", "d1", "d2", F.col("min_doc").alias("component_id"))
+        named = classes.select("n", "d1", "d2", "first")
     else:
-        at = classes.join(labels, classes["cid"] == labels["node"], "left").select("n", "d1", "d2", "min_doc", F.coalesce("label", "cid").alias("label"))
-        smallest = materialize(at.groupBy("label").agg(F.min("min_doc").alias("component_id")), "smallest")
-        named = at.join(smallest, "label").select("n", "d1", "d2", "component_id")
-    named = materialize(named, "named").select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component_id")
-    skinny = sets.select("doc_id", "n", "d1", "d2")
+        at = classes.join(labels, classes["cid"] == labels["node"], "left").select("n", "d1", "d2", F.col("first").alias("own"), F.coalesce("label", "cid").alias("label"))
+        smallest = materialize(at.groupBy("label").agg(F.min("own").alias("first")), "smallest")
+        named = at.join(smallest, "label").select("n", "d1", "d2", "first")
+    named = materialize(named, "named").select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "first")
+    skinny = sets.select("row", "doc_id", "n", "d1", "d2")
     met = skinny.join(named, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
-    return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return met.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.row", "row").alias("keep_row"))
+
+
+def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return near_rows(docs, orders).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component, with all their columns."""
-    gone = near_duplicates(docs, orders).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each component, with all its columns: the smallest id, and of several the smallest row number.
+
+    The rows are written with their numbers, so ids may repeat or be NULL: rows leave by number.
+    """
+    numbered = materialize(docs.withColumn("_copy_row", F.monotonically_increasing_id()), "documents")
+    gone = near_rows(numbered, orders, F.col("_copy_row")).filter("row <> keep_row").select(F.col("row").alias("_gone_row"))
+    return numbered.join(gone, F.col("_copy_row") == F.col("_gone_row"), "left_anti").select(*(numbered[c] for c in docs.columns))

@@ -318,6 +318,19 @@ def test_one_of_each_keeps_the_smallest_ids(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in jaccard_components(rows)})
 
 
+def test_one_of_each_with_ids_that_repeat_or_are_null(spark):
+    rng = random.Random(21)
+    near = lambda t: f"{t} more"
+    a, b, c, d, e = (random_text(rng, 60, 10**6) for _ in range(5))
+    rows = [(1, a), (2, near(a)), (2, b),  # id 2: a near copy of 1, and a text of its own
+            (None, c), (None, near(c)), (None, c),  # near copies without ids
+            (7, d), (None, near(d)), (7, d),  # the row with an id stays
+            (None, e), (None, ""), (None, None), (5, "")]
+    out = [(r.doc_id, r.text) for r in ngram_join.one_of_each(documents(spark, rows).repartition(3)).collect()]
+    assert sorted((x for x in out if x[0] is not None or x[1] not in (c, near(c))), key=repr) == sorted([(1, a), (2, b), (7, d), (None, e), (None, ""), (None, None), (5, "")], key=repr)
+    assert sum(x[1] in (c, near(c)) for x in out) == 1
+
+
 # ---- repeated passages ----
 
 def passages(seed=11):
