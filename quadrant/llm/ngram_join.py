@@ -52,7 +52,8 @@ BLOCK_BYTES = 8 << 20
 #: A shingle that more documents of one block have leaves their numbers with the block.
 COMMON = 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
-BLOB = "key int, block long, a binary, b binary, c binary, d binary"
+#: ``key`` is a range of hashes, or -1 - block for the one row about the documents of a block: no two blocks share a group.
+BLOB = "key long, block long, a binary, b binary, c binary, d binary"
 
 
 def mix(x: np.ndarray, k: int = 0) -> np.ndarray:
@@ -144,9 +145,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
             ids = pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)
             ids = np.concatenate([ids, batch.column("row").to_numpy(zero_copy_only=False)])
-            rows.append((-1 - number % ranges, squeeze(ids), squeeze(n), squeeze(owner[~rare]), squeeze(np.concatenate([digests.reshape(-1), null]))))
+            rows.append((-1 - number, squeeze(ids), squeeze(n), squeeze(owner[~rare]), squeeze(np.concatenate([digests.reshape(-1), null]))))
             key, a, b, c, d = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))],
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))],
                                              names=["key", "block", "a", "b", "c", "d"])
             number += 1
 

@@ -133,10 +133,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
             doc_id = batch.column("doc_id")
             ids = pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
-            rows.append((-1 - number % ranges, squeeze(np.concatenate([ids, null, size])), squeeze(start[order].astype(np.uint32)),
+            rows.append((-1 - number, squeeze(np.concatenate([ids, null, size])), squeeze(start[order].astype(np.uint32)),
                          squeeze(np.concatenate([times, count[order].astype(np.uint32)])), zstandard.ZstdCompressor(level=3).compress(raw)))
             key_, a, b, c, d = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(key_, pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))],
+            yield pa.RecordBatch.from_arrays([pa.array(key_, pa.int64()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))],
                                              names=["key", "block", "a", "b", "c", "d"])
             number += 1
 

@@ -377,6 +377,15 @@ def test_run_length_index_gives_longest_matches():
         assert len(index.head) == len(index.run_symbols) <= index.n
 
 
+@pytest.mark.parametrize("module", [ngram_join, suffix_dedup])
+@pytest.mark.parametrize("ranges", [16, 32])
+def test_documents_of_two_blocks_never_meet_in_one_group(spark, monkeypatch, module, ranges):
+    monkeypatch.setattr(module, "BLOCK_BYTES", 1 << 10)
+    docs = documents(spark, corpus(n=80)).repartition(8).select("doc_id", F.col("doc_id").alias("row"), F.col("text") if module is ngram_join else F.col("text").cast("binary").alias("text"))
+    own = docs.mapInArrow(lambda it: module._blocks(it, ranges), ngram_join.BLOB).filter("key < 0").groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("block").alias("b")).collect()
+    assert len(own) > 16 and all(r.n == r.b == 1 for r in own)
+
+
 # ---- licenses ----
 
 def brute_licenses(text, templates):
