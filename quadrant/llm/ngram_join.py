@@ -5,7 +5,7 @@ of at least t share a shingle among their first |x| - ceil(t|x|) + 1 shingles un
 shingles.  Here several such orders are used, each by document frequency first (rare
 ones before common ones) and by a different permutation of the hashes within one
 frequency; candidates must share a prefix shingle under every order, and only what
-the intersection leaves is verified.
+the intersection leaves is verified.  Leader pairs (step 4) are the exception: one order is enough for them.
 
 How it runs:
 
