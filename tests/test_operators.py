@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from data_dirs import SF001, SF01
 from quadrant.functions.generators import query_points, query_windows, query_point_value, query_window_value
 from quadrant.operators.join import grouped, grouped_summary, matched_window_count, pip_join
 from quadrant.operators.knn import knn, knn_batch

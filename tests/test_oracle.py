@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF01
+from data_dirs import SF01
 from oracle_compare import compare
 
 NAMES = sorted(E.queries())

@@ -1,6 +1,6 @@
 """Leaf-partitioned points: same rows as the broadcast joins, reading only the touched leaves."""
 
-from conftest import SF001
+from data_dirs import SF001
 from quadrant.functions.generators import query_points, query_windows
 from quadrant.operators.join import pip_join
 from quadrant.operators.partitioned import leaf_pip_join, leaf_range_join, partition_by_leaves

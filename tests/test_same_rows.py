@@ -1,7 +1,7 @@
 """Every strategy gives the same rows: repeated and NULL ids, foreign trees, wrong hints, large tables, clashing names, thin extents."""
 
 import pytest
-from conftest import SF001
+from data_dirs import SF001
 from pyspark.sql import functions as F
 
 from quadrant.functions.generators import query_points, query_windows

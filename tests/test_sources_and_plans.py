@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from data_dirs import SF001
 from quadrant.functions.generators import query_points
 from quadrant.operators.knn import knn, knn_batch
 from quadrant.operators.join import pip_join

@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from conftest import SF001
+from data_dirs import SF001
 from quadrant.functions.generators import query_points
 from quadrant.operators.join import pip_join
 from quadrant.operators.range import range_query
