@@ -59,8 +59,33 @@ SELECT pair_id, n_common,
 FROM s GROUP BY pair_id, n_common
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS digest
+  FROM documents),
+h AS (
+  SELECT doc_id, text, tokens, len(tokens) AS n,
+         ('0x' || substr(digest, 1, 8))::BIGINT % (len(tokens) + 1) AS one, ('0x' || substr(digest, 9, 8))::BIGINT % (len(tokens) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(digest, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(digest, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(tokens[1:least(one, two)], '') AS prefix,
+         array_to_string(tokens[least(one, two) + 1:greatest(one, two)], '') AS middle, array_to_string(tokens[greatest(one, two) + 1:], '') AS suffix
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 ORACLES = {
     "op2_exact_dedup": OP2,
     "op3_preference_format": OP3,
     "op4_source_mixing": OP4,
+    "op11_fill_in_middle": OP11,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import mask, neighbour_pairs, preference_rows
 from .common import read
 from .exact_dedup import duplicate_groups
+from .fill_middle import fill_in_middle_digests
 from .html_extract import extract_text
 from .licenses import license_matches
 from .mixing import mix
@@ -63,6 +64,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan,
     op2_exact_dedup,
@@ -74,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_token_files,
     op9_ngram_jaccard_join,
     op10_repeated_passages,
+    op11_fill_in_middle,
 )}
