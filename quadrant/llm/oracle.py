@@ -83,9 +83,31 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
+
+
+def _clustering(clusters: int, rounds: int) -> str:
+    """Lloyd's rounds, one pair of steps (nearest centroid, means) after another."""
+    steps = [f"""WITH e AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, 'null')) AS h, v FROM e ORDER BY h, v LIMIT {clusters}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(e.v) AS v,
+      arg_min(c, (list_sum(list_transform(list_zip(e.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c)) AS c,
+      min(list_sum(list_transform(list_zip(e.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM e CROSS JOIN c{r} k GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, generate_series(1, 64) g(i) GROUP BY c, i),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{r} k LEFT JOIN m{r} m ON m.c = k.c)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c"""
+
+
 ORACLES = {
     "op2_exact_dedup": OP2,
     "op3_preference_format": OP3,
     "op4_source_mixing": OP4,
     "op11_fill_in_middle": OP11,
+    "op12_centroid_clustering": _clustering(16, 3),
 }
