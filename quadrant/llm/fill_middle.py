@@ -33,7 +33,7 @@ LEVELS = 3
 #: The classes whose last character is the end of a unit.
 ENDS = {"token": (WORD_END, WORD_LAST, SPACE_LAST), "line": (WORD_LAST, LINE_END, SPACE_LAST), "char": tuple(range(6))}
 #: Bytes of text whose classes share a wavelet matrix; a longer text has one of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def classes(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
