@@ -85,6 +85,18 @@ FROM p
 
 
 
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST)),
+d AS (
+  SELECT digest, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(digest, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1), '' ORDER BY i) AS base32
+  FROM (SELECT DISTINCT digest FROM p), range(32) g(i) GROUP BY digest)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, base32 AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM r JOIN d USING (digest)
+"""
+
+
 def _clustering(clusters: int, rounds: int) -> str:
     """Lloyd's rounds, one pair of steps (nearest centroid, means) after another."""
     steps = [f"""WITH e AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
@@ -109,5 +121,6 @@ ORACLES = {
     "op3_preference_format": OP3,
     "op4_source_mixing": OP4,
     "op11_fill_in_middle": OP11,
+    "op13_warc_round_trip": OP13,
     "op12_centroid_clustering": _clustering(16, 3),
 }

@@ -20,6 +20,7 @@ from .packing import pack
 from .quality import quality_report
 from .suffix_dedup import remove_repeats
 from .token_output import token_files
+from .warc import archived_pages
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan,
     op2_exact_dedup,
@@ -86,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op10_repeated_passages,
     op11_fill_in_middle,
     op12_centroid_clustering,
+    op13_warc_round_trip,
 )}

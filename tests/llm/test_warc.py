@@ -1,0 +1,161 @@
+"""Archives written and read back, by the data source and by hand-made files."""
+
+import base64
+import gzip
+import hashlib
+import io
+import json
+import os
+
+import pytest
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+
+from quadrant.llm import warc
+from quadrant.llm.warc import archived_pages, page_records, read_pages, records, register, write_pages
+from quadrant.sources import storage
+
+PAGES = "page_id long, url string, html string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, PAGES)
+
+
+def brute(rows, min_bytes=0):
+    """As a multiset: of equal payloads the smallest page_id (NULL last) is the response, once."""
+    groups = {}
+    for page_id, _, html in rows:
+        groups.setdefault((html or "").encode(), []).append(page_id)
+    out = []
+    for payload, ids in groups.items():
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        ids.sort(key=lambda i: (i is None, i or 0))
+        for n, i in enumerate(ids):
+            again = n > 0 and len(payload) >= min_bytes
+            out.append((i, len(payload), digest, "revisit" if again else "response", ids[0] if again else None))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(map(tuple, df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
+
+
+ROWS = [(i, f"http://a.example/{i}", f"<p>page {i % 37} é日本</p>\r\n\r\nWARC/1.1\r\n" * (i % 5 + 1)) for i in range(120)] + [
+    (500, None, None), (501, "http://b\r\nInjected: x", ""), (None, "u", "same"), (None, "u", "same"), (502, "u", "same"), (502, "u", "same"),
+    (2**53 + 1, "u", "\x00\x01 odd"), (503, "u", "long " * 100_000)]
+
+
+@pytest.mark.parametrize("options", [{}, {"compression": "none"}, {"file_bytes": "2000"}])
+@pytest.mark.parametrize("min_bytes", [0, 60])
+def test_pages_come_back(spark, tmp_path, options, min_bytes):
+    path = str(tmp_path / "a")
+    assert got(archived_pages(pages(spark, ROWS).repartition(4), path, min_bytes, **options)) == brute(ROWS, min_bytes)
+
+
+def test_whole_payloads_come_back(spark, tmp_path):
+    path = str(tmp_path / "a")
+    write_pages(pages(spark, ROWS), path)
+    back = spark.read.format("warc").load(path).where("warc_type = 'response'").select("payload", "http_status", "payload_length").collect()
+    assert {bytes(r.payload) for r in back} == {(h or "").encode() for _, _, h in ROWS}
+    assert all(r.http_status == 200 and len(r.payload) == r.payload_length for r in back)
+    urls = {r[0] for r in spark.read.format("warc").load(path).where("warc_type <> 'warcinfo'").select("target_uri").collect()}
+    assert "http://b%0D%0AInjected: x" in urls and None in urls
+
+
+def test_large_groups_without_broadcast(spark):
+    rows = [(i, "u", "hot") for i in range(2000)] + [(5000 + i, "u", f"{i // 2}") for i in range(200)]
+    found = page_records(pages(spark, rows), max_broadcast_rows=0)
+    assert found.where("warc_type = 'response'").count() == 101 and found.where("refers_to = '<urn:page:0:0>'").count() == 1999
+
+
+def test_empty_table_and_other_columns(spark, tmp_path):
+    assert archived_pages(pages(spark, []), str(tmp_path / "none")).count() == 0
+    odd = pages(spark, ROWS[:9]).withColumns({c: F.lit("x") for c in ("key", "row", "payload", "digest", "k", "first", "n", "salt", "warc_type")})
+    assert got(archived_pages(odd, str(tmp_path / "odd"))) == brute(ROWS[:9])
+
+
+def test_string_ids(spark, tmp_path):
+    df = spark.createDataFrame([("a:b>c", "u", "x"), ("z", "u", "x")], "page_id string, url string, html string")
+    digest = base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+    assert got(archived_pages(df, str(tmp_path / "s"))) == [("a:b>c", 1, digest, "response", None), ("z", 1, digest, "revisit", "a:b>c")]
+
+
+def record(kind, uri, payload, digest=None):
+    return warc.record_bytes({"warc_type": kind, "target_uri": uri, "payload": payload, "payload_digest": digest, "record_id": f"<urn:x:{uri}>"})
+
+
+class Counting(io.BytesIO):
+    """Counts the bytes that were read."""
+
+    seen = 0
+
+    def readinto(self, b):
+        n = super().readinto(b)
+        self.seen += n
+        return n
+
+
+@pytest.mark.parametrize("pack", [bytes, warc.gzip_member])
+def test_unwanted_payloads_are_not_read(pack):
+    big = os.urandom(3 << 20)
+    data = b"".join(pack(record("response", f"u{i}", big)) for i in range(4)) + pack(record("response", "last", b"here"))
+    raw = Counting(data)
+    test = warc.as_test(ds.EqualTo(("target_uri",), "last"))
+    rows = list(warc.read_file("f", io.BufferedReader(raw, 4096), lambda e: test(e) is True, True, True, True))
+    assert [r["payload"] for r in rows] == [b"here"] and raw.seen < 1 << 20
+
+
+def test_rejected_records_are_not_decoded(spark, tmp_path):
+    """A payload that contradicts its digest fails the read unless a predicate rejects its record."""
+    register(spark)
+    (tmp_path / "x.warc").write_bytes(record("response", "good", b"1") + record("response", "bad", b"2", "sha1:" + "A" * 32) + record("resource", "res", b"3"))
+    read = lambda where=None, **more: records(spark, str(tmp_path), where, verify="true", **more)
+    assert [r.target_uri for r in read("target_uri = 'good'").collect()] == ["good"]
+    assert [bytes(r.payload) for r in read("warc_type in ('resource', 'metadata')").collect()] == [b"3"]
+    assert [r.target_uri for r in read("target_uri LIKE 'go%' AND content_length > 0").collect()] == ["good"]
+    with pytest.raises(Exception, match="payload and digest differ"):
+        read().collect()
+    loose = read(mode="permissive").collect()
+    assert [r.target_uri for r in loose] == ["good", None, "res"] and "differ" in loose[1].error
+    assert read("NOT (target_uri = 'bad')").count() == 2 and read("target_uri IS NULL").count() == 0
+
+
+def test_files_of_other_writers(spark, tmp_path):
+    register(spark)
+    member = b"".join(gzip.compress(record("response", f"u{i}", bytes([i]) * 70_000)) for i in range(5))
+    (tmp_path / "other.warc.gz").write_bytes(member)
+    lf = b"WARC/1.0\nWARC-Type: metadata\nX-Long: a\n  b\nContent-Length: 3\n\nabc\n\n"
+    (tmp_path / "lf.warc").write_bytes(lf + b"garbage\r\n\r\nmore\r\n" + record("metadata", "after", b"z"))
+    read = spark.read.format("warc").option("mode", "permissive").load(str(tmp_path))
+    rows = read.orderBy("file", "offset").collect()
+    assert [bytes(r.payload) if r.error is None else "error" for r in rows] == [b"abc", "error", b"z", *(bytes([i]) * 70_000 for i in range(5))]
+    assert rows[0].headers == {"X-Long": "a b"}
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(record("metadata", "a", b"1") + record("metadata", "b", b"2")))
+    with pytest.raises(Exception, match="more than one record"):
+        spark.read.format("warc").load(str(tmp_path / "one.warc.gz")).collect()
+    (tmp_path / "cut.warc").write_bytes(record("metadata", "a", b"1" * 100)[:-60])
+    with pytest.raises(Exception, match="ends inside"):
+        spark.read.format("warc").load(str(tmp_path / "cut.warc")).collect()
+
+
+def test_only_committed_files_are_read(spark, tmp_path):
+    path = str(tmp_path / "a")
+    write_pages(pages(spark, ROWS[:10]), path)
+    lost = os.path.join(path, storage.new_name(".warc"))
+    with open(lost, "wb") as f:
+        f.write(record("response", "lost", b"x"))
+    assert got(read_pages(spark, path)) == brute(ROWS[:10])
+    page_records(pages(spark, ROWS[10:12])).write.format("warc").mode("overwrite").save(path)
+    assert got(read_pages(spark, path)) == brute(ROWS[10:12])
+    manifests = os.listdir(f"{path}/_commits")
+    assert len(manifests) == 1 and all(os.path.exists(f"{path}/{n}") for n in json.load(open(f"{path}/_commits/{manifests[0]}")))
+
+
+def test_partitions_and_pushdown(spark, tmp_path):
+    path = str(tmp_path / "a")
+    write_pages(pages(spark, ROWS).repartition(6), path)
+    reader = warc.WarcReader({"path": path, "partition_bytes": "1"})
+    left = list(reader.pushFilters([ds.EqualTo(("warc_type",), "response"), ds.GreaterThan(("date",), "x"), ds.EqualTo(("headers", "x"), "y"), ds.EqualTo(("http_status",), 200)]))
+    assert len(reader.partitions()) == 6 and len(left) == 3 and len(warc.WarcReader({"path": path}).partitions()) == 1
+    assert not list(reader.pushFilters([ds.EqualTo(("file",), "none")])) and reader.partitions() == []
