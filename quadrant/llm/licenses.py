@@ -22,12 +22,17 @@ stays NULL; an empty table gives an empty result; other columns are not looked a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_WORDS = 5
+#: Window starts of a text that are looked at together.
+BLOCK_WORDS = 512
+#: The templates are a parameter; more of them would need a join.
+MOST_TEMPLATES = 2000
 BANDS = 32
 CONTAINMENT = 0.75
 
@@ -94,46 +99,70 @@ def permuted(value: Column, band: Column) -> Column:
 
 
 def template_bands(spark: SparkSession, templates: dict[str, str], bands: int = BANDS, names: dict[str, str] | None = None) -> DataFrame:
-    """license, name, shingles, window, step, band, smallest: one row per template and band (a bounded table)."""
+    """license, name, shingles, window, step, smallest: one row per template, with the smallest shingle of each band."""
     rows = spark.createDataFrame([(k, v, (names or {}).get(k)) for k, v in sorted(templates.items())], "license string, notice string, name string")
     w = rows.select("license", F.lower("name").alias("name"), words(F.col("notice")).alias("w"))
     s = w.select("license", "name", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), F.array_distinct(shingle_hashes(F.col("w"))).alias("s"))
     m = F.size("s")
     step = F.greatest(F.lit(1), F.floor(m / 4)).cast("int")
     s = s.filter(m > 0).select("license", "name", "shingles", "s", step.alias("step"), (m + step - 1 + F.floor(m / 4)).cast("int").alias("window"))
-    s = s.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-    smallest = F.array_min(F.transform("s", lambda x: F.struct(permuted(x, F.col("band")).alias("h"), x.alias("x"))))
-    return s.select("license", "name", "shingles", "window", "step", "band", smallest["x"].alias("smallest"))
+    smallest = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform("s", lambda x: F.struct(permuted(x, b).alias("h"), x.alias("x"))))["x"])
+    return s.select("license", "name", "shingles", "window", "step", smallest.alias("smallest"))
+
+
+def literal(held: list, kind: str) -> Column:
+    """A bounded table as one constant: an array of its rows."""
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in held])), f"array<struct<{kind}>>")
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, license, containment, first_word (of the best window), matched (the window's words)."""
+    """doc_id, license, containment, first_word (of the best window), matched (the window's words).
+
+    Texts are read in blocks of ``BLOCK_WORDS`` window starts with as many words more as the longest window takes, so
+    what meets the templates has a bounded size however long a text is, and each window belongs to one block.  Inside a
+    block the windows around a template's smallest shingles are listed once per (template, start); only they, as slices, leave the row.
+    """
+    if len(TEMPLATES if templates is None else templates) > MOST_TEMPLATES:
+        raise ValueError(f"at most {MOST_TEMPLATES} templates: they travel as a constant of the plan")
     spark = docs.sparkSession
-    known = template_bands(spark, TEMPLATES if templates is None else templates, bands, NAMES if templates is None else None)
-    held = known.collect()  # templates times bands, a parameter's size
-    if not held:
-        smallest = [0]
-    else:
-        smallest = sorted({r["smallest"] for r in held})
-    by_value = spark.createDataFrame(held, known.schema) if held else known.limit(0)
+    held = template_bands(spark, TEMPLATES if templates is None else templates, bands, NAMES if templates is None else None).collect()
+    longest = max((r["window"] for r in held), default=1)
+    values = sorted({x for r in held for x in r["smallest"]}) or [0]
+    table = literal(held, "license string, name string, shingles array<string>, window int, step int, smallest array<bigint>")
     w = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     s = w.select("row", "doc_id", "w", shingle_hashes(F.col("w")).alias("s"))
-    hits = F.filter(F.transform("s", lambda x, i: F.when(x.isin(smallest), i).otherwise(-1)), lambda i: i >= 0)
-    found = s.withColumn("hits", hits).filter(F.size("hits") > 0)
+    found = s.filter(F.exists("s", lambda x: x.isin(values)))
     # From here on only texts with such a shingle, a small part of the rows.
-    at = found.withColumn("at", F.explode("hits")).withColumn("value", F.col("s")[F.col("at")])
-    met = at.join(F.broadcast(by_value), F.col("value") == F.col("smallest"))
-    low = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("window") + 1) / F.col("step"))).cast("int")
-    high = F.floor(F.col("at") / F.col("step")).cast("int")
-    windows = met.withColumn("start", F.explode(F.transform(F.sequence(low, high), lambda k: k * F.col("step"))))
-    inside = F.expr("slice(s, start + 1, window)")
-    agrees = F.array_min(F.transform(inside, lambda x: permuted(x, F.col("band")))) == permuted(F.col("value"), F.col("band"))
+    block = lambda i: F.struct((i * BLOCK_WORDS).alias("first"), F.slice(F.col("s"), i * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS + longest)).alias("s"),
+                               F.slice(F.col("w"), i * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS + longest + N_WORDS - 1)).alias("w"))
+    blocks = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / BLOCK_WORDS).cast("int")), block), lambda b: F.exists(b["s"], lambda x: x.isin(values)))
+    cut = found.select("row", "doc_id", F.explode(blocks).alias("b")).select("row", "doc_id", "b.first", "b.s", "b.w")
+    hits = F.filter(F.transform("s", lambda x, i: F.struct((F.col("first") + i).alias("at"), x.alias("x"))), lambda h: h["x"].isin(values))
+    cut = cut.withColumn("hits", hits)
+
+    def starts(t: Column) -> Column:
+        """The windows of one template around its hits, in steps from the text's beginning, that start in this block."""
+        def around(h: Column) -> Column:
+            low = F.greatest(F.ceil((h["at"] - t["window"] + 1) / t["step"]), F.ceil(F.col("first") / t["step"])).cast("int")
+            high = F.least(F.floor(h["at"] / t["step"]), F.floor((F.col("first") + BLOCK_WORDS - 1) / t["step"])).cast("int")
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        own = F.filter("hits", lambda h: F.array_contains(t["smallest"], h["x"]))
+        return F.array_distinct(F.flatten(F.transform(own, around)))
+
+    def window(t: Column, k: Column) -> Column:
+        at = k * t["step"]
+        return F.struct(t.alias("t"), at.alias("first_word"), F.slice(F.col("s"), at - F.col("first") + 1, t["window"]).alias("inside"),
+                        F.slice(F.col("w"), at - F.col("first") + 1, t["window"] + N_WORDS - 1).alias("words"))
+
+    listed = F.flatten(F.transform(table, lambda t: F.transform(starts(t), lambda k: window(t, k))))
+    windows = cut.select("row", "doc_id", F.explode(listed).alias("c")).select("row", "doc_id", "c.first_word", "c.inside", "c.words", "c.t.*")
+    agrees = F.exists(F.transform("smallest", lambda x, b: F.struct(x.alias("x"), b.alias("b"))), lambda one: F.array_contains(F.col("inside"), one["x"]) & (
+        F.array_min(F.transform("inside", lambda x: permuted(x, one["b"]))) == permuted(one["x"], one["b"])))
     candidates = windows.filter(agrees)
-    window_words = F.expr(f"slice(w, start + 1, window + {N_WORDS - 1})")
-    common = F.array_intersect(shingle_texts(window_words), F.col("shingles"))
+    common = F.array_intersect(shingle_texts(F.col("words")), F.col("shingles"))
     share = let(common, lambda c: F.when(F.col("name").isNull() | F.array_contains(c, F.col("name")), F.size(c) / F.size("shingles")).otherwise(0.0))
-    verified = candidates.select("row", "doc_id", "license", F.col("start").alias("first_word"), share.alias("containment"),
-                                 F.array_join(window_words, " ").alias("matched")).filter(F.col("containment") >= containment)
+    verified = candidates.select("row", "doc_id", "license", "first_word", share.alias("containment"),
+                                 F.array_join("words", " ").alias("matched")).filter(F.col("containment") >= containment)
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("less"), "matched"))
     return verified.groupBy("row", "doc_id", "license").agg(best.alias("best")).select(
         "doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.less")).cast("long").alias("first_word"), F.col("best.matched").alias("matched"))

@@ -385,7 +385,7 @@ class WarcReader(ds.DataSourceReader):
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
         self.strict = options.get("mode", "failfast").lower() == "failfast"
-        self.partition_bytes = int(options.get("partition_bytes", 128 << 20))
+        self.partition_bytes = int(options.get("partition_bytes", 32 << 20))
         self.pushed: list[ds.Filter] = []
 
     def pushFilters(self, filters: list[ds.Filter]):
