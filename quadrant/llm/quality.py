@@ -23,12 +23,17 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 SAMPLE_ROWS = 400
+SAMPLE_FILES = 4
 WINDOW = 5
 
 
@@ -137,9 +142,17 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
                  fraction: float = 0.02, seed: int = 11) -> tuple[Rule, ...]:
     """The rules in the order of rejections per second on a sample of at most ``sample_rows`` documents.
 
-    One row a rule comes to the driver.  With an empty sample the rules keep their given order.
+    The sample is drawn from at most ``SAMPLE_FILES`` of the table's files, evenly spaced in their list, so the table is not read
+    once more.  One row a rule comes to the driver.  With an empty sample the rules keep their given order.
     """
-    sample = docs.select(F.col("text").cast("string").alias("text")).sample(fraction, seed).limit(sample_rows)
+    files = sorted(docs.inputFiles())
+    some = docs
+    if len(files) > SAMPLE_FILES:
+        try:
+            some = docs.where(F.col("_metadata.file_path").isin(files[::-(-len(files) // SAMPLE_FILES)]))
+        except AnalysisException:  # not the rows of files any more: an aggregate, say
+            some = docs
+    sample = some.select(F.col("text").cast("string").alias("text")).sample(fraction, seed).limit(sample_rows)
     found = (sample.mapInPandas(lambda it: _measure(it, rules), "rule int, seconds double, rejected long, docs long")
              .groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect())
     rate = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in found}
@@ -155,20 +168,21 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     """One row per document: base counts, ``base_failed`` and the cascade's verdict ``kept``."""
     cascade = plan_cascade(docs, rules, sample_rows)
 
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                d = Document(text)
-                kept = rejected_by(d, cascade) is None
-                rows.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed, kept and not d.base_failed))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                documents = [Document(t) for t in b.column("text").to_pylist()]
+                columns = [pa.array([getattr(d, c) for d in documents], pa.int64()) for c in counts]
+                failed = [bool(d.base_failed) for d in documents]
+                kept = [not f and rejected_by(d, cascade) is None for d, f in zip(documents, failed)]
+                # Ids stay the Arrow column they are: no number type changes on the way
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, pa.array(failed), pa.array(kept)], ["doc_id", *counts, "base_failed", "kept"])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(
-        report, f"doc_id {doc_id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        report, f"doc_id {doc_id}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean")
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
