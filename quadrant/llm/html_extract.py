@@ -24,10 +24,12 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head title noscript template svg iframe object select option textarea button canvas audio video map datalist annotation annotation-xml".split())
@@ -83,6 +85,7 @@ class Page(HTMLParser):
         self.root = Node("#root", {}, None)
         self.nodes = [self.root]
         self.open: list[tuple[str, Node]] = []  # every open tag, inline ones with the block they are in
+        self.places: dict[str, list[int]] = {}  # where each tag stands in it, outermost first
         self.blocks: list[tuple[Node, list[str]]] = []
         self.fresh = True
         self.silent = self.in_link = 0
@@ -119,6 +122,7 @@ class Page(HTMLParser):
             node.parent.children.append(node)
             self.nodes.append(node)
             self.fresh = True
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, node))
         self.silent += tag in SILENT
         self.in_link += tag == "a"
@@ -140,17 +144,16 @@ class Page(HTMLParser):
 
     def _end(self, tags: set[str], stop: set[str]) -> None:
         """Close the nearest open element of ``tags`` with all inside it, if none of ``stop`` lies between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
-            if tag in tags:
-                for t, _ in self.open[i:]:
-                    self.silent -= t in SILENT
-                    self.in_link -= t == "a"
-                    self.fresh |= t not in INLINE and t not in SILENT
-                del self.open[i:]
-                return
-            if tag in stop:
-                return
+        nearest = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=-1)
+        at = nearest(tags)
+        if at < 0 or nearest(stop - tags) > at:
+            return
+        for t, _ in self.open[at:]:
+            self.places[t].pop()
+            self.silent -= t in SILENT
+            self.in_link -= t == "a"
+            self.fresh |= t not in INLINE and t not in SILENT
+        del self.open[at:]
 
     def handle_data(self, data):
         if self.in_head and data.strip(" \t\n\f\r"):
@@ -309,11 +312,13 @@ def extract_text(pages: DataFrame, labelled: Iterable[str] | None = None, most_l
     """page_id, url, text, n_chars.  The model is fitted on at most ``most_labelled`` labelled pages."""
     model = Model(labelled_pages() if labelled is None else labelled, most_labelled)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [model.text(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "html"):
+                text = [model.text(h) for h in b.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())],
+                                                 ["page_id", "url", "text", "n_chars"])
 
     page_id = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
         extract, f"page_id {page_id}, url string, text string, n_chars long")
