@@ -5,10 +5,14 @@ words' ids one after another.  A batch is split into words and dictionary-encode
 by Arrow; the tokenizers library sees only distinct words that the worker's bounded
 cache does not hold.  Words of plain Latin-1 characters go to the library's
 BPE model directly, all others through its whole pipeline.
+
+These short cuts follow the rules that the vocabulary's file states (``RULES``).  A file with other rules is encoded by the
+library alone, whole texts at a time.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -18,8 +22,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and pieces of words, a worker remembers (some 150 MB at most).
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, a worker remembers (some 40 MB at most).
+CACHE_WORDS = 100_000
+# The rules of the vocabulary that the short cuts are written for.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+                                                            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 #: Characters that follow a word as one piece.
 TAIL = ".,;:!?*#$%&|"
 #: Bytes of text that are turned into ids at once.
@@ -60,12 +71,15 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's other cores run other tasks
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        self.by_words = all(stated.get(k) == v for k, v in RULES.items())
         self.tokenize = self.library.model.tokenize
         self.known_words, self.known_pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         # Visible ASCII and the upper half of Latin-1: no normal form or case rule looks past one such character.
         self.plain = regex.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*").fullmatch
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.pieces = regex.compile(PIECES).findall
         self.latin = str.maketrans({chr(c): "".join(map(self._byte, chr(c).encode())) for c in range(0xA1, 0x100)})
 
     @staticmethod
@@ -95,6 +109,9 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and where each text's begin (one more than texts)."""
+        if not self.by_words:
+            found = [e.ids for e in self.library.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(ids) for ids in found], dtype=np.int64)])
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
         coded = split.flatten().dictionary_encode()
