@@ -1,0 +1,78 @@
+"""Points and windows in the same buckets: same rows, and no exchange above the points."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from data_dirs import SF001
+from quadrant.functions.generators import query_points, query_windows
+from quadrant.operators.copartition import copartition, copartitioned_pip_join, copartitioned_range_join, store_windows
+from quadrant.operators.join import pip_join
+from quadrant.operators.quadtree import quadtree
+from quadrant.operators.range import range_join
+from quadrant.plans.knn_join import knn_rings
+from quadrant.sources.derived import points_a, points_b, points_d
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def exchanges_above(df, table):
+    """Exchanges on the way from the join down to the scan of ``table``."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in text.splitlines() if x.strip()]
+    depth = lambda x: len(re.match(r"[\s:|+\-]*", x).group())
+    at = next(i for i, x in enumerate(lines) if "FileScan" in x and table in x)
+    found, level = 0, depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < level:
+            level = depth(x)
+            found += "Exchange" in x
+    return found
+
+
+@pytest.fixture(scope="module")
+def buckets(spark):
+    return copartition(points_b(spark, SF001), quadtree(points_b(spark, SF001), cap=200), buckets=8)
+
+
+def test_join_has_no_exchange_and_the_same_rows(spark, buckets):
+    rings = knn_rings(points_a(spark, SF001), query_points(spark, 5, seed=3), 60, known_seeds=5)
+    for predicate in ("covers", "interior"):
+        want = rows(pip_join(points_b(spark, SF001), rings, predicate).select("window_id", "id", "x", "y"))
+        stored = copartitioned_pip_join(spark, buckets, store_windows(spark, buckets, rings), predicate)
+        assert rows(stored.select("window_id", "id", "x", "y")) == want
+        assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+        loose = copartitioned_pip_join(spark, buckets, rings, predicate)
+        assert rows(loose.select("window_id", "id", "x", "y")) == want
+        assert exchanges_above(loose, buckets.table) == 0
+
+
+def test_range_join(spark, buckets):
+    w = query_windows(spark, 6, 9)
+    both = w.unionByName(w.withColumn("window_id", F.lit(None).cast("bigint")))
+    want = rows(range_join(points_b(spark, SF001), both, strategy="cells").select("window_id", "id", "x", "y"))
+    assert rows(copartitioned_range_join(spark, buckets, both).select("window_id", "id", "x", "y")) == want
+
+
+def test_a_crowded_place_is_dealt_over_buckets(spark):
+    hot = spark.range(3000).select("id", F.lit(0.25).alias("x"), F.lit(0.25).alias("y"), F.lit("x").alias("depth"))
+    rest = spark.range(6000).select((F.col("id") + 10_000).alias("id"), (F.col("id") % 97 / 97.0).alias("x"), (F.col("id") % 89 / 89.0).alias("y"), F.lit("y").alias("depth"))
+    lb = copartition(hot.unionByName(rest), buckets=16)
+    sizes = lb.points(spark).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2500 and lb.points(spark).count() == 9000
+    w = spark.createDataFrame([(1, 0.2, 0.3, 0.2, 0.3), (2, 0.25, 0.25, 0.25, 0.25)], "window_id long, mnx double, mxx double, mny double, mxy double")
+    want = rows(range_join(hot.unionByName(rest), w).select("window_id", "id", "x", "y", "depth"))
+    assert rows(copartitioned_range_join(spark, lb, w).select("window_id", "id", "x", "y", "depth")) == want
+    lb.drop(spark)
+
+
+def test_empty_sides(spark, buckets):
+    none = query_windows(spark, 0, 1)
+    assert copartitioned_range_join(spark, buckets, none).count() == 0
+    empty = copartition(points_d(spark, SF001).limit(0), buckets=4)
+    assert copartitioned_range_join(spark, empty, query_windows(spark, 3, 1)).count() == 0
+    with pytest.raises(ValueError):
+        copartition(points_d(spark, SF001).withColumn("_leaf", F.lit(1)))
