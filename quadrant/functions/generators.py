@@ -61,6 +61,24 @@ def query_windows(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     )
 
 
+def points_for(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """G4 for a table: a random query point ``(q, qx, qy)`` per row, from its non-negative integer ``key``."""
+    q = F.col(key).cast("bigint")
+    return df.select(q.alias("q"), scaled_x(unit_hash(q, seed, X_HASH)).alias("qx"), scaled_y(unit_hash(q, seed, Y_HASH)).alias("qy"))
+
+
+def windows_for(df: DataFrame, key: str, seed: int = 0, share: float = 1.0) -> DataFrame:
+    """G5 for a table: a random window per row, between the key's random corners, drawn in to ``share`` of their distance."""
+    w = F.col(key).cast("bigint")
+    axes = {}
+    for axis, scaled, h in (("x", scaled_x, X_HASH), ("y", scaled_y, Y_HASH)):
+        a, b = scaled(unit_hash(w, seed, h, 0)), scaled(unit_hash(w, seed, h, 1))
+        axes[axis] = (a, a + (b - a) * F.lit(float(share)))
+    (x1, x2), (y1, y2) = axes["x"], axes["y"]
+    return df.select(w.alias("window_id"), F.least(x1, x2).alias("mnx"), F.greatest(x1, x2).alias("mxx"),
+                     F.least(y1, y2).alias("mny"), F.greatest(y1, y2).alias("mxy"))
+
+
 def _unit_value(row: int, seed: int, axis: dict, corner: int = 0) -> float:
     inner = row * axis["mult"][corner] + (seed * axis["seed_mult"] + axis["offset"][corner])
     return (inner % axis["mod"]) / float(axis["mod"])
@@ -88,5 +106,5 @@ def point_literal(spark: SparkSession, qx: float, qy: float, q: int = 0) -> Data
 
 
 __all__ = ["MIN_X", "MAX_X", "MIN_Y", "MAX_Y", "SPAN_X", "SPAN_Y",
-           "query_points", "query_windows", "point_literal", "unit_hash",
+           "query_points", "query_windows", "points_for", "windows_for", "point_literal", "unit_hash",
            "query_point_value", "query_window_value"]

@@ -89,7 +89,8 @@ def leaf_pip_join(spark: SparkSession, lp: LeafPartitioned, windows: DataFrame,
     size check passes; otherwise they meet the points in a shuffle join on
     the leaf key, which Spark splits where a leaf is crowded.
     """
-    geo = windows.select(F.col("window_id").alias("_w_window_id"), "edges", "mnx", "mxx", "mny", "mxy")
+    # Written once: the pairing looks at the windows twice, and they are often a kNN result.
+    geo = materialize(windows.select(F.col("window_id").alias("_w_window_id"), "edges", "mnx", "mxx", "mny", "mxy"), "leaf-windows")
     pairs, pts = _touched(lp, geo)
     pairs, _ = maybe_broadcast_polygons(pairs, max_broadcast_rows)
     inner, back = shielded(pts, ["window_id"])

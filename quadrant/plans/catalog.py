@@ -13,21 +13,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.functions.generators import (point_literal, query_point_value, query_points,
-                                           query_window_value, query_windows)
+from quadrant.functions.generators import (MIN_X, MIN_Y, SPAN_X, SPAN_Y, point_literal, points_for, query_point_value,
+                                           query_points, query_window_value, query_windows, windows_for)
+from quadrant.functions.geometry import in_envelope
+from quadrant.operators.copartition import copartition, copartitioned_pip_join, copartitioned_range_join, store_windows
 from quadrant.operators.index import (indexed, index_knn, index_knn_batch, index_knn_join,
-                                      index_pip_join, index_range, index_range_join)
-from quadrant.operators.join import grouped, grouped_summary, matched_window_count, pip_join
+                                      index_pip_join, index_range, index_range_counts, index_range_join)
+from quadrant.operators.join import grouped, grouped_summary, grouped_summary_bitmap, matched_window_count, pip_join
 from quadrant.operators.knn import knn, knn_batch
 from quadrant.operators.layout import read_clustered, write_clustered
 from quadrant.operators.partitioned import leaf_pip_join, leaf_range_join, partition_by_leaves
 from quadrant.operators.quadtree import assign_leaves, quadtree, windows_to_leaves
 from quadrant.operators.range import range_counts, range_join, range_query
 from quadrant.operators.ring import ring_edges
+from quadrant.operators.slabs import slab_pip_join
 from quadrant.plans.knn_join import knn_join, knn_rings
-from quadrant.session import scratch_path
-from quadrant.sources.derived import b_from, points_a, points_b, points_c, points_d
-from quadrant.streaming.points import run_available, stream_pip_join, stream_range, table_stream
+from quadrant.session import materialize, persisted, scratch_path
+from quadrant.sources.derived import a_from, b_from, points_a, points_b, points_c, points_d
+from quadrant.sources.documents import read_documents, write_documents
+from quadrant.streaming.points import knn_of_available, run_available, stream_pip_join, stream_range, table_stream
 from quadrant.sources.points import extent, points_sql, read_points
 
 # The sizes of the workload (shared with the oracle SQL).
@@ -43,6 +47,11 @@ QUERY_SEED = 11
 N_SEEDS = 11             # seeds of the batch kNN-join (declared in the reference)
 SEEDS_SEED = 13
 CELL = "auto"            # cell side of the two-phase kNN: sized from the data
+CUSTOMER_SEED = 17       # points and windows drawn for customers
+K_MANY = 5               # neighbours per customer
+COUNT_SHARE = 0.3        # how far the customers' windows are drawn in, for counts and for pairs
+PAIR_SHARE = 0.02
+MIDDLE_Y = 34.5          # the jagged ring lies above this
 QT_DEPTH = 12            # quad-tree depth cap
 QT_CAP = 500             # quad-tree leaf capacity
 
@@ -332,6 +341,109 @@ def stream_pip_join_q(spark, d):
     return run_available(joined.select("window_id", "id", "x", "y"), "pip")
 
 
+# --- query tables and windows drawn for the rows of a table -------------------------
+
+def _customers(spark, d):
+    return spark.read.parquet(f"{d.rstrip('/')}/customer.parquet")
+
+
+def random_points(spark, d):
+    """A query point per customer."""
+    return points_for(_customers(spark, d), "c_custkey", CUSTOMER_SEED)
+
+
+def random_windows(spark, d):
+    """A window per customer."""
+    return windows_for(_customers(spark, d), "c_custkey", CUSTOMER_SEED)
+
+
+def knn_batch_indexed_many(spark, d):
+    """Q7: neighbours of every customer's point through the index."""
+    return index_knn_batch(spark, indexed(points_a(spark, d)), random_points(spark, d), K_MANY).select("q", "rank", "id", "x", "y", "d2")
+
+
+def range_counts_pyramid(spark, d):
+    """Q3 + A1: counts of every customer's window over the skewed set; only border cells read points."""
+    return index_range_counts(spark, indexed(points_d(spark, d)), windows_for(_customers(spark, d), "c_custkey", CUSTOMER_SEED, COUNT_SHARE))
+
+
+def range_pairs_indexed_many(spark, d):
+    """Q3: pairs of every customer's small window and the points in it, through the index."""
+    w = windows_for(_customers(spark, d), "c_custkey", CUSTOMER_SEED, PAIR_SHARE)
+    return index_range_join(spark, indexed(points_b(spark, d)), w).select("window_id", "id", "x", "y")
+
+
+# --- points and windows in the same buckets (J2, L3) ---------------------------------
+
+def pip_join_copartitioned(spark, d):
+    lb = copartition(points_b(spark, d))
+    windows = store_windows(spark, lb, materialize(_seed_rings(spark, d), "rings"))
+    return copartitioned_pip_join(spark, lb, windows, "covers").select("window_id", "id", "x", "y")
+
+
+def range_pairs_copartitioned(spark, d):
+    lb = copartition(points_d(spark, d), quadtree(points_d(spark, d), max_depth=QT_DEPTH))
+    return copartitioned_range_join(spark, lb, _windows(spark)).select("window_id", "id", "x", "y")
+
+
+# --- document collections (S3) ---------------------------------------------------------
+
+def points_documents(spark, d):
+    """S3: points written as documents and read back."""
+    path = scratch_path(spark, "documents")
+    write_documents(points_b(spark, d).select("id", "x", "y"), path)
+    return read_documents(spark, path, "id BIGINT, x DOUBLE, y DOUBLE", id="id").select("id", "x", "y")
+
+
+def range_window_documents(spark, d):
+    """Q1 on a collection: the window's bounds skip files."""
+    path = scratch_path(spark, "documents")
+    write_documents(points_b(spark, d).select("id", "x", "y"), path)
+    bounds = in_envelope("x", "y", *_range_window())
+    return read_documents(spark, path, "id BIGINT, x DOUBLE, y DOUBLE", id="id", where=bounds).select("id", "x", "y")
+
+
+# --- one ring of very many edges (P2, P3) ----------------------------------------------
+
+def horizon_edges(spark, d):
+    """A ring with an edge per event: a jagged line from west to east over the events, closed below it."""
+    t = spark.read.parquet(f"{d.rstrip('/')}/events.parquet").select(F.col("event_id").alias("e"))
+    n = t.agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("e").alias("last"))
+    x = lambda e: F.lit(MIN_X) + e / F.col("n") * F.lit(SPAN_X)
+    y = lambda e: F.lit(MIDDLE_Y) + (e * 104729 + 71) % 1000033 / F.lit(1000033.0) * F.lit(SPAN_Y / 2)
+    line = t.crossJoin(F.broadcast(n)).where(F.col("e") < F.col("last"))
+    line = line.select(x(F.col("e")).alias("x1"), y(F.col("e")).alias("y1"), x(F.col("e") + 1).alias("x2"), y(F.col("e") + 1).alias("y2"))
+    zero, last = F.lit(0).cast("bigint"), F.col("last")
+    ends = n.where(last > 0).select(F.explode(F.array(*(F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), e.alias("y2")) for a, b, c, e in (
+        (x(last), y(last), x(last), F.lit(MIN_Y)), (x(last), F.lit(MIN_Y), x(zero), F.lit(MIN_Y)), (x(zero), F.lit(MIN_Y), x(zero), y(zero)))))).alias("s")).select("s.*")
+    return line.unionByName(ends).withColumn("window_id", F.lit(0).cast("bigint"))
+
+
+def pip_join_many_edges(spark, d):
+    return slab_pip_join(points_a(spark, d), horizon_edges(spark, d), "covers").select("window_id", "id", "x", "y")
+
+
+# --- distinct ids by bitmaps, reuse, neighbours on a stream -----------------------------
+
+def pip_join_grouped_bitmap(spark, d):
+    return grouped_summary_bitmap(_pip(spark, d, "intersects", "broadcast"))
+
+
+def persisted_reuse(spark, d):
+    """L4: one persisted point set under three queries."""
+    with persisted(points_b(spark, d)) as pts:
+        parts = [range_counts(pts, _windows(spark)).select(F.lit("range").alias("query"), F.col("window_id").alias("k"), "n"),
+                 range_query(pts, *_range_window()).agg(F.count(F.lit(1)).alias("n")).select(F.lit("window").alias("query"), F.lit(0).cast("bigint").alias("k"), "n"),
+                 extent(pts).select(F.lit("all").alias("query"), F.lit(0).cast("bigint").alias("k"), "n")]
+        return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "reused")
+
+
+def stream_knn_q(spark, d):
+    """T1/Q7 on a stream: neighbours of the query points among the orders that have arrived."""
+    pts = a_from(table_stream(spark, d, "orders"))
+    return knn_of_available(pts, _queries(spark), K_RING).select("q", "rank", "id", "x", "y", "d2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extent_count": extent_count,
     "points_sql_projection": points_sql_projection,
@@ -377,6 +489,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_pairs_partitioned": range_pairs_partitioned,
     "stream_range_window": stream_range_window,
     "stream_pip_join": stream_pip_join_q,
+    "random_points": random_points,
+    "random_windows": random_windows,
+    "knn_batch_indexed_many": knn_batch_indexed_many,
+    "range_counts_pyramid": range_counts_pyramid,
+    "range_pairs_indexed_many": range_pairs_indexed_many,
+    "pip_join_copartitioned": pip_join_copartitioned,
+    "range_pairs_copartitioned": range_pairs_copartitioned,
+    "points_documents": points_documents,
+    "range_window_documents": range_window_documents,
+    "pip_join_many_edges": pip_join_many_edges,
+    "pip_join_grouped_bitmap": pip_join_grouped_bitmap,
+    "persisted_reuse": persisted_reuse,
+    "stream_knn": stream_knn_q,
 }
 
 __all__ = ["QUERIES"]

@@ -57,6 +57,44 @@ def _windows(n: int, seed: int) -> str:
             f"least({y1}, {y2}) AS mny, greatest({y1}, {y2}) AS mxy FROM range({n})")
 
 
+def _windows_for(table: str, key: str, seed: int, share: float) -> str:
+    x1, x2 = (_coord(_gen_unit(key, seed, X_HASH, c), MIN_X, SPAN_X) for c in (0, 1))
+    y1, y2 = (_coord(_gen_unit(key, seed, Y_HASH, c), MIN_Y, SPAN_Y) for c in (0, 1))
+    return f"""SELECT window_id, least(x1, x2) AS mnx, greatest(x1, x2) AS mxx, least(y1, y2) AS mny, greatest(y1, y2) AS mxy FROM (
+  SELECT window_id, x1, x1 + (x2 - x1) * {lit(share)} AS x2, y1, y1 + (y2 - y1) * {lit(share)} AS y2 FROM (
+    SELECT {key} AS window_id, {x1} AS x1, {x2} AS x2, {y1} AS y1, {y2} AS y2 FROM {table}))"""
+
+
+def _points_for(table: str, key: str, seed: int) -> str:
+    return (f"SELECT {key} AS q, {_coord(_gen_unit(key, seed, X_HASH), MIN_X, SPAN_X)} AS qx, "
+            f"{_coord(_gen_unit(key, seed, Y_HASH), MIN_Y, SPAN_Y)} AS qy FROM {table}")
+
+
+def _horizon() -> str:
+    x = lambda e: f"{lit(MIN_X)} + {e} / n * {lit(SPAN_X)}"
+    y = lambda e: f"{lit(C.MIDDLE_Y)} + ({e} * 104729 + 71) % 1000033 / {lit(1000033.0)} * {lit(SPAN_Y / 2)}"
+    low = lit(MIN_Y)
+    return f"""
+SELECT {x('e')} AS x1, {y('e')} AS y1, {x('(e + 1)')} AS x2, {y('(e + 1)')} AS y2
+FROM (SELECT event_id AS e, (count(*) OVER ())::DOUBLE AS n, max(event_id) OVER () AS last FROM events) WHERE e < last
+UNION ALL SELECT {x('last')}, {y('last')}, {x('last')}, {low} FROM (SELECT count(*)::DOUBLE AS n, max(event_id) AS last FROM events)
+UNION ALL SELECT {x('last')}, {low}, {x('0')}, {low} FROM (SELECT count(*)::DOUBLE AS n, max(event_id) AS last FROM events)
+UNION ALL SELECT {x('0')}, {low}, {x('0')}, {y('0::BIGINT')} FROM (SELECT count(*)::DOUBLE AS n, max(event_id) AS last FROM events)"""
+
+
+_CROSS_ROW = "((e.x1 - p.x) * (e.y2 - p.y) - (e.x2 - p.x) * (e.y1 - p.y))"
+
+
+def _many_edges(points: str, edges: str) -> str:
+    """Crossings and touches summed per point row, edges as rows."""
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS r, id, x, y FROM ({points})), e AS MATERIALIZED ({edges})
+SELECT 0::BIGINT AS window_id, any_value(p.id) AS id, any_value(p.x) AS x, any_value(p.y) AS y
+FROM p JOIN e ON p.y >= least(e.y1, e.y2) AND p.y <= greatest(e.y1, e.y2) GROUP BY r
+HAVING sum(CASE WHEN ((e.y1 > p.y) <> (e.y2 > p.y)) AND (({_CROSS_ROW} > 0) = (e.y2 > e.y1)) THEN 1 ELSE 0 END) % 2 = 1
+    OR bool_or({_CROSS_ROW} = 0 AND p.x >= least(e.x1, e.x2) AND p.x <= greatest(e.x1, e.x2))"""
+
+
 def _d2(qx: str, qy: str) -> str:
     return f"(x - {qx}) * (x - {qx}) + (y - {qy}) * (y - {qy})"
 
@@ -193,7 +231,27 @@ LEFT JOIN ({range_pairs}) p ON p.window_id = w.window_id GROUP BY w.window_id"""
     d_pairs = f"""
 SELECT window_id, id, x, y FROM ({POINTS_D}) p JOIN ({windows}) w
   ON x >= mnx AND x <= mxx AND y >= mny AND y <= mxy"""
+    customers = _points_for("customer", "c_custkey", C.CUSTOMER_SEED)
+    count_windows = _windows_for("customer", "c_custkey", C.CUSTOMER_SEED, C.COUNT_SHARE)
+    pair_windows = _windows_for("customer", "c_custkey", C.CUSTOMER_SEED, C.PAIR_SHARE)
+    in_box = "x >= mnx AND x <= mxx AND y >= mny AND y <= mxy"
     return {
+        "random_points": customers,
+        "random_windows": _windows_for("customer", "c_custkey", C.CUSTOMER_SEED, 1.0),
+        "knn_batch_indexed_many": _knn_rows(POINTS_A, customers, C.K_MANY),
+        "range_counts_pyramid": f"""SELECT w.window_id, CAST(count(p.id) AS BIGINT) AS n FROM ({count_windows}) w
+                                    LEFT JOIN ({POINTS_D}) p ON {in_box} GROUP BY w.window_id""",
+        "range_pairs_indexed_many": f"SELECT window_id, id, x, y FROM ({POINTS_B}) p JOIN ({pair_windows}) w ON {in_box}",
+        "pip_join_copartitioned": _pip_join(POINTS_B, seed_rings, "covers"),
+        "range_pairs_copartitioned": d_pairs,
+        "points_documents": POINTS_B,
+        "range_window_documents": f"SELECT id, x, y FROM ({POINTS_B}) WHERE {in_rw}",
+        "pip_join_many_edges": _many_edges(POINTS_A, _horizon()),
+        "pip_join_grouped_bitmap": _summary(pip_c),
+        "persisted_reuse": f"""SELECT 'range' AS query, window_id AS k, n FROM ({range_count})
+                               UNION ALL SELECT 'window', 0::BIGINT, count(*) FROM ({POINTS_B}) WHERE {in_rw}
+                               UNION ALL SELECT 'all', 0::BIGINT, count(*) FROM ({POINTS_B})""",
+        "stream_knn": _knn_rows(POINTS_A, queries, C.K_RING),
         "extent_count": f"""SELECT min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy,
                              count(*) AS n FROM ({POINTS_B})""",
         "points_sql_projection": POINTS_B,

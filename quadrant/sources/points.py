@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadrant.session import materialize
+
 BAD_RECORD = "_bad"
 
 
@@ -27,9 +29,8 @@ def points(df: DataFrame, x: str = "x", y: str = "y", id: str | Column | None =
     """Turn any DataFrame into a point set.
 
     ``id`` names a column (cast to BIGINT), is a Column expression, or is None,
-    in which case ``monotonically_increasing_id()`` numbers the rows.  That
-    number is stable for a given file split layout, so recomputation after an
-    executor loss reproduces it.  ``carry`` keeps the other columns (True), none
+    in which case the rows are numbered once and written with their numbers: numbers given anew at each scan
+    would follow the file splits of that scan.  A stream needs an id.  ``carry`` keeps the other columns (True), none
     (False) or the listed ones.  Rows whose x or y is NULL or NaN are dropped.
     """
     if id is None:
@@ -48,8 +49,12 @@ def points(df: DataFrame, x: str = "x", y: str = "y", id: str | Column | None =
     out = df.select(id_col.cast("bigint").alias("id"),
                     F.col(x).cast("double").alias("x"),
                     F.col(y).cast("double").alias("y"),
-                    *[F.col(c) for c in rest])
-    return out.where(valid_xy())
+                    *[F.col(c) for c in rest]).where(valid_xy())
+    if id is None:
+        if df.isStreaming:
+            raise ValueError("name an id column: the rows of a stream can't be numbered")
+        out = materialize(out, "numbered-points")
+    return out
 
 
 def _csv_schema(schema: T.StructType | str | None, offset: int) -> T.StructType:

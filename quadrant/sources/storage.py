@@ -31,10 +31,11 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What one task has written: names, rows and bytes of its files."""
+    """What one task has written: (name, bytes) or (name, bytes, facts) of its files, and the rows in them and left out."""
 
     files: list
     rows: int = 0
+    rejected: int = 0
 
 
 def new_name(suffix: str) -> str:
@@ -46,6 +47,16 @@ def _manifests(system: pafs.FileSystem, root: str) -> list[str]:
     return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(".json"))
 
 
+def facts(uri: str) -> dict[str, dict]:
+    """What the commits say of each file, by name: its bytes, and what the writer measured."""
+    system, root = file_system(uri)
+    out = {}
+    for manifest in _manifests(system, root.rstrip("/")):
+        with system.open_input_stream(manifest) as f:
+            out.update({e["name"]: e for e in json.loads(f.read())["files"]})
+    return out
+
+
 def list_files(uri: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     """Paths and sizes of the folder's readable files (or of the one file named), in order."""
     system, root = file_system(uri)
@@ -55,10 +66,7 @@ def list_files(uri: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
         return [(root, here.size)]
     if here.type == pafs.FileType.NotFound:
         raise FileNotFoundError(uri)
-    committed = set()
-    for manifest in _manifests(system, root):
-        with system.open_input_stream(manifest) as f:
-            committed.update(json.loads(f.read()))
+    committed = facts(uri)
     out = []
     for f in system.get_file_info(pafs.FileSelector(root, recursive=True)):
         name = f.path.rsplit("/", 1)[-1]
@@ -89,23 +97,24 @@ def commit(uri: str, messages: list, overwrite: bool) -> None:
     root = root.rstrip("/")
     old = _manifests(system, root) if overwrite else []
     system.create_dir(f"{root}/{COMMITS}", recursive=True)
-    names = [name for m in messages if m is not None for name, _ in m.files]
+    told = [m for m in messages if m is not None]
+    files = [{"name": f[0], "bytes": f[1], **(f[2] if len(f) > 2 else {})} for m in told for f in m.files]
     with system.open_output_stream(f"{root}/{COMMITS}/{uuid.uuid4().hex}.json") as f:
-        f.write(json.dumps(names).encode())
+        f.write(json.dumps({"files": files, "rows": sum(m.rows for m in told), "rejected": sum(m.rejected for m in told)}).encode())
     for manifest in old:
         with system.open_input_stream(manifest) as f:
-            gone = json.loads(f.read())
+            gone = json.loads(f.read())["files"]
         system.delete_file(manifest)
-        for name in gone:
-            system.delete_file(f"{root}/{name}")
+        for e in gone:
+            system.delete_file(f"{root}/{e['name']}")
 
 
 def abort(uri: str, messages: list) -> None:
     """Remove what the tasks of a failed job report; what they don't is never read."""
     system, root = file_system(uri)
     for m in messages:
-        for name, _ in m.files if m is not None else ():
-            path = f"{root.rstrip('/')}/{name}"
+        for f in m.files if m is not None else ():
+            path = f"{root.rstrip('/')}/{f[0]}"
             if system.get_file_info(path).type == pafs.FileType.File:
                 system.delete_file(path)
 
@@ -113,4 +122,4 @@ def abort(uri: str, messages: list) -> None:
 # Data sources run in Python workers; they travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["file_system", "Files", "Written", "new_name", "list_files", "plan", "commit", "abort"]
+__all__ = ["file_system", "Files", "Written", "new_name", "list_files", "facts", "plan", "commit", "abort"]

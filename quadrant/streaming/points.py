@@ -19,10 +19,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from quadrant.functions.geometry import grid_coord, guarded_in_polygon
 from quadrant.operators.join import pip_join
-from quadrant.operators.sizing import MAX_BROADCAST_ROWS, MAX_LOOP_ROWS, maybe_broadcast_polygons
+from quadrant.operators.knn import _out, _ranked, knn_batch
+from quadrant.operators.sizing import MAX_BROADCAST_EDGES, MAX_LOOP_ROWS, MAX_BROADCAST_ROWS, maybe_broadcast_polygons
 from quadrant.operators.range import range_query
 from quadrant.session import materialize, scratch_path
 from quadrant.sources.points import BAD_RECORD, points
@@ -75,16 +77,15 @@ def stream_pip_join(stream: DataFrame, windows: DataFrame, predicate: str = "int
     recomputed for every micro-batch.  Up to ``MAX_LOOP_ROWS`` windows it is
     broadcast and every point meets every window's box; beyond that, each
     window is replicated to the grid cells its box overlaps and each point
-    meets only its own cell's windows (a stream-static equi-join).
+    meets only its own cell's windows (a stream-static equi-join).  Windows and edges are
+    counted; ``known_windows`` and ``known_edges`` are the caller's word and not relied on.
     """
     fixed = materialize(windows.select("window_id", "edges", "mnx", "mxx", "mny", "mxy"), "stream-windows")
-    n = known_windows if known_windows is not None else fixed.count()
-    if n <= MAX_LOOP_ROWS:
-        return pip_join(stream, fixed, predicate=predicate, strategy="broadcast",
-                        known_windows=n, known_edges=known_edges)
+    r = fixed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("edges")).alias("edges")).first()
+    if r["n"] <= MAX_LOOP_ROWS and (r["edges"] or 0) <= MAX_BROADCAST_EDGES:
+        return pip_join(stream, fixed, predicate=predicate, strategy="broadcast")
     cells, grid = _window_cells(fixed)
-    cells, _ = maybe_broadcast_polygons(cells, MAX_BROADCAST_ROWS, known_rows=grid["rows"],
-                                        known_edges_per_row=known_edges)
+    cells, _ = maybe_broadcast_polygons(cells)
     mnx, mxx, mny, mxy, depth = grid["minx"], grid["maxx"], grid["miny"], grid["maxy"], grid["depth"]
     keyed = (stream.withColumn("_gx", grid_coord("x", F.lit(mnx), F.lit(mxx), depth))
              .withColumn("_gy", grid_coord("y", F.lit(mny), F.lit(mxy), depth)))
@@ -121,6 +122,43 @@ def _window_cells(fixed: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple
     return cells, dict(minx=mnx, maxx=mxx, miny=mny, maxy=mxy, depth=depth, rows=rows)
 
 
+def stream_knn(stream: DataFrame, queries: DataFrame, k: int, path: str, checkpoint: str | None = None) -> DataStreamWriter:
+    """T1/Q7 on a stream: the k nearest points so far of every query, kept as a table that each micro-batch renews.
+
+    Batch n ranks its own points, merges them with version n - 1 (k rows a query) and writes version n under ``path``.  A batch
+    that is run again after a failure overwrites its own version from the same predecessor, so every version
+    equals ``knn_batch`` over all that has arrived by then.  Returns the writer to ``start()``; :func:`knn_so_far` reads a version.
+    """
+    spark = stream.sparkSession
+    fixed = materialize(queries.select("q", "qx", "qy"), "stream-queries")
+    carried = [F.col(c) for c in stream.columns if c not in ("id", "x", "y")]
+
+    def step(batch: DataFrame, number: int) -> None:
+        best = knn_batch(batch, fixed, k).drop("rank")
+        if number:
+            best = best.unionByName(knn_so_far(spark, path, number - 1).drop("rank"))
+        _out(_ranked(best, k), carried).write.mode("overwrite").parquet(_version(path, number))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or scratch_path(spark, "stream-knn-checkpoint"))
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/version-{number:09d}"
+
+
+def knn_so_far(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The neighbours after micro-batch ``number``."""
+    return spark.read.parquet(_version(path, number))
+
+
+def knn_of_available(stream: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The neighbours after all files available now, in as many micro-batches as the stream takes."""
+    path = scratch_path(stream.sparkSession, "stream-knn")
+    q = stream_knn(stream, queries, k, path).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return knn_so_far(stream.sparkSession, path, q.lastProgress["batchId"])
+
+
 def run_available(result: DataFrame, name: str = "stream") -> DataFrame:
     """Process every file available now into a Parquet table; return it as a batch frame."""
     spark = result.sparkSession
@@ -132,4 +170,4 @@ def run_available(result: DataFrame, name: str = "stream") -> DataFrame:
     return spark.read.schema(result.schema).parquet(out)
 
 
-__all__ = ["read_points_stream", "table_stream", "stream_range", "stream_pip_join", "run_available"]
+__all__ = ["read_points_stream", "table_stream", "stream_range", "stream_pip_join", "stream_knn", "knn_so_far", "knn_of_available", "run_available"]

@@ -1,0 +1,102 @@
+"""The document source and sink: rows, bounds that skip files, malformed documents, commits."""
+
+import gzip
+import json
+import os
+
+import pytest
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from data_dirs import SF001
+from quadrant.sources import documents as D
+from quadrant.sources import storage
+from quadrant.sources.derived import points_b
+
+SCHEMA = "id long, x double, y double"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def reader(path, schema=SCHEMA, **options):
+    return D.DocumentReader({"path": path, **options}, T.StructType.fromDDL(schema))
+
+
+@pytest.mark.parametrize("options", [{}, {"compression": "gzip"}, {"file_bytes": "20000"}])
+def test_points_come_back(spark, tmp_path, options):
+    pts = points_b(spark, SF001).withColumn("name", F.when(F.col("id") % 3 > 0, F.concat(F.lit('é"\n'), "id")))
+    path = str(tmp_path / "c")
+    D.write_documents(pts, path, partitions=6, **options)
+    back = D.read_documents(spark, path, "id long, x double, y double, name string", id="id")
+    assert rows(back.select(pts.columns)) == rows(pts)
+
+
+def test_bounds_skip_files(spark, tmp_path):
+    path = str(tmp_path / "c")
+    pts = points_b(spark, SF001).select("id", "x", "y")
+    D.write_documents(pts, path, partitions=32)
+    r = reader(path, partition_bytes="1")
+    every = len(reader(path, partition_bytes="1000000000").partitions()[0].value)
+    bounds = [ds.GreaterThanOrEqual(("x",), -119.5), ds.LessThanOrEqual(("x",), -119.2), ds.GreaterThan(("y",), 34.0), ds.LessThan(("y",), 34.4), ds.EqualTo(("id",), 3)]
+    assert list(r.pushFilters(bounds)) == bounds  # Spark tests the rows again
+    assert every == 32 and 0 < len({p.value[0][0] for p in r.partitions()}) <= 8
+    window = "x >= -119.5 AND x <= -119.2 AND y > 34.0 AND y < 34.4"
+    assert rows(D.read_documents(spark, path, SCHEMA, id="id", where=window)) == rows(pts.where(window))
+    r.pushFilters([ds.EqualTo(("x",), 0.0)])
+    assert r.partitions() == []
+    assert D.read_documents(spark, path, SCHEMA, id="id", where="x = 0").count() == 0
+
+
+def test_malformed_documents(spark, tmp_path):
+    D.register(spark)
+    good = [{"id": 1, "x": 1.5, "y": 2}, {"x": 3, "y": 4.25, "other": [1, {"a": 2}]}, {"id": None, "x": 0.1, "y": -1e300}, {"id": 5}]
+    bad = ["{", "[1]", "7", '{"x": "a", "y": 1}', '{"id": 1.5, "x": 1, "y": 1}', '{"x": true, "y": 1}', "\x00", '{"x": 1 "y": 2}']
+    lines = [json.dumps(g) for g in good]
+    (tmp_path / "mixed.json").write_text("\n".join([lines[0], *bad, "", *lines[1:]]))
+    (tmp_path / "fine.jsonl").write_bytes("\r\n".join(lines).encode())
+    with gzip.open(tmp_path / "z.jsonl.gz", "wt") as f:
+        f.write("\n".join([*bad[:2], *lines]) + "\n")
+    path = str(tmp_path)
+    assert tuple(D.malformed(spark, path, SCHEMA).first()) == (12, 10)
+    want = sorted([(1, 1.5, 2.0), (None, 3.0, 4.25), (None, 0.1, -1e300)] * 3, key=repr)
+    assert rows(D.read_documents(spark, path, SCHEMA, id="id")) == want
+    kept = spark.read.format("documents").schema(SCHEMA + ", _bad string").load(path).where("_bad IS NOT NULL")
+    assert sorted(r._bad for r in kept.collect()) == sorted(bad + bad[:2])
+    with pytest.raises(Exception, match="no document of the schema"):
+        spark.read.format("documents").schema(SCHEMA).option("mode", "failfast").load(path).collect()
+
+
+def test_any_split_gives_every_line_once(tmp_path):
+    lines = [json.dumps({"id": i, "x": i / 7, "y": 1.0, "pad": "z" * (i % 40)}) for i in range(60)]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    for size in (1, 2, 3, 17, 50, 64, 1000, 100_000):
+        r = reader(str(tmp_path), partition_bytes=str(size))
+        got = [row["id"] for p in r.partitions() for b in r.read(p) for row in b.to_pylist()]
+        assert sorted(got) == list(range(60)), size
+
+
+def test_only_committed_files_count(spark, tmp_path):
+    path = str(tmp_path / "c")
+    pts = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 1.0), (3, float("nan"), 2.0), (4, 5.0, 5.0)], SCHEMA)
+    D.register(spark)
+    pts.write.format("documents").mode("append").save(path)
+    manifest = json.load(open(os.path.join(path, "_commits", os.listdir(f"{path}/_commits")[0])))
+    assert (manifest["rows"], manifest["rejected"]) == (2, 2)
+    with open(os.path.join(path, storage.new_name(".jsonl")), "w") as f:  # of a task that never committed
+        f.write('{"id": 9, "x": 0, "y": 0}\n')
+    assert rows(D.read_documents(spark, path, SCHEMA, id="id")) == [(1, 1.0, 1.0), (4, 5.0, 5.0)]
+    (tmp_path / "c" / "foreign.json").write_text('{"id": 7, "x": 7, "y": 7}')
+    D.write_documents(pts.where("id = 4"), path)
+    assert [r[0] for r in rows(D.read_documents(spark, path, SCHEMA, id="id"))] == [1, 4, 4, 7]
+    fails = pts.withColumn("x", F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("x")).cast("double"))
+    with pytest.raises(Exception):
+        fails.write.format("documents").mode("append").save(path)
+    assert [r[0] for r in rows(D.read_documents(spark, path, SCHEMA, id="id"))] == [1, 4, 4, 7]
+    D.write_documents(pts.where("id = 1"), path, mode="overwrite")
+    assert [r[0] for r in rows(D.read_documents(spark, path, SCHEMA, id="id"))] == [1, 7]
+    empty = str(tmp_path / "none")
+    D.write_documents(pts.limit(0), empty)
+    assert D.read_documents(spark, empty, SCHEMA, id="id").count() == 0
