@@ -149,7 +149,7 @@ def test_only_committed_files_are_read(spark, tmp_path):
     page_records(pages(spark, ROWS[10:12])).write.format("warc").mode("overwrite").save(path)
     assert got(read_pages(spark, path)) == brute(ROWS[10:12])
     manifests = os.listdir(f"{path}/_commits")
-    assert len(manifests) == 1 and all(os.path.exists(f"{path}/{n}") for n in json.load(open(f"{path}/_commits/{manifests[0]}")))
+    assert len(manifests) == 1 and all(os.path.exists(f"{path}/{e['name']}") for e in json.load(open(f"{path}/_commits/{manifests[0]}"))["files"])
 
 
 def test_partitions_and_pushdown(spark, tmp_path):
