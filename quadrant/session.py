@@ -76,7 +76,7 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # the schema is known: no job looks for it
 
 
 def layout_path(df, name: str, *settings) -> tuple[str, bool]:
