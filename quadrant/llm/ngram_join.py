@@ -45,8 +45,8 @@ from .tokens import slices
 N_WORDS = 5
 PERCENT = 75
 ORDERS = 2
-#: Leaders that a class tries in a later round.
-LEADERS = 8
+#: By round: leaders that a list draws, and leaders that a class tries; later rounds go on as the last.
+DRAWS, LEADERS = (1, 1, 8), (1, 8, 64)
 #: Bytes of text in a block: bounds what a task holds at once.
 BLOCK_BYTES = 8 << 20
 #: A shingle that more documents of one block have leaves their numbers with the block.
@@ -309,20 +309,33 @@ def reach(n: str, pos: str, m: str, at: str) -> Column:
     return (7 * (F.col(n) - F.col(pos)) >= both) & (7 * (F.col(m) - F.col(at)) >= both)
 
 
+def crossing_lists(lists: DataFrame) -> DataFrame:
+    """The lists that hold two or more components and a strong entry.  Components only grow, so the others are done with."""
+    several = lists.groupBy("k", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("strong").alias("any"))
+    return lists.join(several.filter("low < high AND any").select("k", "token"), ["k", "token"], "left_semi")
+
+
 def leader_pairs(lists: DataFrame, seed: int) -> DataFrame:
     """Pairs of a class and leaders of its lists in other components, those with most common prefix shingles first.
 
     At seed 0 a list's leader is its first class, so a group of near copies meets one leader.  Later every
-    list draws its own, and a class tries up to LEADERS of them: groups without a centre need several.
+    list draws its own, and a class tries several of them: what a few leaders leave over in a group without a centre
+    has most of its links still to find, and many draws a class cost less than all its pairs.
     """
-    draw = F.xxhash64("cid", "token", F.lit(seed)) if seed else F.col("cid")
-    chosen = F.min(F.when(F.col("strong"), F.struct(draw.alias("h"), F.col("cid"), F.col("n"), F.col("comp"), F.col("pos"))))
-    leaders = lists.groupBy("k", "token").agg(chosen.alias("l"))
+    of_round = lambda x: x[min(seed, len(x) - 1)]
+
+    def drawn(i: int) -> Column:
+        by = F.xxhash64("cid", "token", F.lit(seed), F.lit(i)) if seed else F.col("cid")
+        return F.min(F.when(F.col("strong"), F.struct(by.alias("h"), F.col("cid"), F.col("n"), F.col("comp"), F.col("pos"))))
+
+    draws = [f"l{i}" for i in range(of_round(DRAWS))]
+    leaders = lists.groupBy("k", "token").agg(*(drawn(i).alias(x) for i, x in enumerate(draws)))
+    leaders = leaders.select("k", "token", F.explode(F.array_distinct(F.array(*(F.col(x).dropFields("h") for x in draws)))).alias("l"))
     leaders = leaders.select("k", "token", F.col("l.cid").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp"), F.col("l.pos").alias("l_pos"))
     met = lists.join(leaders, ["k", "token"]).filter((F.col("comp") != F.col("l_comp")) & reach("n", "pos", "l_n", "l_pos"))
     votes = met.groupBy("cid", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("votes", "leader")), False).alias("best"))  # at most one a list of the class
-    tried = best.select("cid", F.explode(F.slice("best", 1, LEADERS if seed else 1)).alias("l"))
+    best = votes.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("votes", "leader")), False).alias("best"))  # at most DRAWS a list of the class
+    tried = best.select("cid", F.explode(F.slice("best", 1, of_round(LEADERS))).alias("l"))
     return tried.select(F.least("cid", "l.leader").alias("a"), F.greatest("cid", "l.leader").alias("b")).distinct()
 
 
@@ -354,7 +367,7 @@ def candidate_pairs(lists: DataFrame, orders: int = ORDERS) -> DataFrame:
     return out
 
 
-def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack: int = 4) -> DataFrame | None:
+def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 5, slack: int = 4) -> DataFrame | None:
     """node, label over classes: components of all links, or None if there are none.
 
     Leader rounds only save work: they go on while the remaining pairs are many against the lists' lengths
@@ -364,8 +377,11 @@ def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack
     lists = prefix_lists(classes, orders)
     labels, links = None, None
     for r in range(most_rounds):
-        now = materialize(labelled(lists, labels), "labelled") if labels is not None else labelled(lists, None)
-        if r:
+        if labels is None:
+            now = labelled(lists, None)
+        else:
+            now = materialize(crossing_lists(labelled(lists, labels)), "labelled")
+            lists = now.drop("comp")
             open_pairs = cross_lists(now).groupBy("k", "token").agg(F.first("all_members").alias("m"), F.first("all_strong").alias("s"), F.first("inside").alias("i"))
             if (open_pairs.agg(F.sum(F.col("m") * F.col("s") - F.col("i"))).first()[0] or 0) <= slack * lists.count():
                 break
@@ -375,7 +391,7 @@ def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    rest = materialize(verified(candidate_pairs(materialize(labelled(lists, labels), "open"), orders), classes), "pair-links")
+    rest = materialize(verified(candidate_pairs(materialize(crossing_lists(labelled(lists, labels)), "open"), orders), classes), "pair-links")
     release(spark)
     if rest.isEmpty():
         return labels
