@@ -43,16 +43,9 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.when(shorter == 0, F.lit(0)).otherwise(F.coalesce(F.array_min(differs), shorter))
 
 
-def preference_rows(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, n_common, prompt, and for both sides the completion and its segments (text, trained).
-
-    ``pairs`` has pair_id, chosen_id, rejected_id.
-    """
-    lists = turn_lists(turns)
-    chosen = lists.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
-    rejected = lists.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
-    met = pairs.select("pair_id", "chosen_id", "rejected_id").join(chosen, "chosen_id").join(rejected, "rejected_id")
-    met = met.select("pair_id", "a", "b", common_turns(F.col("a"), F.col("b")).alias("n_common"))
+def formatted(lists: DataFrame) -> DataFrame:
+    """pair_id, n_common, prompt, and for both sides the completion and its segments (text, trained), of turn lists a and b."""
+    met = lists.select("pair_id", "a", "b", common_turns(F.col("a"), F.col("b")).alias("n_common"))
     after = {side: F.expr(f"slice({side}, n_common + 1, size({side}))") for side in "ab"}
     return met.select(
         "pair_id", F.col("n_common").cast("long").alias("n_common"), rendered(F.expr("slice(a, 1, n_common)")).alias("prompt"),
@@ -60,6 +53,27 @@ def preference_rows(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         segments(after["a"]).alias("chosen_segments"), segments(after["b"]).alias("rejected_segments"))
 
 
+def preference_rows(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`formatted` rows of pairs of conversations: ``pairs`` has pair_id, chosen_id, rejected_id."""
+    lists = turn_lists(turns)
+    chosen = lists.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
+    rejected = lists.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
+    return formatted(pairs.select("pair_id", "chosen_id", "rejected_id").join(chosen, "chosen_id").join(rejected, "rejected_id"))
+
+
+def swapped_reply_rows(turns: DataFrame) -> DataFrame:
+    """:func:`formatted` rows of every conversation (pair_id: its id) against itself with another last reply.
+
+    The rejected side has the turns before the last and then the last turn of the conversation with the next id; if there is
+    none, nothing follows.  So the common prefix is all but the last turn, or all of them where both replies are equal.
+    """
+    lists = turn_lists(turns)
+    other = lists.select((F.col("conv_id") - 1).alias("_before"), F.slice("turns", -1, 1).alias("_reply"))
+    met = lists.join(other, F.col("conv_id") == F.col("_before"), "left")
+    none = F.slice("turns", 1, F.lit(0))
+    return formatted(met.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("a"), F.concat(F.expr("slice(turns, 1, size(turns) - 1)"), F.coalesce("_reply", none)).alias("b")))
+
+
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """Conversations 2i (chosen) and 2i + 1 (rejected) as pair i."""
     ids = turns.select("conv_id").filter("conv_id % 2 = 0").distinct()

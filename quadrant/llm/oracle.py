@@ -41,22 +41,18 @@ OP3 = r"""
 WITH d AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
              '<|' || role || '|>' || chr(10) || text || chr(10) AS shown, CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS trained FROM d),
-p AS (SELECT DISTINCT a.conv_id // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+m AS (SELECT conv_id, max(place) AS last FROM t GROUP BY conv_id),
+l AS (SELECT t.* FROM t JOIN m ON t.conv_id = m.conv_id AND place = last),
 c AS (
-  SELECT pair_id, chosen_id, rejected_id, (SELECT count(*) FROM t a WHERE a.conv_id = chosen_id AND NOT EXISTS (
-           SELECT 1 FROM t x LEFT JOIN t y ON y.conv_id = p.rejected_id AND y.place = x.place
-           WHERE x.conv_id = p.chosen_id AND x.place <= a.place AND (y.place IS NULL OR y.role <> x.role OR y.text <> x.text))) AS n_common
-  FROM p),
-s AS (
-  SELECT pair_id, n_common, t.conv_id = chosen_id AS is_chosen, t.place, t.shown, t.trained
-  FROM c JOIN t ON t.conv_id IN (chosen_id, rejected_id))
+  SELECT own.conv_id AS pair_id, own.place - CASE WHEN own.role = other.role AND own.text = other.text THEN 0 ELSE 1 END AS n_common, other.shown, other.trained
+  FROM l own LEFT JOIN l other ON other.conv_id = own.conv_id + 1)
 SELECT pair_id, n_common,
-       coalesce(string_agg(shown, '' ORDER BY place) FILTER (WHERE is_chosen AND place <= n_common), '') AS prompt,
-       coalesce(string_agg(shown, '' ORDER BY place) FILTER (WHERE is_chosen AND place > n_common), '') AS chosen,
-       coalesce(string_agg(shown, '' ORDER BY place) FILTER (WHERE NOT is_chosen AND place > n_common), '') AS rejected,
-       coalesce(string_agg(trained, '' ORDER BY place) FILTER (WHERE is_chosen AND place > n_common), '') AS chosen_mask,
-       coalesce(string_agg(trained, '' ORDER BY place) FILTER (WHERE NOT is_chosen AND place > n_common), '') AS rejected_mask
-FROM s GROUP BY pair_id, n_common
+       coalesce(string_agg(t.shown, '' ORDER BY place) FILTER (WHERE place <= n_common), '') AS prompt,
+       coalesce(string_agg(t.shown, '' ORDER BY place) FILTER (WHERE place > n_common), '') AS chosen,
+       CASE WHEN n_common < max(place) THEN coalesce(any_value(c.shown), '') ELSE '' END AS rejected,
+       coalesce(string_agg(t.trained, '' ORDER BY place) FILTER (WHERE place > n_common), '') AS chosen_mask,
+       CASE WHEN n_common < max(place) THEN coalesce(any_value(c.trained), '') ELSE '' END AS rejected_mask
+FROM c JOIN t ON t.conv_id = pair_id GROUP BY pair_id, n_common
 """
 
 OP11 = r"""

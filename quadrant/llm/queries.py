@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .centroids import cluster_vectors
-from .chat import mask, neighbour_pairs, preference_rows
+from .chat import mask, swapped_reply_rows
 from .common import read
 from .exact_dedup import duplicate_groups
 from .fill_middle import fill_in_middle_digests
@@ -32,8 +32,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations")
-    rows = preference_rows(turns, neighbour_pairs(turns))
+    rows = swapped_reply_rows(read(spark, sf_dir, "conversations"))
     return rows.select("pair_id", "n_common", "prompt", "chosen", "rejected",
                        mask(F.col("chosen_segments")).alias("chosen_mask"), mask(F.col("rejected_segments")).alias("rejected_mask"))
 

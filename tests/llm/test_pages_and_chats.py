@@ -138,6 +138,29 @@ def test_preference_rows_match_brute_force(spark):
     assert "".join(s.text for s in one.chosen_segments) == one.chosen
 
 
+def test_swapped_replies_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(conv, turn, "user" if turn % 2 == 0 else "assistant", rng.choice("abcd")) for conv in range(50) if conv % 9 for turn in range(rng.randint(1, 6))]
+    rows += [(None, 0, "user", "x"), (100, 0, None, None), (101, 3, "assistant", "one"), (101, None, "user", "first"), (2**53, 0, "user", "p"), (2**53 + 1, 0, "user", "q"), (100, 0, None, None)]
+    convs = {}
+    for conv, turn, role, text in set(rows):
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    show = lambda ts: "".join(f"<|{t[2]}|>\n{t[3]}\n" for t in ts)
+    want = []
+    for conv, turns in convs.items():
+        a = sorted(turns)
+        other = sorted(convs.get(conv + 1, []))[-1:]
+        n = len(a) - (not (other and other[0][2:] == a[-1][2:]))
+        want.append((conv, n, show(a[:n]), show(a[n:]), show(other) if n < len(a) else ""))
+    df = spark.createDataFrame(rows, TURNS).withColumn("a", F.lit(1)).withColumn("turns", F.lit("x")).withColumn("_reply", F.lit(2))
+    got = chat.swapped_reply_rows(df).select("pair_id", "n_common", "prompt", "chosen", "rejected").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r.n_common > 0 for r in got) > len(got) / 2
+    assert chat.swapped_reply_rows(df.limit(0)).collect() == []
+    plan = chat.swapped_reply_rows(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
 def test_preference_rows_of_an_empty_table(spark):
     df = spark.createDataFrame([], TURNS)
     assert chat.preference_rows(df, chat.neighbour_pairs(df)).collect() == []
