@@ -77,9 +77,10 @@ def id_blocks(docs: DataFrame, end: int = END, path: str | None = None) -> DataF
                 block += 1
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    ordered = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-               .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_last())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text"))
+    # The row number parts the rows of one id, or of none, over tasks; rows of one id stand in the order they are read.
+    key = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    ordered = (docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("tie"))
+               .repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key).select("doc_id", "text"))
     blocks = materialize(ordered.mapInArrow(encode, f"shard int, block long, n_ids long, doc_ids array<{doc_id}>, counts array<long>, ids binary"), "id-blocks")
     release(spark)
     return blocks
