@@ -30,6 +30,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def apart(df: DataFrame, taken: tuple[str, ...]) -> DataFrame:
+    """``df`` with columns of the names ``taken`` under free ones; ``toDF`` gives the own names back, as places don't change."""
+    out, used = df, {c.lower() for c in (*df.columns, *taken)}
+    for c in df.columns:
+        if c.lower() in taken:
+            free = c
+            while free.lower() in used:
+                free += "_"
+            used.add(free.lower())
+            out = out.withColumnRenamed(c, free)
+    return out
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """Integers, byte plane by byte plane (the high ones of small numbers are all zero), compressed."""
     import zstandard

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import release
+from .common import apart, release
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MAX_CHARS = 128, 4096
@@ -106,6 +106,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     The rows are written with their numbers, so both sides of the join read the same ones, however
     later scans are split.  Only the numbers of rows that leave are joined back.
     """
+    names, docs = docs.columns, apart(docs, ("_copy_row", "_gone_row"))
     numbered = materialize(docs.withColumn("_copy_row", F.monotonically_increasing_id()), "documents")
     gone = duplicate_groups(numbered, F.col("_copy_row")).filter("not kept").select(F.col("row").alias("_gone_row"))
-    return numbered.join(gone, F.col("_copy_row") == F.col("_gone_row"), "left_anti").select(*(numbered[c] for c in docs.columns))
+    return numbered.join(gone, F.col("_copy_row") == F.col("_gone_row"), "left_anti").select(*(numbered[f"`{c}`"] for c in docs.columns)).toDF(*names)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, prefix_sums, release
+from .common import WORD, apart, prefix_sums, release
 
 MOST_EPOCHS = 3
 SEED = "mix-1"
@@ -76,6 +76,7 @@ def mixed_documents(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED)
     The rows are written with their numbers, so both sides of the join read the same ones, however
     later scans are split.
     """
+    names, docs = docs.columns, apart(docs, ("_mix_row", "_row", "_whole", "_rest", "_copy"))
     numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "documents")
     told = mix(numbered, most, seed, ("_mix_row",)).filter("taken > 0").select(
         F.col("_mix_row").alias("_row"), F.expr("taken div size").alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
@@ -90,4 +91,4 @@ def mixed_documents(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = SEED)
     out["text"] = text
     if "n_chars" in out:
         out["n_chars"] = F.when(is_cut, F.char_length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return met.select(*(v.alias(c) for c, v in out.items()))
+    return met.select(*(v.alias(c) for c, v in out.items())).toDF(*names)

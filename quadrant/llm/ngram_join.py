@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import partitions, release, squeeze, unsqueeze
+from .common import apart, partitions, release, squeeze, unsqueeze
 from .tokens import slices
 
 N_WORDS = 5
@@ -432,6 +432,7 @@ def one_of_each(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
 
     The rows are written with their numbers, so ids may repeat or be NULL: rows leave by number.
     """
+    names, docs = docs.columns, apart(docs, ("_copy_row", "_gone_row"))
     numbered = materialize(docs.withColumn("_copy_row", F.monotonically_increasing_id()), "documents")
     gone = near_rows(numbered, orders, F.col("_copy_row")).filter("row <> keep_row").select(F.col("row").alias("_gone_row"))
-    return numbered.join(gone, F.col("_copy_row") == F.col("_gone_row"), "left_anti").select(*(numbered[c] for c in docs.columns))
+    return numbered.join(gone, F.col("_copy_row") == F.col("_gone_row"), "left_anti").select(*(numbered[f"`{c}`"] for c in docs.columns)).toDF(*names)

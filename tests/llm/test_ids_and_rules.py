@@ -50,3 +50,20 @@ def test_other_vocabularies_give_the_library_s_ids():
         ids, at = own.encode(pa.array([*texts, None]))
         want = [own.library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want and ids.dtype == np.uint32
+
+
+def test_columns_of_reserved_names_come_back(spark):
+    """Columns that the operators use themselves keep their names and values."""
+    from helpers import random_text
+    import random
+
+    from quadrant.llm import exact_dedup, mixing, ngram_join
+    rng = random.Random(1)
+    rows = [(i, random_text(rng, 40)) for i in range(12)] + [(None, "a b"), (7, None)]
+    names = ["_copy_row", "_gone_row", "_mix_row", "_row", "_whole", "_rest", "_copy", "_Row_"]
+    docs = documents(spark, rows).selectExpr("*", *(f"concat('{n}', coalesce(doc_id, -1)) AS {n}" for n in names))
+    for use in (exact_dedup.drop_duplicates, ngram_join.one_of_each, mixing.mixed_documents):
+        got = use(docs)
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for n in names)
