@@ -15,10 +15,10 @@ How it runs:
 2. A document with more than 1 - t of its shingles to itself has no partner.  For the others, the
    shared shingles are all that a verification needs, as an intersection holds no others.
 3. Documents with equal sets become one class.
-4. Links.  Each list of classes that share a prefix shingle first links its members to one
-   leader, verified pair by pair, so large groups of near copies need a linear number of pairs.  Then
+4. Links.  Classes that have the same first shingle under one of sixteen more orders first link to a few leaders
+   that such a list draws, verified pair by pair, so large groups of near copies need a linear number of pairs.  Then
    all pairs of classes in different components that share prefix shingles under every order are
-   verified.  Pairs inside one component can't change the components.
+   verified.  Pairs inside one component can't change the components, so only lists that hold several are kept.
 
 Defined results: NULL or empty text, or text of white space alone, has an empty set and links with nothing;
 a text of one to four words has one shingle, the whole sequence; repeated rows are equal documents; a row
@@ -45,10 +45,14 @@ from .tokens import slices
 N_WORDS = 5
 PERCENT = 75
 ORDERS = 2
+#: Orders under which a class's first shingle finds leaders.
+FIRSTS = 16
 #: By round: leaders that a list draws, and leaders that a class tries; later rounds go on as the last.
 DRAWS, LEADERS = (1, 1, 8), (1, 8, 64)
 #: Bytes of text in a block: bounds what a task holds at once.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each range of hashes: bounds a range's group, whatever the number of shuffle partitions.
+RANGE_BYTES = 32 << 20
 #: A shingle that more documents of one block have leaves their numbers with the block.
 COMMON = 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -225,46 +229,76 @@ def document_sets(docs: DataFrame, ranges: int | None = None, row: Column | None
     """
     row = F.monotonically_increasing_id() if row is None else row
     spark = docs.sparkSession
-    ranges = ranges or 4 * partitions(spark)
+    tasks = partitions(spark)
+    if ranges is None:
+        text_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        ranges = max(4 * tasks, -(-text_bytes // RANGE_BYTES))
+        tasks = max(tasks, ranges // 4)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _blocks(it, ranges), BLOB)
+    if tasks > partitions(spark):
+        rows = rows.repartition(tasks, "key")
     counted = rows.groupBy("key").applyInArrow(_frequencies, BLOB)
+    if tasks > partitions(spark):
+        counted = counted.repartition(tasks, "block")
     sets = materialize(counted.groupBy("block").applyInArrow(_documents, SETS), "sets")
     release(spark)
     return sets
 
 
-def prefix_lists(classes: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """k, token, cid, n, pos, strong: the prefix shingles of every class under each order, where another class has them too.
+def first_shingles(classes: DataFrame) -> DataFrame:
+    """k, token, cid, n: the first shared shingle of every class under each of FIRSTS orders, where another class has it too.
+
+    The orders are those of mixed hashes, so a shingle is named by its mixed hash.  Two sets agree under an order as often as they are similar.
+    """
+    seeds = np.arange(1, FIRSTS + 1, dtype=np.uint64) * MIX[1]
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "shared", BLOCK_BYTES):
+                tokens = [unpack_shared(x.as_py())[0] for x in batch.column("shared")]
+                starts = np.cumsum([0] + [len(x) for x in tokens[:-1]])
+                token = np.concatenate(tokens)
+                for k, seed in enumerate(seeds):
+                    least = np.minimum.reduceat(mix(mix(token + seed), 2), starts).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(least), k, np.int8)), pa.array(least), batch.column("cid"), batch.column("n")], names=["k", "token", "cid", "n"])
+
+    firsts_ = materialize(classes.select("cid", "n", "shared").mapInArrow(firsts, "k byte, token long, cid long, n long"), "firsts")
+    several = firsts_.groupBy("k", "token").agg(F.count("*").alias("members")).filter("members > 1").select("k", "token")
+    return firsts_.join(several, ["k", "token"], "left_semi")
+
+
+def prefix_lists(classes: DataFrame, labels: DataFrame | None, orders: int = ORDERS) -> DataFrame:
+    """k, token, cid, n, pos, comp: the prefix shingles of every class under each order, where a class of another component has them too.
 
     ``pos`` shingles come before it in the order.  Two sets with overlap o need their first common shingle to have at
     least o from there on in both; as o is at least 3/7 of both sizes together, the smaller set's one is
-    ``strong``, that is among its first seventh or so.
+    strong, that is among its first seventh or so.
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for cid, n, blob in zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist(), batch.column("shared")):
-                token, code = unpack_shared(blob.as_py())
-                alone = n - len(token)  # the rarest of all, first under every order
-                length = n - -(-PERCENT * n // 100) + 1 - alone
-                for k in range(orders):
-                    first = token[np.lexsort((mix(token, k) if k else token, code))[:length]]
-                    pos = alone + np.arange(len(first))
-                    strong = 7 * (n - pos) >= 6 * n
-                    found.append((np.full(len(first), k, np.int8), first.view(np.int64), np.full(len(first), cid, np.int64), np.full(len(first), n, np.int64), pos, strong))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["k", "token", "cid", "n", "pos", "strong"])
-
-    lists = classes.select("cid", "n", "shared").mapInArrow(prefixes, "k byte, token long, cid long, n long, pos long, strong boolean")
-    several = lists.groupBy("k", "token").agg(F.count("*").alias("members"), F.bool_or("strong").alias("any")).filter("members > 1 AND any").select("k", "token")
-    return materialize(lists.join(several, ["k", "token"], "left_semi"), "lists")
+        for whole in batches:
+            for batch in slices(whole, "shared", BLOCK_BYTES):
+                found = []
+                for cid, n, comp, blob in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "comp")), batch.column("shared")):
+                    token, code = unpack_shared(blob.as_py())
+                    alone = n - len(token)  # the rarest of all, first under every order
+                    length = n - -(-PERCENT * n // 100) + 1 - alone
+                    for k in range(orders):
+                        first = token[np.lexsort((mix(token, k) if k else token, code))[:length]]
+                        pos = alone + np.arange(len(first))
+                        found.append((np.full(len(first), k, np.int8), first.view(np.int64), *(np.full(len(first), x, np.int64) for x in (cid, n, comp)), pos))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["k", "token", "cid", "n", "comp", "pos"])
+
+    lists = labelled(classes.select("cid", "n", "shared"), labels).mapInArrow(prefixes, "k byte, token long, cid long, n long, comp long, pos long")
+    several = lists.groupBy("k", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or(F.expr("7 * (n - pos) >= 6 * n")).alias("strong"))
+    return materialize(lists.join(several.filter("low < high AND strong").select("k", "token"), ["k", "token"], "left_semi"), "lists")
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity."""
-    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
-    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
+    """The pairs (a, b) of classes whose sets reach the similarity.  Only sets that a pair names move."""
+    pairs = materialize(pairs, "pairs")
+    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a")).join(pairs.select("a"), "a", "left_semi")
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b")).join(pairs.select("b"), "b", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,10 +331,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def labelled(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """With ``comp``, the component of each class so far."""
     if labels is None:
-        return lists.withColumn("comp", F.col("cid"))
-    return lists.join(labels, lists["cid"] == labels["node"], "left").select(*lists.columns, F.coalesce("label", "cid").alias("comp"))
+        return classes.withColumn("comp", F.col("cid"))
+    return classes.join(labels, classes["cid"] == labels["node"], "left").select(*classes.columns, F.coalesce("label", "cid").alias("comp"))
 
 
 def reach(n: str, pos: str, m: str, at: str) -> Column:
@@ -310,7 +345,7 @@ def reach(n: str, pos: str, m: str, at: str) -> Column:
 
 
 def leader_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Pairs of a class and leaders of its lists in other components, those with most common prefix shingles first.
+    """Pairs of a class and leaders of its lists in other components, those that agree under most orders first.
 
     At seed 0 a list's leader is its first class, so a group of near copies meets one leader.  Later every
     list draws its own, and a class tries several of them: what a few leaders leave over in a group without a centre
@@ -320,35 +355,26 @@ def leader_pairs(lists: DataFrame, seed: int) -> DataFrame:
 
     def drawn(i: int) -> Column:
         by = F.xxhash64("cid", "token", F.lit(seed), F.lit(i)) if seed else F.col("cid")
-        return F.min(F.when(F.col("strong"), F.struct(by.alias("h"), F.col("cid"), F.col("n"), F.col("comp"), F.col("pos"))))
+        return F.min(F.struct(by.alias("h"), F.col("cid"), F.col("n"), F.col("comp")))
 
     draws = [f"l{i}" for i in range(of_round(DRAWS))]
-    leaders = lists.groupBy("k", "token").agg(*(drawn(i).alias(x) for i, x in enumerate(draws)))
-    leaders = leaders.select("k", "token", F.explode(F.array_distinct(F.array(*(F.col(x).dropFields("h") for x in draws)))).alias("l"))
-    leaders = leaders.select("k", "token", F.col("l.cid").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp"), F.col("l.pos").alias("l_pos"))
-    met = lists.join(leaders, ["k", "token"]).filter((F.col("comp") != F.col("l_comp")) & reach("n", "pos", "l_n", "l_pos"))
+    leaders = lists.groupBy("k", "token").agg(*(drawn(i).alias(x) for i, x in enumerate(draws)), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    leaders = leaders.filter("low < high").select("k", "token", F.explode(F.array_distinct(F.array(*(F.col(x).dropFields("h") for x in draws)))).alias("l"))
+    leaders = leaders.select("k", "token", F.col("l.cid").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp"))
+    met = lists.join(leaders, ["k", "token"]).filter(f"comp <> l_comp AND 100 * least(n, l_n) >= {PERCENT} * greatest(n, l_n)")
     votes = met.groupBy("cid", "leader").agg(F.count("*").alias("votes"))
     best = votes.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("votes", "leader")), False).alias("best"))  # at most DRAWS a list of the class
     tried = best.select("cid", F.explode(F.slice("best", 1, of_round(LEADERS))).alias("l"))
     return tried.select(F.least("cid", "l.leader").alias("a"), F.greatest("cid", "l.leader").alias("b")).distinct()
 
 
-def cross_lists(lists: DataFrame) -> DataFrame:
-    """k, token, comp, members, strong, most, least, all_members, all_strong, inside of the lists that hold two or more components."""
-    by = lists.groupBy("k", "token", "comp").agg(F.count("*").alias("members"), F.count_if("strong").alias("strong"),
-                                                 F.max(4 * F.col("n") - 7 * F.col("pos")).alias("most"), F.min("n").alias("least"))
-    several = by.groupBy("k", "token").agg(F.count("*").alias("n_comps"), F.sum("members").alias("all_members"), F.sum("strong").alias("all_strong"),
-                                           F.sum(F.col("members") * F.col("strong")).alias("inside")).filter("n_comps > 1 AND all_strong > 0")
-    return by.join(several, ["k", "token"])
-
-
 def candidate_pairs(lists: DataFrame, orders: int = ORDERS) -> DataFrame:
     """All pairs of classes in different components that share a prefix shingle, with enough beyond it, under every order."""
-    crossing = materialize(cross_lists(lists), "crossing")
+    by = lists.groupBy("k", "token", "comp").agg(F.max(4 * F.col("n") - 7 * F.col("pos")).alias("most"), F.min("n").alias("least"))
     out = None
     for k in range(orders):
         own = lists.filter(F.col("k") == k).select("token", "comp", "cid", "n", "pos")
-        comps = crossing.filter(F.col("k") == k)
+        comps = by.filter(F.col("k") == k)
         two = comps.select("token", F.col("comp").alias("c1"), F.col("most").alias("most1"), F.col("least").alias("least1")).join(
             comps.select("token", F.col("comp").alias("c2"), F.col("most").alias("most2"), F.col("least").alias("least2")), "token")
         # Components of which no two members can reach each other (see ``reach``) don't meet.
@@ -361,28 +387,25 @@ def candidate_pairs(lists: DataFrame, orders: int = ORDERS) -> DataFrame:
     return out
 
 
-def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack: int = 4) -> DataFrame | None:
+def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 5, slack: int = 0) -> DataFrame | None:
     """node, label over classes: components of all links, or None if there are none.
 
-    Leader rounds only save work: they go on while the remaining pairs are many against the lists' lengths
-    and links are still found.  What remains is verified in full, so the result never depends on them.
+    Leader rounds only save work: they go on while one finds more than ``slack`` links, ``most_rounds`` times at most.
+    What remains is verified in full, so the result never depends on them.
     """
     spark = classes.sparkSession
-    lists = prefix_lists(classes, orders)
+    firsts = materialize(first_shingles(classes), "first-lists")
     labels, links = None, None
     for r in range(most_rounds):
-        now = materialize(labelled(lists, labels), "labelled") if labels is not None else labelled(lists, None)
-        if r:
-            open_pairs = cross_lists(now).groupBy("k", "token").agg(F.first("all_members").alias("m"), F.first("all_strong").alias("s"), F.first("inside").alias("i"))
-            if (open_pairs.agg(F.sum(F.col("m") * F.col("s") - F.col("i"))).first()[0] or 0) <= slack * lists.count():
-                break
-        found = materialize(verified(leader_pairs(now, r), classes), "leader-links")
+        found = materialize(verified(leader_pairs(labelled(firsts, labels), r), classes), "leader-links")
         release(spark)
-        if found.isEmpty():
+        n_found = found.count()
+        if n_found:
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        if n_found <= slack and r >= len(DRAWS) - 1:
             break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    rest = materialize(verified(candidate_pairs(materialize(labelled(lists, labels), "open"), orders), classes), "pair-links")
+    rest = materialize(verified(candidate_pairs(prefix_lists(classes, labels, orders), orders), classes), "pair-links")
     release(spark)
     if rest.isEmpty():
         return labels
