@@ -45,10 +45,10 @@ from .tokens import slices
 N_WORDS = 5
 PERCENT = 75
 ORDERS = 2
-#: Orders under which a class's first shingle finds leaders.
-FIRSTS = 16
+#: Orders under which a class's first shingle finds leaders, and of them those that a class and a leader should agree in.
+FIRSTS, AGREE = 16, 10
 #: By round: leaders that a list draws, and leaders that a class tries; later rounds go on as the last.
-DRAWS, LEADERS = (1, 1, 8), (1, 8, 64)
+DRAWS, LEADERS = (1, 8), (1, 8)
 #: Bytes of text in a block: bounds what a task holds at once.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each range of hashes: bounds a range's group, whatever the number of shuffle partitions.
@@ -246,7 +246,7 @@ def document_sets(docs: DataFrame, ranges: int | None = None, row: Column | None
 
 
 def first_shingles(classes: DataFrame) -> DataFrame:
-    """k, token, cid, n: the first shared shingle of every class under each of FIRSTS orders, where another class has it too.
+    """A written table of cid, n, firsts: the first shared shingle of every class under each of FIRSTS orders.
 
     The orders are those of mixed hashes, so a shingle is named by its mixed hash.  Two sets agree under an order as often as they are similar.
     """
@@ -258,13 +258,11 @@ def first_shingles(classes: DataFrame) -> DataFrame:
                 tokens = [unpack_shared(x.as_py())[0] for x in batch.column("shared")]
                 starts = np.cumsum([0] + [len(x) for x in tokens[:-1]])
                 token = np.concatenate(tokens)
-                for k, seed in enumerate(seeds):
-                    least = np.minimum.reduceat(mix(mix(token + seed), 2), starts).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(least), k, np.int8)), pa.array(least), batch.column("cid"), batch.column("n")], names=["k", "token", "cid", "n"])
+                least = np.stack([np.minimum.reduceat(mix(mix(token + seed), 2), starts) for seed in seeds], axis=1).view(np.int64)
+                ends = pa.array(np.arange(len(least) + 1, dtype=np.int32) * FIRSTS)
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.ListArray.from_arrays(ends, pa.array(least.reshape(-1)))], names=["cid", "n", "firsts"])
 
-    firsts_ = materialize(classes.select("cid", "n", "shared").mapInArrow(firsts, "k byte, token long, cid long, n long"), "firsts")
-    several = firsts_.groupBy("k", "token").agg(F.count("*").alias("members")).filter("members > 1").select("k", "token")
-    return firsts_.join(several, ["k", "token"], "left_semi")
+    return materialize(classes.select("cid", "n", "shared").mapInArrow(firsts, "cid long, n long, firsts array<long>"), "firsts")
 
 
 def prefix_lists(classes: DataFrame, labels: DataFrame | None, orders: int = ORDERS) -> DataFrame:
@@ -344,12 +342,12 @@ def reach(n: str, pos: str, m: str, at: str) -> Column:
     return (7 * (F.col(n) - F.col(pos)) >= both) & (7 * (F.col(m) - F.col(at)) >= both)
 
 
-def leader_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Pairs of a class and leaders of its lists in other components, those that agree under most orders first.
+def leader_pairs(firsts: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+    """Pairs of a class and leaders in other components, those that agree under most orders first.
 
-    At seed 0 a list's leader is its first class, so a group of near copies meets one leader.  Later every
-    list draws its own, and a class tries several of them: what a few leaders leave over in a group without a centre
-    has most of its links still to find, and many draws a class cost less than all its pairs.
+    Classes with the same first shingle under an order are a list.  At seed 0 a list's leader is its first class, so a
+    group of near copies meets one leader.  Later every list draws its own, and a class tries several of them: what a few leaders
+    leave over in a group without a centre has most of its links still to find.
     """
     of_round = lambda x: x[min(seed, len(x) - 1)]
 
@@ -357,13 +355,17 @@ def leader_pairs(lists: DataFrame, seed: int) -> DataFrame:
         by = F.xxhash64("cid", "token", F.lit(seed), F.lit(i)) if seed else F.col("cid")
         return F.min(F.struct(by.alias("h"), F.col("cid"), F.col("n"), F.col("comp")))
 
+    lists = labelled(firsts, labels).select("cid", "n", "comp", F.posexplode("firsts").alias("k", "token"))
     draws = [f"l{i}" for i in range(of_round(DRAWS))]
     leaders = lists.groupBy("k", "token").agg(*(drawn(i).alias(x) for i, x in enumerate(draws)), F.min("comp").alias("low"), F.max("comp").alias("high"))
     leaders = leaders.filter("low < high").select("k", "token", F.explode(F.array_distinct(F.array(*(F.col(x).dropFields("h") for x in draws)))).alias("l"))
     leaders = leaders.select("k", "token", F.col("l.cid").alias("leader"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp"))
-    met = lists.join(leaders, ["k", "token"]).filter(f"comp <> l_comp AND 100 * least(n, l_n) >= {PERCENT} * greatest(n, l_n)")
-    votes = met.groupBy("cid", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("votes", "leader")), False).alias("best"))  # at most DRAWS a list of the class
+    met = lists.join(leaders, ["k", "token"]).filter(f"comp <> l_comp AND 100 * least(n, l_n) >= {PERCENT} * greatest(n, l_n)").select("cid", "leader").distinct()
+    own = firsts.select("cid", F.col("firsts").alias("x"))
+    other = firsts.select(F.col("cid").alias("leader"), F.col("firsts").alias("y"))
+    agree = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b)
+    scored = met.join(own, "cid").join(other, "leader").select("cid", "leader", agree.alias("agree")).filter(F.col("agree") >= AGREE)
+    best = scored.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("agree", "leader")), False).alias("best"))  # at most DRAWS a list of the class
     tried = best.select("cid", F.explode(F.slice("best", 1, of_round(LEADERS))).alias("l"))
     return tried.select(F.least("cid", "l.leader").alias("a"), F.greatest("cid", "l.leader").alias("b")).distinct()
 
@@ -387,17 +389,17 @@ def candidate_pairs(lists: DataFrame, orders: int = ORDERS) -> DataFrame:
     return out
 
 
-def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 5, slack: int = 0) -> DataFrame | None:
+def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 2, slack: int = 0) -> DataFrame | None:
     """node, label over classes: components of all links, or None if there are none.
 
     Leader rounds only save work: they go on while one finds more than ``slack`` links, ``most_rounds`` times at most.
     What remains is verified in full, so the result never depends on them.
     """
     spark = classes.sparkSession
-    firsts = materialize(first_shingles(classes), "first-lists")
+    firsts = first_shingles(classes)
     labels, links = None, None
     for r in range(most_rounds):
-        found = materialize(verified(leader_pairs(labelled(firsts, labels), r), classes), "leader-links")
+        found = materialize(verified(leader_pairs(firsts, labels, r), classes), "leader-links")
         release(spark)
         n_found = found.count()
         if n_found:
