@@ -30,6 +30,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system; workers live on between tasks and would hold it.
+
+    Where the C library has no ``malloc_trim``, only Arrow's part is handed back.
+    """
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def apart(df: DataFrame, taken: tuple[str, ...]) -> DataFrame:
     """``df`` with columns of the names ``taken`` under free ones; ``toDF`` gives the own names back, as places don't change."""
     out, used = df, {c.lower() for c in (*df.columns, *taken)}

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import apart, partitions, release, squeeze, unsqueeze
+from .common import apart, give_back, partitions, release, squeeze, unsqueeze
 from .tokens import slices
 
 N_WORDS = 5
@@ -50,7 +50,7 @@ FIRSTS, AGREE = 16, 10
 #: By round: leaders that a list draws, and leaders that a class tries; later rounds go on as the last.
 DRAWS, LEADERS = (1, 8), (1, 8)
 #: Bytes of text in a block: bounds what a task holds at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each range of hashes: bounds a range's group, whatever the number of shuffle partitions.
 RANGE_BYTES = 32 << 20
 #: A shingle that more documents of one block have leaves their numbers with the block.
@@ -154,12 +154,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))],
                                              names=["key", "block", "a", "b", "c", "d"])
             number += 1
+            give_back()
 
 
 def _frequencies(key: tuple, table: pa.Table) -> pa.Table:
     """For one range of hashes: back to each block, which of its shingles two or more documents have."""
     if key[0].as_py() < 0:
         return table
+    give_back()  # of the group before
     blocks = [tuple(unsqueeze(table.column(c)[i].as_py()) for c in "abc") for i in range(table.num_rows)]
     tokens = [np.cumsum(a, dtype=np.uint64) for a, _, _ in blocks]
     token, count = np.concatenate(tokens), np.concatenate([b for _, b, _ in blocks]).astype(np.int64)
@@ -198,6 +200,7 @@ def unpack_shared(b: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _documents(table: pa.Table) -> pa.Table:
     """One row per document of a block; ``shared`` (its shared shingles) only where a partner is possible."""
+    give_back()  # of the group before
     table = table.sort_by("key")
     a, b, c, d = (table.column(x) for x in "abcd")
     ids, n, common, rest = (unsqueeze(x[0].as_py()) for x in (a, b, c, d))
