@@ -7,9 +7,10 @@ Strategies, all returning the same rows:
 
 * ``sort`` (single query): ``orderBy(d2, id).limit(k)`` -> TakeOrderedAndProject,
   a per-partition top-k followed by one merge of k rows per partition.
-* ``brute`` (batch): queries broadcast against every point, then
-  ``row_number() <= k`` per query -> partial WindowGroupLimit in every task,
-  so at most k rows per query per task are shuffled.
+* ``brute`` (batch): queries broadcast against every point.  A first pass counts the points of
+  each query by steps of distance; only points up to the step that holds the k-th are ranked, with
+  ``row_number() <= k`` per query -> partial WindowGroupLimit in every task.  So a task sorts
+  about k rows per query, not its points x queries.
 * ``cells`` (single or batch): the exact two-phase search.  Phase 1 counts
   points per occupied grid cell and, per query, finds the smallest ring of
   cells holding k points; phase 2 ranks only the points in the cells that can
@@ -60,6 +61,8 @@ SORT_MAX_K = 100
 # First-level fan-in of the two-level top-k: scan tasks are grouped into this
 # many buckets, each keeping k rows per query, before the per-query merge.
 TOPK_BUCKETS = 1024
+# Steps of squared distance per doubling, by which the points of a query are counted before they are ranked.
+DISTANCE_STEPS = 8
 # Tasks over which the points of one cell are dealt when the candidates are not broadcast.
 SALTS = 8
 
@@ -81,6 +84,22 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _nearby(pairs: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (q, d2, ...) without those that surely have k nearer ones of their query.
+
+    Ranking sorts what a task holds, which would spill for all points of a large table.  Counts per
+    query and step of distance need no sort; equal distances share a step, so ties at the k-th stay.
+    """
+    # NULL and 0 come first, as they do in the ranking, and NaN last.
+    step = F.coalesce(F.rint(F.log2("d2") * DISTANCE_STEPS), F.lit(-math.inf))
+    counts = pairs.groupBy("q", step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
+    held = counts.withColumn("_held", F.sum("_n").over(Window.partitionBy("q").orderBy("_step")))
+    # One step more, against a logarithm that another machine rounds differently; with fewer than k points all stay.
+    bound = held.where(F.col("_held") >= k).groupBy(F.col("q").alias("_of")).agg((F.min("_step") + 1).alias("_bound"))
+    met = pairs.join(F.broadcast(bound), F.col("q").eqNullSafe(F.col("_of")), "left")  # at most a row per query
+    return met.where(step <= F.coalesce("_bound", F.lit(math.nan))).drop("_of", "_bound")
+
+
 def _out(df: DataFrame, back: list, with_q: bool = True) -> DataFrame:
     lead = ["q"] if with_q else []
     return df.select(*lead, "rank", "id", "x", "y", "d2", *back)
@@ -108,7 +127,7 @@ def knn(pts: DataFrame, qx: float, qy: float, k: int, strategy: str = "auto",
         top = near.orderBy("d2", "id").limit(k)
         return _out(top.withColumn("rank", F.row_number().over(Window.orderBy("d2", "id"))), back, False)
     if strategy != "cells":
-        return _out(_ranked(near.withColumn("q", F.lit(0)), k), back, False)
+        return _out(_ranked(_nearby(near.withColumn("q", F.lit(0)), k), k), back, False)
     queries = point_literal(pts.sparkSession, qx, qy)
     return _out(knn_batch(inner, queries, k, strategy=strategy, cell=cell), back, False)
 
@@ -119,8 +138,8 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
     """Q7: the k nearest points of every query point in ``queries (q, qx, qy)``.
 
     ``q`` must be unique.  The query table is broadcast only when it passes
-    the size check.  ``auto`` reads the points once, with
-    the two-level per-task ``WindowGroupLimit`` (``brute``), for up to
+    the size check.  ``auto`` reads the points twice, to count them by distance and
+    to rank those near enough (``brute``), for up to
     ``MAX_LOOP_ROWS`` queries (it computes points x queries distances), and
     takes ``cells`` beyond that.  ``cells`` costs three scans
     but ships almost nothing, and takes query tables of any size.  ``known_queries`` is the caller's word on
@@ -136,7 +155,7 @@ def knn_batch(pts: DataFrame, queries: DataFrame, k: int, strategy: str = "auto"
         q, small = maybe_broadcast(queries, MAX_LOOP_ROWS if strategy == "auto" else max_broadcast_rows)
         if small:
             pairs = inner.crossJoin(q).withColumn("d2", dist2("x", "y", F.col("qx"), F.col("qy")))
-            return _out(_ranked(pairs, k), back)
+            return _out(_ranked(_nearby(pairs, k), k), back)
     queries = materialize(queries, "knn-queries")
     if cell == "auto":
         cell = cell_size(pts, k).first()["cell"]
