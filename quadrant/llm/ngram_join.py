@@ -48,7 +48,7 @@ ORDERS = 2
 #: Orders under which a class's first shingle finds leaders, and of them those that a class and a leader should agree in.
 FIRSTS, AGREE = 16, 10
 #: By round: leaders that a list draws, and leaders that a class tries; later rounds go on as the last.
-DRAWS, LEADERS = (1, 8), (1, 8)
+DRAWS, LEADERS = (1, 3, 3), (1, 8, 4)
 #: Bytes of text in a block: bounds what a task holds at once.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each range of hashes: bounds a range's group, whatever the number of shuffle partitions.
@@ -374,25 +374,26 @@ def leader_pairs(firsts: DataFrame, labels: DataFrame | None, seed: int) -> Data
 
 
 def candidate_pairs(lists: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """All pairs of classes in different components that share a prefix shingle, with enough beyond it, under every order."""
-    by = lists.groupBy("k", "token", "comp").agg(F.max(4 * F.col("n") - 7 * F.col("pos")).alias("most"), F.min("n").alias("least"))
-    out = None
-    for k in range(orders):
-        own = lists.filter(F.col("k") == k).select("token", "comp", "cid", "n", "pos")
-        comps = by.filter(F.col("k") == k)
-        two = comps.select("token", F.col("comp").alias("c1"), F.col("most").alias("most1"), F.col("least").alias("least1")).join(
-            comps.select("token", F.col("comp").alias("c2"), F.col("most").alias("most2"), F.col("least").alias("least2")), "token")
-        # Components of which no two members can reach each other (see ``reach``) don't meet.
-        two = two.filter("c1 < c2 AND most1 >= 3 * least2 AND most2 >= 3 * least1").select("token", "c1", "c2")
-        one = own.select("token", F.col("comp").alias("c1"), F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
-        other = own.select("token", F.col("comp").alias("c2"), F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
-        pairs = two.join(one, ["token", "c1"]).join(other, ["token", "c2"]).filter(reach("n_x", "pos_x", "n_y", "pos_y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        out = pairs if out is None else out.join(pairs, ["a", "b"], "left_semi")
-    return out
-
-
-def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 2, slack: int = 0) -> DataFrame | None:
+    """All pairs of classes in different components that share a prefix shingle under every order, with enough beyond it under the first."""
+    own = lists.filter("k = 0").select("token", "comp", "cid", "n", "pos")
+    comps = own.groupBy("token", "comp").agg(F.max(4 * F.col("n") - 7 * F.col("pos")).alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
+    named = lambda i: comps.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("comp", "most", "least", "members")))
+    # Components of which no two members can reach each other (see ``reach``) don't meet.
+    two = named(1).join(named(2), "token").filter("comp1 < comp2 AND most1 >= 3 * least2 AND most2 >= 3 * least1")
+    # The smaller side goes first: the members of a large component are not repeated for each class that meets it.
+    two = two.select("token", F.expr("IF(members1 <= members2, comp1, comp2)").alias("c1"), F.expr("IF(members1 <= members2, comp2, comp1)").alias("c2"))
+    one = own.select("token", F.col("comp").alias("c1"), F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
+    other = own.select("token", F.col("comp").alias("c2"), F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
+    pairs = two.join(one, ["token", "c1"]).join(other, ["token", "c2"]).filter(reach("n_x", "pos_x", "n_y", "pos_y")).select("x", "y").distinct()
+    for k in range(1, orders):
+        # Other orders are looked up for the pairs found; under each, a pair would come once for every shingle it shares.
+        prefix = lists.filter(F.col("k") == k).groupBy("cid").agg(F.collect_list("token").alias("prefix"))  # a part of one set
+        pairs = pairs.join(prefix.select(F.col("cid").alias("x"), F.col("prefix").alias("p_x")), "x").join(prefix.select(F.col("cid").alias("y"), F.col("prefix").alias("p_y")), "y")
+        pairs = pairs.filter(F.arrays_overlap("p_x", "p_y")).select("x", "y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def linked(classes: DataFrame, orders: int = ORDERS, most_rounds: int = 3, slack: int = 0) -> DataFrame | None:
     """node, label over classes: components of all links, or None if there are none.
 
     Leader rounds only save work: they go on while one finds more than ``slack`` links, ``most_rounds`` times at most.

@@ -310,6 +310,44 @@ def test_ngram_join_leader_rounds_do_not_change_the_result(spark):
     assert by(some) == by(more) and some
 
 
+def rows_joined(spark, monkeypatch, keys):
+    """Row counts of the joins on ``keys``, gathered while the list is in use."""
+    made, frame = [], type(spark.range(1))
+    join = frame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == keys:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    return made
+
+
+def test_members_of_a_large_component_are_not_repeated_for_each_class_that_meets_it(spark, monkeypatch):
+    """50 members of component 0 and 6 classes of their own share 10 shingles under both orders, two more only one order."""
+    row = lambda k, t, cid, comp, pos=0: (k, t, cid, 100, pos, comp)
+    rows = [row(k, t, cid, 0 if cid < 50 else cid) for k in (0, 1) for t in range(10) for cid in range(56)]
+    rows += [row(0, t, 60, 60) for t in range(10)] + [row(1, t, 61, 61) for t in range(10)] + [row(0, 0, 62, 62, pos=20), row(1, 0, 62, 62)]
+    lists = ngram_join.materialize(spark.createDataFrame(rows, "k byte, token long, cid long, n long, pos long, comp long"))
+    made = rows_joined(spark, monkeypatch, ["token", "c1"])
+    got = tuples(ngram_join.candidate_pairs(lists), "a", "b")
+    comp = lambda c: 0 if c < 50 else c
+    assert sorted(got) == [(a, b) for a in range(56) for b in range(a + 1, 56) if comp(a) != comp(b)]
+    assert sum(made) <= 10 * 8 * 8  # classes and components that meet, on ten shingles: not times 50 members
+
+
+def test_a_class_meets_a_few_leaders_of_each_list(spark, monkeypatch):
+    """A group of near copies whose first shingles are all the same: rows grow with classes, by a few for each order."""
+    firsts = spark.range(100).select(F.col("id").alias("cid"), F.lit(50).cast("long").alias("n"), F.array(*(F.lit(k).cast("long") for k in range(ngram_join.FIRSTS))).alias("firsts"))
+    firsts = ngram_join.materialize(firsts)
+    made = rows_joined(spark, monkeypatch, ["k", "token"])
+    pairs = [ngram_join.leader_pairs(firsts, None, seed).count() for seed in (0, 1, 2)]
+    assert pairs[0] == 99 and all(99 <= p <= 800 for p in pairs)
+    assert sum(made) <= 100 * ngram_join.FIRSTS * 8
+
+
 def test_one_of_each_keeps_the_smallest_ids(spark):
     rows = corpus(n=40)
     docs = with_clashes(documents(spark, rows))
